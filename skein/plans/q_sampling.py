@@ -1 +1,177 @@
-"""Queries (filled in below)."""
+"""Queries for limits, slices, splits, quotas and samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import sampling as L
+from skein.plans.derive import INSTRUCTION_SQL, instruction_rows, sources, sql_hash_long, sql_hash_uniform
+from skein.plans.registry import load, register
+from skein.sources.mix import build_mix, eval_split, normalise_mix
+
+EVAL_SIZE = 100
+SEED = 42
+
+
+def head_n_q(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "lang")
+    return L.head_n(d, ["doc_id"], 100)
+
+
+register("head_n", """
+SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100
+""")(head_n_q)
+
+
+def head_n_indexed(spark, sf):
+    """L1 for an n too large for top-k: position filter on the bucketed index."""
+    d = load(spark, sf, "documents").select("doc_id", "lang")
+    saved, L.TAKE_ORDERED_MAX = L.TAKE_ORDERED_MAX, 0
+    try:
+        return L.head_n(d, ["doc_id"], 600)
+    finally:
+        L.TAKE_ORDERED_MAX = saved
+
+
+register("head_n_indexed", """
+SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 600
+""")(head_n_indexed)
+
+
+def slice_rows_q(spark, sf):
+    rows = instruction_rows(spark, sf).select("row_key", "conv_id", "turn")
+    return L.slice_rows(rows, ["row_key"], 100, 200)
+
+
+register("slice_rows", f"""
+WITH {INSTRUCTION_SQL},
+r AS (SELECT row_key, conv_id, turn, row_number() OVER (ORDER BY row_key) - 1 AS p FROM inst)
+SELECT row_key, conv_id, turn FROM r WHERE p >= 100 AND p < 200
+""")(slice_rows_q)
+
+
+def tail_split_q(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id")
+    return L.tail_split(d, ["doc_id"], 0.9, max_train=None, max_eval=None).select("doc_id", "pos", "split")
+
+
+register("tail_split", """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CAST(pos AS BIGINT) AS pos,
+       CASE WHEN pos < CAST(floor(n * 0.9) AS BIGINT) THEN 'train' ELSE 'validation' END AS split
+FROM r
+""")(tail_split_q)
+
+
+def tail_split_capped(spark, sf):
+    """L1 -> L3 -> L1: cap train to 700 rows, split 90/10, cap eval to 50."""
+    d = load(spark, sf, "documents").select("doc_id")
+    return L.tail_split(d, ["doc_id"], 0.9, max_train=700, max_eval=50).select("doc_id", "pos", "split")
+
+
+register("tail_split_capped", """
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+c AS (SELECT doc_id, pos, CAST(floor(count(*) OVER () * 0.9) AS BIGINT) AS cut FROM r WHERE pos < 700)
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN pos < cut THEN 'train' ELSE 'validation' END AS split
+FROM c WHERE pos < cut + 50
+""")(tail_split_capped)
+
+
+def eval_quota_q(spark, sf):
+    src = sources(spark, sf).select("source", "idx")
+    return L.eval_quota(src, "source", ["idx"], EVAL_SIZE // 4)
+
+
+register("eval_quota", f"""
+WITH r AS (SELECT lang AS source, doc_id AS idx, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn
+           FROM documents)
+SELECT source, idx FROM r WHERE rn <= {EVAL_SIZE // 4}
+""")(eval_quota_q)
+
+
+def eval_sample_q(spark, sf):
+    src = sources(spark, sf).select("source", "idx")
+    return L.eval_sample(src, "source", ["idx"], EVAL_SIZE // 4, SEED)
+
+
+register("eval_sample", f"""
+WITH r AS (SELECT lang AS source, doc_id AS idx,
+                  row_number() OVER (PARTITION BY lang ORDER BY {sql_hash_long(SEED, 'lang', 'doc_id')}, doc_id) AS rn
+           FROM documents)
+SELECT source, idx FROM r WHERE rn <= {EVAL_SIZE // 4}
+""")(eval_sample_q)
+
+
+# A four-source mix over documents.lang: two lazily read sources take their
+# first q rows, two batch sources a random q; 'de' declares a validation split.
+MIX_SPECS = [
+    {"name": "en", "weight": 2.0, "streaming": True},
+    {"name": "fr", "weight": 1.0, "streaming": True},
+    {"name": "de", "weight": 0.5, "streaming": False, "available_splits": ["train", "validation"]},
+    {"name": "es", "weight": 0.5, "streaming": False},
+]
+
+
+def eval_set_q(spark, sf):
+    mix = normalise_mix(build_mix(spark, MIX_SPECS)).select("source", "src_pos", "streaming")
+    src = sources(spark, sf).select("source", "idx")
+    q = EVAL_SIZE // len(MIX_SPECS)
+    lazy = L.eval_quota(src.join(F.broadcast(mix.filter("streaming")), "source", "left_semi"),
+                        "source", ["idx"], q)
+    eager = L.eval_sample(src.join(F.broadcast(mix.filter(~F.col("streaming"))), "source", "left_semi"),
+                          "source", ["idx"], q, SEED)
+    picked = L.eval_set(lazy.unionByName(eager), mix, ["idx"], EVAL_SIZE)
+    # Every source reads 'validation' when it declares one, else 'train'.
+    splits = eval_split(build_mix(spark, MIX_SPECS)).select("source", "eval_split")
+    return picked.join(F.broadcast(splits), "source").select("source", "idx", "eval_split")
+
+
+register("eval_set", f"""
+WITH r AS (SELECT lang AS source, doc_id AS idx,
+                  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn_first,
+                  row_number() OVER (PARTITION BY lang ORDER BY {sql_hash_long(SEED, 'lang', 'doc_id')}, doc_id)
+                    AS rn_rand
+           FROM documents),
+m AS (SELECT * FROM (VALUES ('en', 0, true, 'train'), ('fr', 1, true, 'train'), ('de', 2, false, 'validation'),
+                            ('es', 3, false, 'train')) t(source, src_pos, streaming, eval_split)),
+q AS (SELECT r.source, r.idx, m.src_pos, m.eval_split FROM r JOIN m ON r.source = m.source
+      WHERE (m.streaming AND rn_first <= {EVAL_SIZE // 4}) OR (NOT m.streaming AND rn_rand <= {EVAL_SIZE // 4}))
+SELECT source, idx, eval_split FROM q ORDER BY src_pos, idx LIMIT {EVAL_SIZE}
+""")(eval_set_q)
+
+
+def subsample_q(spark, sf):
+    src = sources(spark, sf).select("source", "idx")
+    return L.subsample(src, 0.3, ["source", "idx"], SEED)
+
+
+register("subsample", f"""
+SELECT lang AS source, doc_id AS idx FROM documents WHERE {sql_hash_uniform(SEED, 'lang', 'doc_id')} < 0.3
+""")(subsample_q)
+
+
+def overlap_report(spark, sf):
+    """Eval rows are drawn from 'train' (no validation split declared),
+    so they are also trained on; report the overlap and the excluded set."""
+    src = sources(spark, sf).select("source", "idx")
+    evald = L.eval_quota(src, "source", ["idx"], EVAL_SIZE // 4)
+    both = L.overlap(src, evald, ["source", "idx"])
+    kept = L.exclude_eval(src, evald, ["source", "idx"])
+    n_train = src.groupBy("source").agg(F.count(F.lit(1)).alias("n_train"))
+    n_eval = evald.groupBy("source").agg(F.count(F.lit(1)).alias("n_eval"))
+    n_both = both.groupBy("source").agg(F.count(F.lit(1)).alias("n_overlap"))
+    n_kept = kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_train_excl"))
+    return n_train.join(n_eval, "source", "left").join(n_both, "source", "left").join(n_kept, "source", "left") \
+        .select("source", "n_train", F.coalesce("n_eval", F.lit(0)).alias("n_eval"),
+                F.coalesce("n_overlap", F.lit(0)).alias("n_overlap"),
+                F.coalesce("n_train_excl", F.lit(0)).alias("n_train_excl"))
+
+
+register("overlap_report", f"""
+WITH r AS (SELECT lang AS source, doc_id AS idx, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn
+           FROM documents)
+SELECT source, count(*) AS n_train, count(*) FILTER (WHERE rn <= {EVAL_SIZE // 4}) AS n_eval,
+       count(*) FILTER (WHERE rn <= {EVAL_SIZE // 4}) AS n_overlap,
+       count(*) FILTER (WHERE rn > {EVAL_SIZE // 4}) AS n_train_excl
+FROM r GROUP BY source
+""")(overlap_report)
