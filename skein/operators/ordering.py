@@ -66,7 +66,7 @@ def _shift_table(bucketed: DataFrame, parts: list, value: Column | None) -> Data
     sizes = bucketed.groupBy(*parts, _B).agg(agg.alias("_skein_size"))
     w = Window.partitionBy(*parts).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(*parts, _B, F.coalesce(F.sum("_skein_size").over(w), F.lit(0))
-                        .cast("bigint").alias("_skein_off"))
+                        .cast("bigint").alias("_skein_shift"))
 
 
 def global_index(df: DataFrame, order: Sequence | str, partition: Sequence | str | None = None,
@@ -77,8 +77,8 @@ def global_index(df: DataFrame, order: Sequence | str, partition: Sequence | str
     shift = _shift_table(b, parts, None)
     rn = F.row_number().over(Window.partitionBy(*parts, _B).orderBy(*order))
     out = b.withColumn("_skein_rn", rn).join(shift, [*parts, _B])
-    return out.withColumn(name, (F.col("_skein_off") + F.col("_skein_rn") - 1).cast("bigint")) \
-              .drop(_B, "_skein_rn", "_skein_off")
+    return out.withColumn(name, (F.col("_skein_shift") + F.col("_skein_rn") - 1).cast("bigint")) \
+              .drop(_B, "_skein_rn", "_skein_shift")
 
 
 def prefix_sum(df: DataFrame, value: str | Column, order: Sequence | str,
@@ -100,5 +100,5 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence | str,
     shift = _shift_table(b, parts, v)
     w = Window.partitionBy(*parts, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
     out = b.withColumn("_skein_run", F.coalesce(F.sum(v).over(w), F.lit(0))).join(shift, [*parts, _B])
-    return out.withColumn(name, (F.col("_skein_off") + F.col("_skein_run")).cast("bigint")) \
-              .drop(_B, "_skein_run", "_skein_off")
+    return out.withColumn(name, (F.col("_skein_shift") + F.col("_skein_run")).cast("bigint")) \
+              .drop(_B, "_skein_run", "_skein_shift")

@@ -1 +1,218 @@
-"""Queries (filled in below)."""
+"""Queries for packing, mixing, shuffles and batch plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import batches as N
+from skein.operators import mixing as M
+from skein.operators import packing as K
+from skein.operators import tokens as T
+from skein.plans.derive import sources, sql_hash_long, sql_hash_uniform
+from skein.plans.q_sampling import MIX_SPECS
+from skein.plans.q_tokens import VOCAB, _vocab_sql
+from skein.plans.registry import load, register
+from skein.sources.mix import build_mix, normalise_mix
+
+SEED = 42
+BLOCK = 512
+GROUP_ROWS = 100
+WEIGHTS = {s["name"]: float(s["weight"]) for s in MIX_SPECS}
+
+
+def _weights_sql() -> str:
+    tot = sum(WEIGHTS.values())
+    rows = ", ".join(f"('{s}', {i}, {w}, {w / tot!r})" for i, (s, w) in enumerate(WEIGHTS.items()))
+    return f"(VALUES {rows}) AS m(source, src_pos, weight, weight_norm)"
+
+
+def _case_sql(u: str) -> str:
+    tot = sum(WEIGHTS.values())
+    cum, parts = 0.0, []
+    items = list(WEIGHTS.items())
+    for i, (s, w) in enumerate(items):
+        cum += w / tot
+        bound = 1.0 if i == len(items) - 1 else cum
+        parts.append(f"WHEN {u} < {bound!r} THEN '{s}'")
+    return "CASE " + " ".join(parts) + f" ELSE '{items[-1][0]}' END"
+
+
+# ---------------------------------------------------------------------------
+# K1/K2: packing in groups of 100 rows, and over the whole corpus.
+
+def pack_grouped(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    vocab = T.build_vocab(docs, "text", VOCAB)
+    out = K.pack(docs, vocab, ["doc_id"], BLOCK, "text", GROUP_ROWS, vocab_rows=VOCAB)
+    return out.select("pack_group", "block", "n_tok", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+def _pack_sql(group_expr: str) -> str:
+    return f"""
+WITH {_vocab_sql()},
+r AS (SELECT doc_id, toks, {group_expr} AS pack_group, len(toks) AS n FROM tk),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY pack_group ORDER BY doc_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+             sum(n) OVER (PARTITION BY pack_group) AS total FROM r),
+e AS (SELECT pack_group, total, off, generate_subscripts(toks, 1) AS p, unnest(toks) AS tok FROM o),
+b AS (SELECT pack_group, total, off + p - 1 AS o, tok, CAST(floor((off + p - 1) / {BLOCK}) AS BIGINT) AS block FROM e),
+f AS (SELECT b.pack_group, b.block, b.o, coalesce(v.id, 1) AS id FROM b LEFT JOIN vocab v ON b.tok = v.token
+      WHERE b.total < {BLOCK} OR (b.block + 1) * {BLOCK} <= b.total)
+SELECT pack_group, block, CAST(count(*) AS INTEGER) AS n_tok,
+       md5(array_to_string(list(id ORDER BY o), ',')) AS ids_md5
+FROM f GROUP BY pack_group, block
+"""
+
+
+register("pack_grouped", _pack_sql(
+    f"CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / {GROUP_ROWS}) AS BIGINT)"))(pack_grouped)
+
+
+def pack_global(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    vocab = T.build_vocab(docs, "text", VOCAB)
+    out = K.pack(docs, vocab, ["doc_id"], BLOCK, "text", None, vocab_rows=VOCAB)
+    return out.select("pack_group", "block", "n_tok", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+
+
+register("pack_global", _pack_sql("CAST(0 AS BIGINT)"))(pack_global)
+
+
+# ---------------------------------------------------------------------------
+# M1: normalised weights next to each source's size.
+
+def mix_weights(spark, sf):
+    mix = normalise_mix(build_mix(spark, MIX_SPECS)).select("source", "src_pos", "weight", "weight_norm")
+    n = sources(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    return mix.join(n, "source", "left").select(
+        "source", "src_pos", "weight", F.round("weight_norm", 6).alias("weight_norm"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.round(F.col("n_rows") / F.col("weight_norm"), 6).alias("draws_to_cover"))
+
+
+register("mix_weights", f"""
+WITH n AS (SELECT lang AS source, count(*) AS n_rows FROM documents GROUP BY lang)
+SELECT m.source, CAST(m.src_pos AS INTEGER) AS src_pos, CAST(m.weight AS DOUBLE) AS weight,
+       round(CAST(m.weight_norm AS DOUBLE), 6) AS weight_norm,
+       coalesce(n.n_rows, 0) AS n_rows, round(n.n_rows / CAST(m.weight_norm AS DOUBLE), 6) AS draws_to_cover
+FROM {_weights_sql()} LEFT JOIN n ON m.source = n.source
+""")(mix_weights)
+
+
+# ---------------------------------------------------------------------------
+# M2/M3: weighted interleave until every source has been read once.
+
+def _interleave_sql(stop: str) -> str:
+    if stop == "all_exhausted":
+        k_end = """e AS (SELECT max(k_end) + 1 AS K FROM (SELECT c.source, min(c.k) AS k_end FROM c JOIN n ON c.source = n.source
+                   WHERE c.c = n.n - 1 GROUP BY c.source))"""
+    else:
+        k_end = """e AS (SELECT min(c.k) AS K FROM c JOIN n ON c.source = n.source WHERE c.c = n.n)"""
+    return f"""
+WITH d AS (SELECT range AS k FROM range(40000)),
+u AS (SELECT k, {_case_sql(sql_hash_uniform(SEED, 'k'))} AS source FROM d),
+c AS (SELECT k, source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS c FROM u),
+n AS (SELECT lang AS source, count(*) AS n FROM documents GROUP BY lang),
+{k_end},
+p AS (SELECT c.k, c.source, c.c % n.n AS row, CAST(c.c // n.n AS BIGINT) AS epoch
+      FROM c JOIN n ON c.source = n.source, e WHERE c.k < e.K),
+r AS (SELECT lang AS source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row FROM documents)
+SELECT p.k, p.source, p.epoch, r.doc_id FROM p JOIN r ON p.source = r.source AND p.row = r.row
+"""
+
+
+def interleave_exhausted(spark, sf):
+    data = sources(spark, sf).select("source", "idx", "doc_id")
+    out = M.interleave(spark, data, WEIGHTS, ["idx"], SEED, "all_exhausted")
+    return out.select("k", "source", "epoch", "doc_id")
+
+
+register("interleave_exhausted", _interleave_sql("all_exhausted"))(interleave_exhausted)
+
+
+def interleave_first(spark, sf):
+    data = sources(spark, sf).select("source", "idx", "doc_id")
+    out = M.interleave(spark, data, WEIGHTS, ["idx"], SEED, "first_exhausted")
+    return out.select("k", "source", "epoch", "doc_id")
+
+
+register("interleave_first", _interleave_sql("first_exhausted"))(interleave_first)
+
+
+# ---------------------------------------------------------------------------
+# M4: global and buffered shuffles.
+
+def shuffle_global_q(spark, sf):
+    src = sources(spark, sf).select("source", "idx")
+    return M.shuffle_global(src, ["source", "idx"], SEED)
+
+
+register("shuffle_global", f"""
+SELECT lang AS source, doc_id AS idx,
+       CAST(row_number() OVER (ORDER BY {sql_hash_long(SEED, 'lang', 'doc_id')}, lang, doc_id) - 1 AS BIGINT) AS pos
+FROM documents
+""")(shuffle_global_q)
+
+
+def shuffle_buffered_q(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id")
+    return M.shuffle_buffered(d, "doc_id", 100, SEED)
+
+
+register("shuffle_buffered", f"""
+SELECT doc_id,
+       CAST(floor(doc_id / 100) * 100 + row_number() OVER (PARTITION BY floor(doc_id / 100)
+            ORDER BY {sql_hash_long(SEED, 'doc_id')}, doc_id) - 1 AS BIGINT) AS pos
+FROM documents
+""")(shuffle_buffered_q)
+
+
+def concat_sources(spark, sf):
+    src = sources(spark, sf)
+    parts = [src.filter(F.col("source") == s).select("source", "idx", F.length("text").alias("n_chars"))
+             for s in WEIGHTS]
+    return M.concat(parts)
+
+
+register("concat_sources", """
+SELECT lang AS source, doc_id AS idx, CAST(length(text) AS INTEGER) AS n_chars FROM documents
+""")(concat_sources)
+
+
+# ---------------------------------------------------------------------------
+# Batch plan over two shuffled epochs; capped and resumed plan.
+
+def _batch_sql(max_steps: int | None, resume: int | None) -> str:
+    cond = ""
+    if max_steps is not None:
+        cond += f" AND (epoch * per + pos // 8) // 4 < {max_steps}"
+    if resume is not None:
+        cond += f" AND (epoch * per + pos // 8) // 4 >= {resume}"
+    return f"""
+WITH d AS (SELECT doc_id, e.epoch FROM documents, (SELECT range AS epoch FROM range(2)) e),
+p AS (SELECT doc_id, epoch,
+             row_number() OVER (PARTITION BY epoch ORDER BY {sql_hash_long(SEED, 'epoch', 'doc_id')}, doc_id) - 1 AS pos
+      FROM d),
+n AS (SELECT count(*) // 8 AS per FROM documents)
+SELECT doc_id, CAST(epoch AS BIGINT) AS epoch, CAST(pos AS BIGINT) AS pos,
+       CAST(epoch * per + pos // 8 AS BIGINT) AS batch, CAST((epoch * per + pos // 8) // 4 AS BIGINT) AS step
+FROM p, n WHERE pos < per * 8 {cond}
+"""
+
+
+def batch_plan(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id")
+    return N.plan_batches(d, ["doc_id"], batch=8, accum=4, drop_last=True, epochs=2, seed=SEED) \
+        .select("doc_id", "epoch", "pos", "batch", "step")
+
+
+register("batch_plan", _batch_sql(None, None))(batch_plan)
+
+
+def resume_plan(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id")
+    plan = N.plan_batches(d, ["doc_id"], batch=8, accum=4, drop_last=True, epochs=2, max_steps=40, seed=SEED)
+    return N.resume(plan, 5).select("doc_id", "epoch", "pos", "batch", "step")
+
+
+register("resume_plan", _batch_sql(40, 5))(resume_plan)
