@@ -60,13 +60,20 @@ def range_buckets(df: DataFrame, key: str, buckets: int | None = None,
     return bk.transform(with_d).withColumn(_B, F.col(_B).cast("int")).drop(_KD)
 
 
-def _shift_table(bucketed: DataFrame, parts: list, value: Column | None) -> DataFrame:
-    """One row per (parts, bucket): exclusive running total of bucket sizes."""
-    agg = F.count(F.lit(1)) if value is None else F.sum(value)
+_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def _shift_table(bucketed: DataFrame, parts: list, value: Column | None, how: str = "sum") -> DataFrame:
+    """One row per (parts, bucket): the aggregate of all earlier buckets.
+
+    ``value=None`` counts rows. Only associative aggregates are allowed."""
+    agg = F.count(F.lit(1)) if value is None else _AGG[how](value)
     sizes = bucketed.groupBy(*parts, _B).agg(agg.alias("_skein_size"))
     w = Window.partitionBy(*parts).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(*parts, _B, F.coalesce(F.sum("_skein_size").over(w), F.lit(0))
-                        .cast("bigint").alias("_skein_shift"))
+    prev = _AGG[how]("_skein_size").over(w)
+    if how == "sum" or value is None:
+        prev = F.coalesce(prev, F.lit(0))
+    return sizes.select(*parts, _B, prev.alias("_skein_shift"))
 
 
 def global_index(df: DataFrame, order: Sequence | str, partition: Sequence | str | None = None,
@@ -90,15 +97,31 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence | str,
     ``bounded_groups=True`` says every partition group is small (e.g. a pack
     group of 1000 rows), so a plain partitioned window is used.
     """
+    out = scan(df, value, order, partition, name, "sum", inclusive, buckets, bounded_groups)
+    return out.withColumn(name, F.col(name).cast("bigint"))
+
+
+def scan(df: DataFrame, value: str | Column, order: Sequence | str,
+         partition: Sequence | str | None = None, name: str = "cum", how: str = "sum",
+         inclusive: bool = True, buckets: int | None = None, bounded_groups: bool = False) -> DataFrame:
+    """Running ``how`` (sum, max, min) of ``value``; exclusive scans of an
+    empty prefix give 0 for sum and NULL for max/min."""
     order, parts = _cols(order), _cols(partition)
     v = F.col(value) if isinstance(value, str) else value
+    fn = _AGG[how]
     frame_end = 0 if inclusive else -1
     if bounded_groups and parts:
         w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.withColumn(name, F.coalesce(F.sum(v).over(w), F.lit(0)).cast("bigint"))
+        r = fn(v).over(w)
+        return df.withColumn(name, F.coalesce(r, F.lit(0)) if how == "sum" else r)
     b = range_buckets(df, _name(order[0]), buckets)
-    shift = _shift_table(b, parts, v)
+    shift = _shift_table(b, parts, v, how)
     w = Window.partitionBy(*parts, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    out = b.withColumn("_skein_run", F.coalesce(F.sum(v).over(w), F.lit(0))).join(shift, [*parts, _B])
-    return out.withColumn(name, (F.col("_skein_shift") + F.col("_skein_run")).cast("bigint")) \
-              .drop(_B, "_skein_run", "_skein_shift")
+    out = b.withColumn("_skein_run", fn(v).over(w)).join(shift, [*parts, _B])
+    if how == "sum":
+        res = F.col("_skein_shift") + F.coalesce(F.col("_skein_run"), F.lit(0))
+    elif how == "max":
+        res = F.greatest(F.col("_skein_shift"), F.col("_skein_run"))
+    else:
+        res = F.least(F.col("_skein_shift"), F.col("_skein_run"))
+    return out.withColumn(name, res).drop(_B, "_skein_run", "_skein_shift")

@@ -75,7 +75,7 @@ def steplog(spark: SparkSession, sf: str) -> DataFrame:
     """
     ev = load(spark, sf, "events").select("event_id", "ts", "user_id", "value")
     return ev.select(
-        F.col("user_id").alias("seq_id"), "ts", "event_id",
+        F.col("user_id").alias("seq_id"), "ts", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts_us"), "event_id",
         F.round(F.col("value") / 10.0 - 1.0, 4).alias("q_halt"),
         F.round((F.col("event_id") % 7) / 3.0 - 1.0, 4).alias("q_continue"))
 
@@ -90,16 +90,18 @@ steplog AS (
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """(run_id, step, metric, value): each user's events are one run's eval log.
 
-    step = event_id (unique, increasing with time); metric 'eval_loss'.
+    step = event_id (unique, increasing with time); metric 'eval_loss';
+    value = events.value / 100 (a loss-sized number).
     """
-    ev = load(spark, sf, "events").select("event_id", "user_id", "value", "event_type")
+    ev = load(spark, sf, "events").select("event_id", "user_id", "value")
     return ev.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("step"),
-                     F.lit("eval_loss").alias("metric"), F.col("value").alias("value"))
+                     F.lit("eval_loss").alias("metric"), (F.col("value") / 100.0).alias("value"))
 
 
 RUN_METRICS_SQL = """
 run_metrics AS (
-  SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS step, 'eval_loss' AS metric, value FROM events)"""
+  SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS step, 'eval_loss' AS metric,
+         value / CAST(100 AS DOUBLE) AS value FROM events)"""
 
 
 def sql_key(seed, *exprs: str) -> str:

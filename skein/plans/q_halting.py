@@ -1 +1,95 @@
-"""Queries (filled in below)."""
+"""Queries for the halting rules over the step log."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skein.operators import halting as W
+from skein.plans.derive import STEPLOG_SQL, steplog
+from skein.plans.registry import register
+
+MAXS = W.MAX_STEPS
+ORDER = ["ts_us", "event_id"]
+
+
+def halting_sql(training: bool = True) -> str:
+    """CTEs r, l, h, tg, hs: the halting rules on the step log in DuckDB."""
+    if training:
+        step = f"CAST(((rank - last_sig - 1) % {MAXS}) + 1 AS INTEGER)"
+        halted = f"step >= {MAXS} OR q_halt > q_continue"
+    else:
+        step = f"CAST(((rank - 1) % {MAXS}) + 1 AS INTEGER)"
+        halted = f"step >= {MAXS}"
+    return f"""{STEPLOG_SQL},
+r AS (SELECT seq_id, event_id, q_halt, q_continue,
+             row_number() OVER (PARTITION BY seq_id ORDER BY ts, event_id) AS rank FROM steplog),
+l AS (SELECT *, coalesce(max(CASE WHEN q_halt > q_continue THEN rank END)
+                  OVER (PARTITION BY seq_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  AS last_sig FROM r),
+st AS (SELECT *, {step} AS step FROM l),
+h AS (SELECT *, ({halted}) AS halted FROM st),
+tg AS (SELECT h.*, 1.0 / (1.0 + exp(-(CASE WHEN h.step >= {MAXS} THEN n.q_halt
+                                       ELSE greatest(n.q_halt, n.q_continue) END))) AS target_q_continue
+       FROM h LEFT JOIN h n ON n.seq_id = h.seq_id AND n.rank = h.rank + 1),
+fh AS (SELECT seq_id, min(rank) FILTER (WHERE halted) AS first_halt, max(rank) AS last_rank FROM tg GROUP BY seq_id),
+hs AS (SELECT tg.seq_id, fh.first_halt IS NOT NULL AS halted, tg.step AS steps, tg.q_halt, tg.q_continue,
+              tg.target_q_continue
+       FROM tg JOIN fh ON tg.seq_id = fh.seq_id AND tg.rank = coalesce(fh.first_halt, fh.last_rank))"""
+
+
+def _steps(spark, sf, training=True):
+    return W.halt_steps(steplog(spark, sf), ORDER, MAXS, training)
+
+
+def halt_steps_train(spark, sf):
+    return _steps(spark, sf, True).select("seq_id", "event_id", "rank", "step", "halted")
+
+
+register("halt_steps_train", f"""
+WITH {halting_sql(True)}
+SELECT seq_id, event_id, CAST(rank AS BIGINT) AS rank, step, halted FROM h
+""")(halt_steps_train)
+
+
+def halt_steps_eval(spark, sf):
+    return _steps(spark, sf, False).select("seq_id", "event_id", "rank", "step", "halted")
+
+
+register("halt_steps_eval", f"""
+WITH {halting_sql(False)}
+SELECT seq_id, event_id, CAST(rank AS BIGINT) AS rank, step, halted FROM h
+""")(halt_steps_eval)
+
+
+def halt_targets_q(spark, sf):
+    t = W.halt_targets(_steps(spark, sf, True), MAXS)
+    return t.select("seq_id", "event_id", F.round("target_q_continue", 6).alias("target_q_continue"))
+
+
+register("halt_targets", f"""
+WITH {halting_sql(True)}
+SELECT seq_id, event_id, round(target_q_continue, 6) AS target_q_continue FROM tg
+""")(halt_targets_q)
+
+
+def steps_histogram_q(spark, sf):
+    state = W.halt_state(W.halt_targets(_steps(spark, sf, True), MAXS))
+    return W.steps_histogram(state)
+
+
+register("steps_histogram", f"""
+WITH {halting_sql(True)}
+SELECT steps, count(*) AS n_seqs FROM hs WHERE halted GROUP BY steps
+""")(steps_histogram_q)
+
+
+def halt_state_q(spark, sf):
+    state = W.halt_state(W.halt_targets(_steps(spark, sf, True), MAXS))
+    return state.select("seq_id", "halted", "steps", "q_halt", "q_continue",
+                        F.round("target_q_continue", 6).alias("target_q_continue"))
+
+
+register("halt_state", f"""
+WITH {halting_sql(True)}
+SELECT seq_id, halted, steps, q_halt, q_continue, round(target_q_continue, 6) AS target_q_continue FROM hs
+""")(halt_state_q)
