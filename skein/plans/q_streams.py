@@ -1 +1,140 @@
-"""Queries (filled in below)."""
+"""Queries for the streaming forms (X1-X5) and the Python-worker paths.
+
+Each stream reads a driver table as a file source, runs to completion with
+``availableNow`` and writes under the shared checkpoint folder; the query then
+reads the sink back. Stream output must equal the batch operator's output, so
+the oracles are the batch queries' SQL.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from skein.operators import infer as U
+from skein.operators import tokens as T
+from skein.plans import q_halting, q_sampling, q_tokens
+from skein.plans.derive import sql_hash_long
+from skein.plans.q_format import wrap_prompt_q
+from skein.plans.registry import ORACLE, load, register
+from skein.streaming import prepare as X
+from skein.streaming.halting import stream_halting as _stream_halting
+
+SEED = 42
+
+
+def _stream_of(spark, sf, table):
+    schema = load(spark, sf, table).schema
+    return X.file_stream(spark, sf, schema, glob=f"{table}.parquet")
+
+
+def stream_prepare_q(spark, sf):
+    """Documents stream -> tokenize -> fit 512 -> mask, per micro-batch;
+    the result is summarised like the flagship query (stream = batch)."""
+    docs = load(spark, sf, "documents").select("doc_id", "lang", "text")
+    vocab_path = X.scratch(spark, "vocab")
+    T.build_vocab(docs, "text", q_tokens.VOCAB).write.parquet(vocab_path)
+    vocab = spark.read.parquet(vocab_path)
+
+    def prepare(batch):
+        return T.tokenize(batch.select("doc_id", "lang", "text"), ["doc_id", "lang"], vocab, "text",
+                          q_tokens.BLOCK, vocab_rows=q_tokens.VOCAB)
+
+    sink, ckpt = X.scratch(spark, "prepared"), X.scratch(spark, "ckpt")
+    X.stream_prepare(_stream_of(spark, sf, "documents"), prepare, sink, ckpt).awaitTermination()
+    fitted = X.read_batches(spark, sink)
+    B = q_tokens.BLOCK
+    return fitted.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum("n_tok").cast("bigint").alias("n_tokens"),
+        F.sum(F.size(F.filter("attention_mask", lambda m: m == 0))).cast("bigint").alias("n_pad"),
+        F.round(F.sum(F.size(F.filter("attention_mask", lambda m: m == 0))) / (F.count(F.lit(1)) * B), 6)
+         .alias("pad_frac"),
+        F.count_if(F.col("n_raw") > B).alias("n_truncated"),
+        F.sum(F.size(F.filter("input_ids", lambda x: x == T.UNK_ID))).cast("bigint").alias("n_unk"),
+        F.sum(F.size(F.filter("labels", lambda x: x == -100))).cast("bigint").alias("n_masked"))
+
+
+register("stream_prepare", ORACLE["corpus_token_stats"])(stream_prepare_q)
+
+
+def stream_take_q(spark, sf):
+    """Take 100 rows of the documents stream."""
+    sink, ckpt = X.scratch(spark, "take"), X.scratch(spark, "ckpt")
+    X.stream_take(_stream_of(spark, sf, "documents").select("doc_id", "lang"), 100, sink, ckpt).awaitTermination()
+    return spark.read.parquet(sink).agg(F.count(F.lit(1)).alias("n_rows"),
+                                        F.count_distinct("doc_id").alias("n_distinct"))
+
+
+register("stream_take", """
+SELECT least(count(*), 100) AS n_rows, least(count(DISTINCT doc_id), 100) AS n_distinct FROM documents
+""")(stream_take_q)
+
+
+def stream_shuffle_q(spark, sf):
+    """Shuffle buffer of one micro-batch (here the whole file)."""
+    sink, ckpt = X.scratch(spark, "shuffle"), X.scratch(spark, "ckpt")
+    X.stream_shuffle(_stream_of(spark, sf, "documents").select("doc_id"), ["doc_id"], sink, ckpt,
+                     SEED).awaitTermination()
+    return X.read_batches(spark, sink).select("doc_id", "pos")
+
+
+register("stream_shuffle", f"""
+SELECT doc_id, CAST(row_number() OVER (ORDER BY {sql_hash_long(SEED, 'doc_id')}, doc_id) - 1 AS BIGINT) AS pos
+FROM documents
+""")(stream_shuffle_q)
+
+
+def stream_quota_q(spark, sf):
+    """First q rows per source from the stream."""
+    sink, ckpt = X.scratch(spark, "quota"), X.scratch(spark, "ckpt")
+    sdf = _stream_of(spark, sf, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("idx"))
+    X.stream_quota(sdf, "source", ["idx"], q_sampling.EVAL_SIZE // 4, sink, ckpt).awaitTermination()
+    return X.read_batches(spark, sink).select("source", "idx")
+
+
+register("stream_quota", ORACLE["eval_quota"])(stream_quota_q)
+
+
+def stream_halting_q(spark, sf):
+    """The halting rule as per-sequence streaming state."""
+    ev = _stream_of(spark, sf, "events")
+    steps = ev.select(
+        F.col("user_id").alias("seq_id"),
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts_us"),
+        "event_id", F.round(F.col("value") / 10.0 - 1.0, 4).alias("q_halt"),
+        F.round((F.col("event_id") % 7) / 3.0 - 1.0, 4).alias("q_continue"))
+    sink, ckpt = X.scratch(spark, "halting"), X.scratch(spark, "ckpt")
+    out = _stream_halting(steps, q_halting.MAXS, True)
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt) \
+       .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).select("seq_id", "event_id", "rank", "step", "halted")
+
+
+register("stream_halting", ORACLE["halt_steps_train"])(stream_halting_q)
+
+
+def batch_infer_q(spark, sf):
+    """U4: a user model over the wrapped prompt table (built once per worker)."""
+    prompts = wrap_prompt_q(spark, sf)
+    return U.batch_infer(prompts, U.tail_echo_factory(16), "wrapped", ["kind", "id"])
+
+
+register("batch_infer", f"""
+WITH w AS ({ORACLE['wrap_prompt']})
+SELECT kind, id, right(wrapped, 16) || '|' || CAST(length(wrapped) AS VARCHAR) AS completion FROM w
+""")(batch_infer_q)
+
+
+def tokenize_udf(spark, sf):
+    """A user tokenizer in a pandas UDF, then fit/mask like the native path."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    ids = U.tokenize_with(docs, U.byte_tokenizer_factory(T.BYTE_OFFSET), "text").select("doc_id", "ids")
+    out = T.fit(ids.withColumn("n_raw", F.size("ids")), "ids", q_tokens.BLOCK).drop("ids")
+    return out.select("doc_id", F.col("n_raw").cast("bigint").alias("n_bytes"), "n_tok",
+                      F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+                      F.md5(F.array_join("labels", ",")).alias("labels_md5"))
+
+
+register("tokenize_udf", ORACLE["tokenize_bytes"])(tokenize_udf)
