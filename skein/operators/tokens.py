@@ -49,17 +49,31 @@ def split_tokens(text, pattern: str = WORD_PATTERN) -> Column:
                       F.array().cast("array<string>"))
 
 
-def byte_ids(text) -> Column:
-    """array<int> of UTF-8 byte ids (byte + 2)."""
-    pairs = F.regexp_extract_all(F.hex(F.coalesce(_c(text), F.lit(""))), F.lit(".."), 0)
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + F.lit(BYTE_OFFSET))
+def byte_ids(text, max_len: int | None = None) -> Column:
+    """array<int> of UTF-8 byte ids (byte + 2).
+
+    The UTF-8 bytes are re-read as ISO-8859-1 (one character per byte) and
+    split into characters, whose code points are the byte values. With
+    ``max_len`` only a prefix of the text is split: the first n characters
+    hold at least n bytes.
+    """
+    t = F.coalesce(_c(text), F.lit(""))
+    if max_len is not None:
+        t = F.substring(t, 1, max_len)
+    latin = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    chars = F.split(latin, "")
+    ids = F.transform(chars, lambda ch: F.ascii(ch) + F.lit(BYTE_OFFSET))
+    if max_len is not None:
+        ids = F.slice(ids, 1, max_len)
+    return F.when(F.length(latin) == 0, F.array().cast("array<int>")).otherwise(ids)
 
 
 def decode_bytes(ids) -> Column:
-    """Inverse of ``byte_ids`` (T3 for the byte tokenizer); pad ids skipped."""
+    """Inverse of ``byte_ids`` (T3 for the byte tokenizer); pad ids skipped.
+    Byte values become ISO-8859-1 characters, re-encoded and read as UTF-8."""
     real = F.filter(_c(ids), lambda x: x >= F.lit(BYTE_OFFSET))
-    hexs = F.transform(real, lambda x: F.lpad(F.hex(x - F.lit(BYTE_OFFSET)), 2, "0"))
-    return F.decode(F.unhex(F.array_join(hexs, "")), "UTF-8")
+    latin = F.array_join(F.transform(real, lambda x: F.chr(x - F.lit(BYTE_OFFSET))), "")
+    return F.decode(F.encode(latin, "ISO-8859-1"), "UTF-8")
 
 
 def build_vocab(df: DataFrame, text: str = "text", size: int = 8192,
@@ -102,11 +116,32 @@ def token_ids_long(df: DataFrame, keys: Sequence[str], vocab: DataFrame, text: s
 
 
 def collect_ids(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rebuild (keys..., n_raw, ids) from long form, in token order."""
-    g = long.groupBy(*keys).agg(
-        F.max("n_raw").alias("n_raw"),
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_p"))
-    return g.select(*keys, "n_raw", F.transform("_p", lambda s: s["id"]).alias("ids"))
+    """Rebuild (keys..., n_raw, ids) from long form, in token order.
+
+    Each (pos, id) is packed into one long, pos in the high bits, so ordering
+    is a primitive sort instead of a struct sort."""
+    packed = F.col("pos").cast("long") * F.lit(1 << 32) + F.col("id")
+    g = long.groupBy(*keys).agg(F.max("n_raw").alias("n_raw"),
+                                F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), packed))).alias("_p"))
+    return g.select(*keys, "n_raw", F.transform("_p", lambda x: (x % F.lit(1 << 32)).cast("int")).alias("ids"))
+
+
+def token_counts(df: DataFrame, by: Sequence[str], text: str = "text", pattern: str = WORD_PATTERN) -> DataFrame:
+    """(by..., token, c): occurrences per group and token. Map-side partial
+    aggregation shrinks a hot token to one row per task before the shuffle;
+    joins with a vocabulary then see distinct (group, token) pairs only."""
+    ex = df.select(*by, F.explode(split_tokens(text, pattern)).alias("token"))
+    return ex.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("c"))
+
+
+def unk_counts(counts: DataFrame, by: Sequence[str], vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
+    """(by..., n_tokens, n_unk, n_distinct_ids) from ``token_counts``."""
+    v = _vocab_side(vocab.select("token", "id"), vocab_rows)
+    j = counts.join(v, "token", "left")
+    return j.groupBy(*by).agg(F.sum("c").cast("bigint").alias("n_tokens"),
+                              F.sum(F.when(F.col("id").isNull(), F.col("c")).otherwise(0)).cast("bigint")
+                              .alias("n_unk"),
+                              F.count_distinct(F.coalesce("id", F.lit(UNK_ID))).alias("n_distinct_ids"))
 
 
 def fit(df: DataFrame, ids: str = "ids", block_size: int = 512, pad_id: int = PAD_ID,
@@ -143,11 +178,13 @@ def tokenize(df: DataFrame, keys: Sequence[str], vocab: DataFrame, text: str = "
 
 def tokenize_bytes(df: DataFrame, keys: Sequence[str], text: str = "text",
                    block_size: int | None = 512, pad_id: int = PAD_ID) -> DataFrame:
-    """Byte tokenizer: a pure projection, no shuffle."""
-    out = df.select(*keys, byte_ids(text).alias("ids"))
-    out = out.withColumn("n_raw", F.size("ids"))
+    """Byte tokenizer: a pure projection, no shuffle. In padded mode only the
+    first ``block_size`` characters are split; n_raw is the full byte length."""
     if block_size is None:
-        return out.withColumn("n_tok", F.col("n_raw"))
+        out = df.select(*keys, byte_ids(text).alias("ids"))
+        return out.withColumn("n_raw", F.size("ids")).withColumn("n_tok", F.col("n_raw"))
+    out = df.select(*keys, byte_ids(text, block_size).alias("ids"),
+                    F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("n_raw"))
     return fit(out, "ids", block_size, pad_id).drop("ids")
 
 

@@ -189,10 +189,11 @@ FROM s JOIN b ON s.lang = b.lang
 
 
 def distinct_ids_q(spark, sf):
+    """A16 per language, from distinct (lang, token) pairs."""
     docs = load(spark, sf, "documents").select("doc_id", "lang", "text")
     vocab = T.build_vocab(docs, "text", VOCAB)
-    ids = T.tokenize(docs, ["doc_id", "lang"], vocab, "text", None, vocab_rows=VOCAB)
-    return A.distinct_ids(ids, "ids", "lang")
+    c = T.unk_counts(T.token_counts(docs, ["lang"]), ["lang"], vocab, VOCAB)
+    return c.select("lang", F.col("n_distinct_ids").alias("n_distinct"))
 
 
 register("distinct_ids", f"""
@@ -205,16 +206,18 @@ GROUP BY e.lang
 
 def mix_report(spark, sf):
     """Per source rows, tokens, token share vs target weight, unknown and
-    padding fractions at the block size."""
+    padding fractions at the block size. Counts come from per-row token
+    counts and pre-aggregated (source, token) pairs; no id arrays are built."""
     from skein.plans.q_sampling import MIX_SPECS
     from skein.sources.mix import build_mix, normalise_mix
     src = sources(spark, sf).select("source", "idx", "text")
     vocab = T.build_vocab(src, "text", VOCAB)
-    ids = T.tokenize(src, ["source", "idx"], vocab, "text", None, vocab_rows=VOCAB)
-    per = ids.groupBy("source").agg(
+    unk = T.unk_counts(T.token_counts(src, ["source"]), ["source"], vocab, VOCAB).select("source", "n_unk")
+    rows = src.select("source", F.size(T.split_tokens("text")).alias("n_tok"))
+    per = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n_tok").cast("bigint").alias("n_tokens"),
-        F.sum(F.size(F.filter("ids", lambda x: x == T.UNK_ID))).cast("bigint").alias("n_unk"),
         F.sum(F.greatest(F.lit(0), F.lit(BLOCK) - F.col("n_tok"))).cast("bigint").alias("n_pad"))
+    per = per.join(unk, "source")
     mix = normalise_mix(build_mix(spark, MIX_SPECS)).select("source", "weight_norm")
     allt = per.agg(F.sum("n_tokens")).collect()[0][0]
     return per.join(F.broadcast(mix), "source").select(

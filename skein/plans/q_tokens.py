@@ -201,22 +201,23 @@ FROM m
 # Three tokenizers on the same text, per language.
 
 def tokenizer_compare(spark, sf):
+    """Word, piece and byte tokenizers on the same text, per language.
+    Counts only, so tokens are pre-aggregated per (lang, token) and never
+    rebuilt into id arrays."""
     docs = _docs(spark, sf)
     out = None
     for name, pattern in (("word", T.WORD_PATTERN), ("piece", T.PIECE_PATTERN)):
         vocab = T.build_vocab(docs, "text", VOCAB, pattern)
-        ids = T.tokenize(docs, ["doc_id", "lang"], vocab, "text", None, pattern, vocab_rows=VOCAB)
-        part = ids.select("lang", F.lit(name).alias("tokenizer"), "n_tok",
-                          F.size(F.filter("ids", lambda x: x == T.UNK_ID)).alias("n_unk"))
+        c = T.unk_counts(T.token_counts(docs, ["lang"], "text", pattern), ["lang"], vocab, VOCAB)
+        part = c.select("lang", F.lit(name).alias("tokenizer"), "n_tokens", "n_unk")
         out = part if out is None else out.unionByName(part)
-    by = T.tokenize_bytes(docs, ["doc_id", "lang"], "text", None).select(
-        "lang", F.lit("bytes").alias("tokenizer"), "n_tok", F.lit(0).alias("n_unk"))
+    chars = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
+                                     F.sum(F.length("text")).cast("bigint").alias("n_chars"),
+                                     F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"))
+    by = chars.select("lang", F.lit("bytes").alias("tokenizer"), F.col("n_bytes").alias("n_tokens"),
+                      F.lit(0).cast("bigint").alias("n_unk"))
     out = out.unionByName(by)
-    chars = docs.groupBy("lang").agg(F.sum(F.length("text")).cast("bigint").alias("n_chars"))
-    agg = out.groupBy("tokenizer", "lang").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n_tok").cast("bigint").alias("n_tokens"),
-        F.sum("n_unk").cast("bigint").alias("n_unk"))
-    return agg.join(chars, "lang").select(
+    return out.join(chars, "lang").select(
         "tokenizer", "lang", "n_docs", "n_tokens", "n_unk",
         F.round(F.col("n_chars") / F.col("n_tokens"), 6).alias("chars_per_token"),
         F.round(F.col("n_unk") / F.col("n_tokens"), 6).alias("unk_rate"))
