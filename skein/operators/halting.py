@@ -20,23 +20,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.ordering import global_index, scan
+from skein.operators.ordering import drop_bucket, global_index, scan
 
 MAX_STEPS = 8
 EXPLORE_P = 0.1
 
 
-def rank_steps(steplog: DataFrame, order: Sequence[str], seq: str = "seq_id") -> DataFrame:
+def rank_steps(steplog: DataFrame, order: Sequence[str], seq: str = "seq_id",
+               keep_bucket: bool = False) -> DataFrame:
     """W1 helper: 1-based rank of each logged step within its sequence."""
-    ix = global_index(steplog, list(order), seq, name="_skein_r")
+    ix = global_index(steplog, list(order), seq, name="_skein_r", keep_bucket=keep_bucket)
     return ix.withColumn("rank", F.col("_skein_r") + 1).drop("_skein_r")
 
 
 def halt_steps(steplog: DataFrame, order: Sequence[str], max_steps: int = MAX_STEPS, training: bool = True,
                seq: str = "seq_id") -> DataFrame:
     """Add rank, step (counter since the last halt) and halted."""
-    r = rank_steps(steplog, order, seq)
     act = training and max_steps > 1
+    r = rank_steps(steplog, order, seq, keep_bucket=act)
     signal = F.col("q_halt") > F.col("q_continue")
     if act:
         r = r.withColumn("_skein_sig", F.when(signal, F.col("rank")))
@@ -48,7 +49,7 @@ def halt_steps(steplog: DataFrame, order: Sequence[str], max_steps: int = MAX_ST
     halted = F.col("step") >= max_steps
     if act:
         halted = halted | signal
-    return r.withColumn("halted", halted).drop("_skein_sig", "_skein_last")
+    return drop_bucket(r.withColumn("halted", halted).drop("_skein_sig", "_skein_last"))
 
 
 def halt_targets(steps: DataFrame, max_steps: int = MAX_STEPS, seq: str = "seq_id") -> DataFrame:

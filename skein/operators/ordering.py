@@ -76,16 +76,33 @@ def _shift_table(bucketed: DataFrame, parts: list, value: Column | None, how: st
     return sizes.select(*parts, _B, prev.alias("_skein_shift"))
 
 
+def _bucketed(df: DataFrame, key: str, buckets: int | None) -> tuple[DataFrame, bool]:
+    """Reuse a bucket column left by an earlier step of a chain (its bounds are
+    monotone in this step's order too), else cut new range buckets."""
+    if _B in df.columns:
+        return df, True
+    return range_buckets(df, key, buckets), False
+
+
+def drop_bucket(df: DataFrame) -> DataFrame:
+    return df.drop(_B)
+
+
 def global_index(df: DataFrame, order: Sequence | str, partition: Sequence | str | None = None,
-                 name: str = "idx", buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in ``order`` (within ``partition``)."""
+                 name: str = "idx", buckets: int | None = None, keep_bucket: bool = False) -> DataFrame:
+    """0-based position of each row in ``order`` (within ``partition``).
+
+    ``keep_bucket=True`` leaves the bucket column for a following scan in a
+    monotone order, which then reuses the same partitioning (no new exchange
+    and no new quantile pass)."""
     order, parts = _cols(order), _cols(partition)
-    b = range_buckets(df, _name(order[0]), buckets)
+    b, reused = _bucketed(df, _name(order[0]), buckets)
     shift = _shift_table(b, parts, None)
     rn = F.row_number().over(Window.partitionBy(*parts, _B).orderBy(*order))
     out = b.withColumn("_skein_rn", rn).join(shift, [*parts, _B])
-    return out.withColumn(name, (F.col("_skein_shift") + F.col("_skein_rn") - 1).cast("bigint")) \
-              .drop(_B, "_skein_rn", "_skein_shift")
+    out = out.withColumn(name, (F.col("_skein_shift") + F.col("_skein_rn") - 1).cast("bigint")) \
+             .drop("_skein_rn", "_skein_shift")
+    return out if (keep_bucket or reused) else out.drop(_B)
 
 
 def prefix_sum(df: DataFrame, value: str | Column, order: Sequence | str,
@@ -103,7 +120,8 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence | str,
 
 def scan(df: DataFrame, value: str | Column, order: Sequence | str,
          partition: Sequence | str | None = None, name: str = "cum", how: str = "sum",
-         inclusive: bool = True, buckets: int | None = None, bounded_groups: bool = False) -> DataFrame:
+         inclusive: bool = True, buckets: int | None = None, bounded_groups: bool = False,
+         keep_bucket: bool = False) -> DataFrame:
     """Running ``how`` (sum, max, min) of ``value``; exclusive scans of an
     empty prefix give 0 for sum and NULL for max/min."""
     order, parts = _cols(order), _cols(partition)
@@ -114,7 +132,7 @@ def scan(df: DataFrame, value: str | Column, order: Sequence | str,
         w = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
         r = fn(v).over(w)
         return df.withColumn(name, F.coalesce(r, F.lit(0)) if how == "sum" else r)
-    b = range_buckets(df, _name(order[0]), buckets)
+    b, reused = _bucketed(df, _name(order[0]), buckets)
     shift = _shift_table(b, parts, v, how)
     w = Window.partitionBy(*parts, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
     out = b.withColumn("_skein_run", fn(v).over(w)).join(shift, [*parts, _B])
@@ -124,4 +142,5 @@ def scan(df: DataFrame, value: str | Column, order: Sequence | str,
         res = F.greatest(F.col("_skein_shift"), F.col("_skein_run"))
     else:
         res = F.least(F.col("_skein_shift"), F.col("_skein_run"))
-    return out.withColumn(name, res).drop(_B, "_skein_run", "_skein_shift")
+    out = out.withColumn(name, res).drop("_skein_run", "_skein_shift")
+    return out if (keep_bucket or reused) else out.drop(_B)
