@@ -81,3 +81,84 @@ def halt_state(steps: DataFrame, seq: str = "seq_id") -> DataFrame:
 def steps_histogram(state: DataFrame) -> DataFrame:
     """Number of sequences per first-halt step count."""
     return state.filter("halted").groupBy("steps").agg(F.count(F.lit(1)).alias("n_seqs"))
+
+
+def _min_halt_col(seed: int, seq: str, p: float, max_steps: int):
+    """Exploration minimum from md5(seed:a|b:seq:rank): with probability p a
+    uniform integer in [2, max_steps], else 0 (the same draw as X5)."""
+    from skein.functions.hashing import hash_int, hash_uniform
+    u = hash_uniform(seed, F.lit("a"), F.col(seq), F.col("rank"))
+    k = hash_int(seed, 2, max_steps, F.lit("b"), F.col(seq), F.col("rank"))
+    return F.when(u < F.lit(p), k).otherwise(F.lit(0)).cast("int")
+
+
+def halt_steps_explore(steplog: DataFrame, order: Sequence[str], max_steps: int = MAX_STEPS,
+                       explore_p: float = EXPLORE_P, seed: int = 42, seq: str = "seq_id",
+                       chunk_rows: int = 65536) -> DataFrame:
+    """W2 in training with the exploration term.
+
+    The step counter now depends on where the previous segment ended, a
+    sequential recurrence over a tiny state space (counter 0..max-1). It is
+    scanned like any associative operator, as function composition:
+      1. per (seq, bucket): compose the rows' transition maps (a vector of
+         ``max_steps`` ints) -- one bounded group per bucket;
+      2. per seq: fold the bucket maps in order to get each bucket's start
+         state (one row per bucket);
+      3. per (seq, bucket): replay the rows from the start state.
+    Groups are chunks of ``chunk_rows`` consecutive ranks, so a sequence
+    holding a third of the log is still many bounded groups while a short
+    sequence is one group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    r = rank_steps(steplog, order, seq)
+    B = "_skein_chunk"
+    r = r.withColumn("sig", F.col("q_halt") > F.col("q_continue")) \
+         .withColumn("min_halt", _min_halt_col(seed, seq, explore_p, max_steps)) \
+         .withColumn(B, F.floor((F.col("rank") - 1) / chunk_rows).cast("int"))
+    M = max_steps
+    key = r.select(seq, B, "rank", "event_id", "sig", "min_halt")
+
+    def step_map(state: np.ndarray, sig: bool, mn: int) -> np.ndarray:
+        st = state + 1
+        halted = (st >= M) | (sig & (st >= mn))
+        return np.where(halted, 0, st)
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        fmap = np.arange(M)
+        for sig, mn in zip(pdf["sig"].to_numpy(), pdf["min_halt"].to_numpy()):
+            fmap = step_map(fmap, bool(sig), int(mn))
+        return pd.DataFrame({seq: [pdf[seq].iloc[0]], B: [pdf[B].iloc[0]], "fmap": [fmap.astype("int32").tolist()]})
+
+    maps = key.groupBy(seq, B).applyInPandas(compose, f"{seq} long, {B} int, fmap array<int>")
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(B)
+        s, out = 0, []
+        for fm in pdf["fmap"]:
+            out.append(s)
+            s = int(fm[s])
+        return pd.DataFrame({seq: pdf[seq].to_numpy(), B: pdf[B].to_numpy(), "start": out})
+
+    st = maps.groupBy(seq).applyInPandas(starts, f"{seq} long, {B} int, start int")
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        s = int(pdf["start"].iloc[0])
+        steps, halts = [], []
+        for sig, mn in zip(pdf["sig"].to_numpy(), pdf["min_halt"].to_numpy()):
+            s += 1
+            h = s >= M or (bool(sig) and s >= int(mn))
+            steps.append(s)
+            halts.append(h)
+            if h:
+                s = 0
+        return pd.DataFrame({seq: pdf[seq].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
+                             "rank": pdf["rank"].to_numpy(), "step": np.array(steps, dtype="int32"),
+                             "halted": np.array(halts, dtype=bool)})
+
+    rows = key.join(st, [seq, B])
+    return rows.groupBy(seq, B).applyInPandas(
+        replay, f"{seq} long, event_id long, rank long, step int, halted boolean")

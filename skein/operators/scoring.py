@@ -136,3 +136,16 @@ def distinct_ids(df: DataFrame, ids: str, by: str | None = None, approx: bool =
     agg = F.approx_count_distinct("_id") if approx else F.count_distinct("_id")
     g = ex.groupBy(by) if by else ex.groupBy()
     return g.agg(agg.alias("n_distinct"))
+
+
+def unigram_nll(counts: DataFrame, by: str) -> DataFrame:
+    """Per group, the negative log-likelihood of its tokens under the corpus
+    unigram model: sum_t c_gt * (ln N - ln n_t). ``counts`` = token_counts
+    (by, token, c). N is the total over the small per-group table, so no
+    driver round trip and no join of every token occurrence."""
+    from pyspark.sql import Window
+    corpus = counts.groupBy("token").agg(F.sum("c").alias("n"))
+    g = counts.join(corpus, "token").groupBy(by).agg(
+        F.sum("c").cast("bigint").alias("n_tokens"), F.sum(F.col("c") * F.log("n")).alias("_s"))
+    total = F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))
+    return g.select(by, "n_tokens", (F.col("n_tokens") * F.log(total) - F.col("_s")).alias("nll_sum"))

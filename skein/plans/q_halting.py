@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import halting as W
-from skein.plans.derive import STEPLOG_SQL, steplog
+from skein.plans.derive import STEPLOG_SQL, sql_hash_uniform, steplog
 from skein.plans.registry import register
 
 MAXS = W.MAX_STEPS
@@ -93,3 +93,30 @@ register("halt_state", f"""
 WITH {halting_sql(True)}
 SELECT seq_id, halted, steps, q_halt, q_continue, round(target_q_continue, 6) AS target_q_continue FROM hs
 """)(halt_state_q)
+
+
+def halt_steps_explore_q(spark, sf):
+    """W2 with exploration (p = 0.1): the full training rule."""
+    return W.halt_steps_explore(steplog(spark, sf), ORDER, MAXS, W.EXPLORE_P, 42)
+
+
+def _explore_sql() -> str:
+    u = sql_hash_uniform(42, "'a'", "seq_id", "rank")
+    k = f"(2 + CAST(floor({sql_hash_uniform(42, chr(39) + 'b' + chr(39), 'seq_id', 'rank')} * {MAXS - 1}) AS INTEGER))"
+    return f"""
+WITH RECURSIVE {STEPLOG_SQL},
+r AS (SELECT seq_id, event_id, q_halt > q_continue AS sig,
+             row_number() OVER (PARTITION BY seq_id ORDER BY ts, event_id) AS rank FROM steplog),
+b AS (SELECT *, CASE WHEN {u} < 0.1 THEN {k} ELSE 0 END AS mn FROM r),
+rec AS (
+  SELECT seq_id, rank, event_id, 1 AS step, (1 >= {MAXS} OR (sig AND 1 >= mn)) AS halted FROM b WHERE rank = 1
+  UNION ALL
+  SELECT b.seq_id, b.rank, b.event_id, CASE WHEN rec.halted THEN 1 ELSE rec.step + 1 END,
+         (CASE WHEN rec.halted THEN 1 ELSE rec.step + 1 END) >= {MAXS}
+           OR (b.sig AND (CASE WHEN rec.halted THEN 1 ELSE rec.step + 1 END) >= b.mn)
+  FROM rec JOIN b ON b.seq_id = rec.seq_id AND b.rank = rec.rank + 1)
+SELECT seq_id, event_id, CAST(rank AS BIGINT) AS rank, CAST(step AS INTEGER) AS step, halted FROM rec
+"""
+
+
+register("halt_steps_explore", _explore_sql())(halt_steps_explore_q)

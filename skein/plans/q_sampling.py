@@ -175,3 +175,26 @@ SELECT source, count(*) AS n_train, count(*) FILTER (WHERE rn <= {EVAL_SIZE // 4
        count(*) FILTER (WHERE rn > {EVAL_SIZE // 4}) AS n_train_excl
 FROM r GROUP BY source
 """)(overlap_report)
+
+
+def source_read(spark, sf):
+    """S1/S4/S7 + P4: three driver tables read as sources by spec; the text
+    column of each is resolved by name; sizes per (source, split)."""
+    from skein.operators.formatting import resolve_text
+    from skein.sources.readers import read_source
+    specs = [{"name": t, "path": f"{sf.rstrip('/')}/{t}.parquet", "format": "parquet", "streaming": False}
+             for t in ("documents", "benchmark", "conversations")]
+    out = None
+    for spec in specs:
+        df = resolve_text(read_source(spark, spec)).select("source", "split", "text")
+        out = df if out is None else out.unionByName(df)
+    return out.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n_rows"),
+                                              F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+register("source_read", """
+SELECT 'documents' AS source, 'train' AS split, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM documents
+UNION ALL SELECT 'benchmark', 'train', count(*), CAST(sum(length(text)) AS BIGINT) FROM benchmark
+UNION ALL SELECT 'conversations', 'train', count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations
+""")(source_read)

@@ -164,12 +164,7 @@ def bits_per_byte_q(spark, sf):
     Tokens are counted per (lang, token) first, so the join with the corpus
     counts sees distinct pairs, not every occurrence of a hot token."""
     docs = load(spark, sf, "documents").select("lang", "text")
-    toks = docs.select("lang", F.explode(T.split_tokens("text")).alias("token"))
-    per = toks.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("c"))
-    corpus = per.groupBy("token").agg(F.sum("c").alias("n"))
-    total = corpus.agg(F.sum("n")).collect()[0][0]
-    j = per.join(corpus, "token").withColumn("nll", F.col("c") * -F.log(F.col("n") / F.lit(float(total))))
-    nll = j.groupBy("lang").agg(F.sum("nll").alias("nll_sum"), F.sum("c").cast("bigint").alias("n_tokens"))
+    nll = A.unigram_nll(T.token_counts(docs, ["lang"]), "lang")
     b = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"))
     return nll.join(b, "lang").select("lang", "n_tokens", "n_bytes",
                                       F.round(F.col("nll_sum") / F.lit(math.log(2.0)) / F.col("n_bytes"), 6)
@@ -219,12 +214,13 @@ def mix_report(spark, sf):
         F.sum(F.greatest(F.lit(0), F.lit(BLOCK) - F.col("n_tok"))).cast("bigint").alias("n_pad"))
     per = per.join(unk, "source")
     mix = normalise_mix(build_mix(spark, MIX_SPECS)).select("source", "weight_norm")
-    allt = per.agg(F.sum("n_tokens")).collect()[0][0]
+    from pyspark.sql import Window
+    share = F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # one row per source
     return per.join(F.broadcast(mix), "source").select(
         "source", "n_rows", "n_tokens",
-        F.round(F.col("n_tokens") / F.lit(float(allt)), 6).alias("token_share"),
+        F.round(share, 6).alias("token_share"),
         F.round("weight_norm", 6).alias("weight_norm"),
-        F.round(F.col("n_tokens") / F.lit(float(allt)) / F.col("weight_norm"), 6).alias("share_over_weight"),
+        F.round(share / F.col("weight_norm"), 6).alias("share_over_weight"),
         F.round(F.col("n_unk") / F.col("n_tokens"), 6).alias("unk_frac"),
         F.round(F.col("n_pad") / (F.col("n_rows") * BLOCK), 6).alias("pad_frac"))
 
@@ -243,3 +239,21 @@ SELECT per.source, per.n_rows, per.n_tokens, round(per.n_tokens / tot.t, 6) AS t
        round(unk.n_unk / per.n_tokens, 6) AS unk_frac, round(per.n_pad / (per.n_rows * {BLOCK}), 6) AS pad_frac
 FROM per JOIN unk ON per.source = unk.lang JOIN {_weights_sql()} ON per.source = m.source, tot
 """)(mix_report)
+
+
+def perplexity_by_source(spark, sf):
+    """A12 per source: exp(mean token nll) under the corpus unigram model."""
+    src = sources(spark, sf).select("source", "text")
+    nll = A.unigram_nll(T.token_counts(src, ["source"]), "source")
+    return nll.select("source", "n_tokens", F.round(F.col("nll_sum") / F.col("n_tokens"), 6).alias("loss"),
+                      F.round(A.perplexity(F.col("nll_sum") / F.col("n_tokens")), 6).alias("perplexity"))
+
+
+register("perplexity_by_source", f"""
+WITH e AS (SELECT lang, unnest(regexp_extract_all(text, '{T.WORD_PATTERN}', 0)) AS token FROM documents),
+c AS (SELECT token, count(*) AS n FROM e GROUP BY token),
+tot AS (SELECT sum(n) AS total FROM c),
+x AS (SELECT e.lang, -ln(c.n / tot.total) AS nll FROM e JOIN c ON e.token = c.token, tot)
+SELECT lang AS source, count(*) AS n_tokens, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity
+FROM x GROUP BY lang
+""")(perplexity_by_source)

@@ -138,3 +138,36 @@ def tokenize_udf(spark, sf):
 
 
 register("tokenize_udf", ORACLE["tokenize_bytes"])(tokenize_udf)
+
+
+def shards_roundtrip(spark, sf):
+    """The interleaved plan written as 8 range shards of k, read back."""
+    from skein.operators import mixing as M
+    from skein.plans.q_mixing import WEIGHTS
+    from skein.plans.derive import sources
+    from skein.sources.sinks import write_shards
+    data = sources(spark, sf).select("source", "idx", "doc_id")
+    plan = M.interleave(spark, data, WEIGHTS, ["idx"], SEED, "all_exhausted").select("k", "source", "epoch", "doc_id")
+    path = X.scratch(spark, "shards")
+    write_shards(plan, path, 8, "k")
+    return spark.read.parquet(path)
+
+
+register("shards_roundtrip", ORACLE["interleave_exhausted"])(shards_roundtrip)
+
+
+def stream_bytes(spark, sf):
+    """X1 direct form: the byte tokenizer has no aggregation, so the stream
+    is a plain projection written in append mode (exactly-once file sink)."""
+    sdf = _stream_of(spark, sf, "documents").select("doc_id", "text")
+    out = T.tokenize_bytes(sdf, ["doc_id"], "text", q_tokens.BLOCK)
+    sink, ckpt = X.scratch(spark, "bytes"), X.scratch(spark, "ckpt")
+    out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt) \
+       .trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.parquet(sink)
+    return back.select("doc_id", F.col("n_raw").cast("bigint").alias("n_bytes"), "n_tok",
+                       F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
+                       F.md5(F.array_join("labels", ",")).alias("labels_md5"))
+
+
+register("stream_bytes", ORACLE["tokenize_bytes"])(stream_bytes)

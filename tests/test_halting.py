@@ -65,3 +65,40 @@ def test_stream_halting_equals_batch(spark, tmpdir_path):
     b = W.halt_steps(_log(spark, seqs), ["ts_us", "event_id"], 4, True).select(
         "seq_id", "event_id", "rank", "step", "halted")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _reference_explore(seq_id, rows, max_steps, p, seed=42):
+    import hashlib
+
+    def u(tag, r):
+        return int(hashlib.md5(f"{seed}:{tag}:{seq_id}:{r}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    out, steps = [], 0
+    for i, (qh, qc) in enumerate(rows):
+        rank = i + 1
+        mn = 2 + int(u("b", rank) * (max_steps - 1)) if u("a", rank) < p else 0
+        steps += 1
+        h = steps >= max_steps or (qh > qc and steps >= mn)
+        out.append((rank, steps, h))
+        if h:
+            steps = 0
+    return out
+
+
+def test_explore_chunks_equal_sequential_and_stream(spark, tmpdir_path):
+    import os
+    from skein.streaming.halting import stream_halting
+    rnd = random.Random(5)
+    seqs = {s: [(rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for _ in range(rnd.randint(1, 40))] for s in range(4)}
+    got = W.halt_steps_explore(_log(spark, seqs), ["ts_us", "event_id"], 5, 0.5, chunk_rows=7).collect()
+    for s, rows in seqs.items():
+        mine = sorted((r.rank, r.step, r.halted) for r in got if r.seq_id == s)
+        assert mine == _reference_explore(s, rows, 5, 0.5)
+    src = os.path.join(tmpdir_path, "src")
+    _log(spark, seqs).write.parquet(src)
+    sdf = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    sink, ck = os.path.join(tmpdir_path, "sink"), os.path.join(tmpdir_path, "ck")
+    stream_halting(sdf, 5, True, explore_p=0.5).writeStream.format("parquet").option("path", sink) \
+        .option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    a = {(r.seq_id, r.rank, r.step, r.halted) for r in spark.read.parquet(sink).collect()}
+    assert a == {(r.seq_id, r.rank, r.step, r.halted) for r in got}
