@@ -29,12 +29,13 @@ def nonfinite_report(metrics: DataFrame, run: str = "run_id", value: str = "valu
 
 def cadence(metrics: DataFrame, every: int, first: bool = True, run: str = "run_id",
             step: str = "step") -> DataFrame:
-    """rows at ``step % every == 0``, plus each run's first step."""
+    """rows at ``step % every == 0``, plus each run's first step (its
+    position 0 in the bucketed per-run index, so a hot run is never one task
+    or one join key)."""
     keep = (F.col(step) % every) == 0
     if first:
-        firsts = metrics.groupBy(run).agg(F.min(step).alias("_skein_first"))
-        m = metrics.join(firsts, run)
-        return m.filter(keep | (F.col(step) == F.col("_skein_first"))).drop("_skein_first")
+        ix = global_index(metrics, [step], run, name="_skein_pos")
+        return ix.filter(keep | (F.col("_skein_pos") == 0)).drop("_skein_pos")
     return metrics.filter(keep)
 
 

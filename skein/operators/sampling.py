@@ -19,6 +19,9 @@ from skein.operators.ordering import global_index
 
 # Top-k above this many rows would funnel partitions x n rows into one task.
 TAKE_ORDERED_MAX = 10_000
+# Per-group top-q at or below this gets a per-task WindowGroupLimit before the
+# shuffle (Spark's default spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT_MAX = 1000
 SPLIT_COL = "split"
 
 
@@ -62,32 +65,55 @@ def select_split(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col(SPLIT_COL) == name)
 
 
-def eval_quota(df: DataFrame, source: str, by: Sequence[str], q: int) -> DataFrame:
-    """First ``q`` rows of every source in ``by`` order.
+def _first_q(df: DataFrame, group: str, order: list, q: int, rank: str | None = None) -> DataFrame:
+    """Rows ranked 1..q per group in ``order`` (``rank`` keeps the 1-based rank).
 
-    ``row_number() <= q`` lets Spark insert a per-task WindowGroupLimit before
-    the shuffle, so at most q rows per source leave each task even when one
-    source holds most of the data.
-    """
-    rn = F.row_number().over(Window.partitionBy(source).orderBy(*by))
-    return df.withColumn("_skein_rn", rn).filter(F.col("_skein_rn") <= q).drop("_skein_rn")
+    Small q: ``row_number() <= q``, pruned per task before the shuffle by
+    Spark's WindowGroupLimit, so a hot group ships at most q rows per task.
+    Large q: the bucketed per-group index, so no group is one task."""
+    name = rank or "_skein_rn"
+    if q <= 0:
+        return df.withColumn(name, F.lit(0).cast("bigint")).limit(0)
+    if q <= GROUP_LIMIT_MAX:
+        rn = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint")
+        out = df.withColumn(name, rn).filter(F.col(name) <= q)
+    else:
+        out = global_index(df, order, group, name=name).filter(F.col(name) < q) \
+            .withColumn(name, F.col(name) + 1)
+    return out if rank else out.drop(name)
+
+
+def eval_quota(df: DataFrame, source: str, by: Sequence[str], q: int, rank: str | None = None) -> DataFrame:
+    """First ``q`` rows of every source in ``by`` order."""
+    return _first_q(df, source, list(by), q, rank)
 
 
-def eval_sample(df: DataFrame, source: str, key: Sequence[str], q: int, seed: int = 42) -> DataFrame:
+def eval_sample(df: DataFrame, source: str, key: Sequence[str], q: int, seed: int = 42,
+                rank: str | None = None) -> DataFrame:
     """Per source, a uniform sample of ``q`` rows without replacement
     (all rows when the source has at most q). The draw is the rank of
     md5(seed:source:key), so it does not depend on partitioning."""
     h = hash_long(seed, F.col(source), *[F.col(k) for k in key])
-    rn = F.row_number().over(Window.partitionBy(source).orderBy(h, *key))
-    return df.withColumn("_skein_rn", rn).filter(F.col("_skein_rn") <= q).drop("_skein_rn")
+    out = _first_q(df.withColumn("_skein_h", h), source, ["_skein_h", *key], q, rank)
+    return out.drop("_skein_h")
 
 
-def eval_set(quotas: DataFrame, source_order: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+def eval_set(quotas: DataFrame, source_order: DataFrame, by: Sequence[str], size: int,
+             rank: str | None = None) -> DataFrame:
     """Concatenation of per-source quotas in source order, capped to ``size``.
 
-    ``source_order`` is the small mix table (source, src_pos)."""
-    j = quotas.join(F.broadcast(source_order.select("source", "src_pos")), "source")
-    return head_n(j, ["src_pos", *by], size)
+    ``source_order`` is the small mix table (source, src_pos). With ``rank``
+    (the quota's per-source rank, in ``by`` order) the cap is exact without a
+    global sort: a row is kept when the rows of earlier sources plus its rank
+    fit in ``size``; the offsets come from one count per source."""
+    so = F.broadcast(source_order.select("source", "src_pos"))
+    if rank is None:
+        return head_n(quotas.join(so, "source"), ["src_pos", *by], size)
+    counts = quotas.groupBy("source").agg(F.count(F.lit(1)).alias("_skein_n")).join(so, "source")
+    w = Window.partitionBy(F.lit(1)).orderBy("src_pos").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("source", F.coalesce(F.sum("_skein_n").over(w), F.lit(0)).alias("_skein_off"))
+    j = quotas.join(F.broadcast(offs), "source")  # one row per source
+    return j.filter(F.col("_skein_off") + F.col(rank) <= size).drop("_skein_off")
 
 
 def subsample(df: DataFrame, ratio: float, key: Sequence[str], seed: int = 42,

@@ -34,12 +34,22 @@ def to_wide(long: DataFrame, key: str = "id", value: str = "value", arr: str = "
     return g.select(key, F.transform("_s", lambda s: s[value]).alias(arr))
 
 
+BROADCAST_VEC_ROWS = 1_000_000
+
+
 def lookup_vectors(df: DataFrame, keys: Sequence[str], ids: str, vec: DataFrame, vkey: str = "id",
-                   varr: str = "vec") -> DataFrame:
+                   varr: str = "vec", vec_rows: int | None = None) -> DataFrame:
     """One row per (row, position) with the vector of its id (inner join:
-    ids without a vector are dropped)."""
+    ids without a vector are dropped).
+
+    Token ids are heavily skewed (a common token can be a third of all rows),
+    so a vector table of known, bounded size (``vec_rows``, e.g. the
+    vocabulary size) is broadcast; otherwise AQE decides and splits skewed
+    partitions."""
     ex = df.select(*keys, F.posexplode(ids).alias("pos", "_skein_id"))
     v = vec.select(F.col(vkey).alias("_skein_id"), F.col(varr).alias("vec"))
+    if vec_rows is not None and vec_rows <= BROADCAST_VEC_ROWS:
+        v = F.broadcast(v)
     return ex.join(v, "_skein_id").withColumnRenamed("_skein_id", "id")
 
 

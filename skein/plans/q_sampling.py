@@ -117,10 +117,12 @@ def eval_set_q(spark, sf):
     src = sources(spark, sf).select("source", "idx")
     q = EVAL_SIZE // len(MIX_SPECS)
     lazy = L.eval_quota(src.join(F.broadcast(mix.filter("streaming")), "source", "left_semi"),
-                        "source", ["idx"], q)
+                        "source", ["idx"], q, rank="qrank")
     eager = L.eval_sample(src.join(F.broadcast(mix.filter(~F.col("streaming"))), "source", "left_semi"),
-                          "source", ["idx"], q, SEED)
-    picked = L.eval_set(lazy.unionByName(eager), mix, ["idx"], EVAL_SIZE)
+                          "source", ["idx"], q, SEED, rank="qrank")
+    # Within a source the concatenation keeps the quota's own order: first
+    # rows by idx for lazily read sources, the sample order for batch ones.
+    picked = L.eval_set(lazy.unionByName(eager), mix, ["idx"], EVAL_SIZE, rank="qrank")
     # Every source reads 'validation' when it declares one, else 'train'.
     splits = eval_split(build_mix(spark, MIX_SPECS)).select("source", "eval_split")
     return picked.join(F.broadcast(splits), "source").select("source", "idx", "eval_split")
@@ -134,9 +136,10 @@ WITH r AS (SELECT lang AS source, doc_id AS idx,
            FROM documents),
 m AS (SELECT * FROM (VALUES ('en', 0, true, 'train'), ('fr', 1, true, 'train'), ('de', 2, false, 'validation'),
                             ('es', 3, false, 'train')) t(source, src_pos, streaming, eval_split)),
-q AS (SELECT r.source, r.idx, m.src_pos, m.eval_split FROM r JOIN m ON r.source = m.source
+q AS (SELECT r.source, r.idx, m.src_pos, m.eval_split,
+             CASE WHEN m.streaming THEN rn_first ELSE rn_rand END AS qrank FROM r JOIN m ON r.source = m.source
       WHERE (m.streaming AND rn_first <= {EVAL_SIZE // 4}) OR (NOT m.streaming AND rn_rand <= {EVAL_SIZE // 4}))
-SELECT source, idx, eval_split FROM q ORDER BY src_pos, idx LIMIT {EVAL_SIZE}
+SELECT source, idx, eval_split FROM q ORDER BY src_pos, qrank LIMIT {EVAL_SIZE}
 """)(eval_set_q)
 
 
