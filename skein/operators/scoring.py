@@ -91,6 +91,7 @@ def rollup_scores(seq: DataFrame) -> DataFrame:
         F.sum(F.when(vm, F.col("steps")).otherwise(0)).cast("bigint").alias("steps"),
         F.sum("seq_loss").alias("lm_loss"),
         (F.sum("nll_sum") / F.greatest(F.sum("n_valid"), F.lit(1))).alias("lm_loss_micro"),
+        (F.sum("n_correct") / F.greatest(F.sum("n_valid"), F.lit(1))).alias("token_accuracy"),
         F.sum(halt_loss).alias("q_halt_loss"),
         F.coalesce(F.sum(cont_loss), F.lit(0.0)).alias("q_continue_loss"))
     return g.withColumn("total_loss", F.col("lm_loss") + 0.5 * (F.col("q_halt_loss") + F.col("q_continue_loss"))) \

@@ -85,6 +85,7 @@ g AS (SELECT count(*) FILTER (WHERE vm) AS count,
              count(*) FILTER (WHERE vm AND ((q_halt >= 0) = exact)) AS q_halt_accuracy,
              CAST(sum(CASE WHEN vm THEN steps ELSE 0 END) AS BIGINT) AS steps,
              sum(seq_loss) AS lm_loss, sum(nll_sum) / greatest(sum(n_valid), 1) AS lm_loss_micro,
+             sum(n_correct) / greatest(sum(n_valid), 1) AS token_accuracy,
              sum(hl) AS q_halt_loss, coalesce(sum(cl), 0.0) AS q_continue_loss FROM b)"""
 
 
@@ -92,12 +93,13 @@ def seq_accuracy_rollup(spark, sf):
     r = _rollup(spark, sf)
     return r.select("count", F.round("accuracy", 6).alias("accuracy"), "exact_accuracy", "q_halt_accuracy", "steps",
                     F.round("accuracy_mean", 6).alias("accuracy_mean"),
+                    F.round("token_accuracy", 6).alias("token_accuracy"),
                     F.round("exact_accuracy_mean", 6).alias("exact_accuracy_mean"))
 
 
 register("seq_accuracy_rollup", _ROLLUP_SQL + """
 SELECT count, round(accuracy, 6) AS accuracy, exact_accuracy, q_halt_accuracy, steps,
-       round(accuracy / greatest(count, 1), 6) AS accuracy_mean,
+       round(accuracy / greatest(count, 1), 6) AS accuracy_mean, round(token_accuracy, 6) AS token_accuracy,
        round(exact_accuracy / greatest(count, 1), 6) AS exact_accuracy_mean FROM g
 """)(seq_accuracy_rollup)
 
