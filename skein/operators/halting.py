@@ -100,65 +100,74 @@ def halt_steps_explore(steplog: DataFrame, order: Sequence[str], max_steps: int
     The step counter now depends on where the previous segment ended, a
     sequential recurrence over a tiny state space (counter 0..max-1). It is
     scanned like any associative operator, as function composition:
-      1. per (seq, bucket): compose the rows' transition maps (a vector of
-         ``max_steps`` ints) -- one bounded group per bucket;
-      2. per seq: fold the bucket maps in order to get each bucket's start
-         state (one row per bucket);
-      3. per (seq, bucket): replay the rows from the start state.
-    Groups are chunks of ``chunk_rows`` consecutive ranks, so a sequence
-    holding a third of the log is still many bounded groups while a short
-    sequence is one group.
+      1. per chunk of ``chunk_rows`` consecutive ranks: compose the rows'
+         transition maps (a vector of ``max_steps`` ints);
+      2. per seq: fold the chunk maps in order to get each chunk's start state
+         (Spark SQL ``aggregate`` over one row per chunk);
+      3. per chunk: replay the rows from the start state.
+    Steps 1 and 3 run in ``mapInPandas`` over data hash-partitioned by
+    (seq, chunk) and sorted within partitions, one Python call per Arrow
+    batch. A sequence holding a third of the log is many bounded chunks.
     """
     import numpy as np
     import pandas as pd
 
     r = rank_steps(steplog, order, seq)
-    B = "_skein_chunk"
+    C = "_skein_chunk"
+    M = max_steps
     r = r.withColumn("sig", F.col("q_halt") > F.col("q_continue")) \
          .withColumn("min_halt", _min_halt_col(seed, seq, explore_p, max_steps)) \
-         .withColumn(B, F.floor((F.col("rank") - 1) / chunk_rows).cast("int"))
-    M = max_steps
-    key = r.select(seq, B, "rank", "event_id", "sig", "min_halt")
-
-    def step_map(state: np.ndarray, sig: bool, mn: int) -> np.ndarray:
-        st = state + 1
-        halted = (st >= M) | (sig & (st >= mn))
-        return np.where(halted, 0, st)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        fmap = np.arange(M)
-        for sig, mn in zip(pdf["sig"].to_numpy(), pdf["min_halt"].to_numpy()):
-            fmap = step_map(fmap, bool(sig), int(mn))
-        return pd.DataFrame({seq: [pdf[seq].iloc[0]], B: [pdf[B].iloc[0]], "fmap": [fmap.astype("int32").tolist()]})
-
-    maps = key.groupBy(seq, B).applyInPandas(compose, f"{seq} long, {B} int, fmap array<int>")
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(B)
-        s, out = 0, []
-        for fm in pdf["fmap"]:
-            out.append(s)
-            s = int(fm[s])
-        return pd.DataFrame({seq: pdf[seq].to_numpy(), B: pdf[B].to_numpy(), "start": out})
-
-    st = maps.groupBy(seq).applyInPandas(starts, f"{seq} long, {B} int, start int")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        s = int(pdf["start"].iloc[0])
-        steps, halts = [], []
-        for sig, mn in zip(pdf["sig"].to_numpy(), pdf["min_halt"].to_numpy()):
-            s += 1
-            h = s >= M or (bool(sig) and s >= int(mn))
-            steps.append(s)
-            halts.append(h)
-            if h:
-                s = 0
-        return pd.DataFrame({seq: pdf[seq].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
-                             "rank": pdf["rank"].to_numpy(), "step": np.array(steps, dtype="int32"),
-                             "halted": np.array(halts, dtype=bool)})
-
-    rows = key.join(st, [seq, B])
-    return rows.groupBy(seq, B).applyInPandas(
-        replay, f"{seq} long, event_id long, rank long, step int, halted boolean")
+         .withColumn(C, F.floor((F.col("rank") - 1) / chunk_rows).cast("int"))
+    key = r.select(seq, C, "rank", "event_id", "sig", "min_halt")
+
+    def compose(batches):
+        cur, fmap = None, None
+        states = np.arange(M)
+        for pdf in batches:
+            out_k, out_c, out_m = [], [], []
+            for sq, ch, sig, mn in zip(pdf[seq].to_numpy(), pdf[C].to_numpy(), pdf["sig"].to_numpy(),
+                                       pdf["min_halt"].to_numpy()):
+                if cur != (sq, ch):
+                    if cur is not None:
+                        out_k.append(cur[0]); out_c.append(cur[1]); out_m.append(fmap.tolist())
+                    cur, fmap = (sq, ch), states.copy()
+                st = fmap + 1
+                fmap = np.where((st >= M) | (bool(sig) & (st >= mn)), 0, st)
+            if out_k:
+                yield pd.DataFrame({seq: out_k, C: out_c, "fmap": out_m})
+        if cur is not None:
+            yield pd.DataFrame({seq: [cur[0]], C: [cur[1]], "fmap": [fmap.tolist()]})
+
+    sorted_rows = key.repartition(seq, C).sortWithinPartitions(seq, C, "rank")
+    maps = sorted_rows.mapInPandas(compose, f"{seq} long, {C} int, fmap array<int>")
+    typ = f"array<struct<{C}:int,start:int>>"
+    g = maps.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(C, "fmap"))).alias("_ms"))
+    folded = F.aggregate(
+        "_ms", F.struct(F.lit(0).alias("s"), F.array().cast(typ).alias("out")),
+        lambda acc, m: F.struct(F.element_at(m["fmap"], acc["s"] + 1).alias("s"),
+                                F.concat(acc["out"], F.array(F.struct(m[C].alias(C), acc["s"].alias("start")))
+                                         .cast(typ)).alias("out")),
+        lambda acc: acc["out"])
+    starts = g.select(seq, F.explode(folded).alias("_x")).select(seq, f"_x.{C}", "_x.start")
+
+    def replay(batches):
+        cur, s = None, 0
+        for pdf in batches:
+            n = len(pdf)
+            steps = np.empty(n, dtype=np.int32)
+            halts = np.empty(n, dtype=bool)
+            for i, (sq, ch, st0, sig, mn) in enumerate(zip(pdf[seq].to_numpy(), pdf[C].to_numpy(),
+                                                          pdf["start"].to_numpy(), pdf["sig"].to_numpy(),
+                                                          pdf["min_halt"].to_numpy())):
+                if cur != (sq, ch):
+                    cur, s = (sq, ch), int(st0)
+                s += 1
+                h = s >= M or (bool(sig) and s >= mn)
+                steps[i], halts[i] = s, h
+                if h:
+                    s = 0
+            yield pd.DataFrame({seq: pdf[seq].to_numpy(), "event_id": pdf["event_id"].to_numpy(),
+                                "rank": pdf["rank"].to_numpy(), "step": steps, "halted": halts})
+
+    rows = key.join(starts, [seq, C]).repartition(seq, C).sortWithinPartitions(seq, C, "rank")
+    return rows.mapInPandas(replay, f"{seq} long, event_id long, rank long, step int, halted boolean")
