@@ -23,7 +23,7 @@ def plan_batches(df: DataFrame, key: Sequence[str], batch: int, accum: int = 1,
                  shuffle: bool = True) -> DataFrame:
     """Add (epoch, pos, batch, step).
 
-    pos = position inside the epoch (md5(seed:epoch:key) order when
+    pos = position inside the epoch (md5(seed:epoch:e:key) order when
     ``shuffle``, else ``key`` order); batch = epoch * batches_per_epoch +
     pos div batch; step = batch div accum. ``drop_last`` drops the incomplete
     last batch of every epoch; ``max_steps`` caps the plan.
@@ -32,7 +32,7 @@ def plan_batches(df: DataFrame, key: Sequence[str], batch: int, accum: int = 1,
     per_epoch = n // batch if drop_last else -(-n // batch)
     ep = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))))
     if shuffle:
-        ep = ep.withColumn("_skein_h", hash_long(seed, F.col("epoch"), *[F.col(k) for k in key]))
+        ep = ep.withColumn("_skein_h", hash_long(seed, F.lit("epoch"), F.col("epoch"), *[F.col(k) for k in key]))
         ep = global_index(ep, ["_skein_h", *key], "epoch", name="pos").drop("_skein_h")
     else:
         ep = global_index(ep, list(key), "epoch", name="pos")

@@ -1,7 +1,7 @@
 """Weighted interleave, shuffles and concatenation of sources (M1-M7).
 
 The interleave is planned on integers only: output position k draws a source
-with probability w from u = md5(seed:k); the draw number c of that source is
+with probability w from u = md5(seed:mix:k); the draw number c of that source is
 a running count over k (bucketed prefix sum, no single-task window); the row
 taken is c mod n (sources restart when exhausted) and epoch = c div n. The
 stopping point K depends on the draws, so a candidate K0 is planned, checked,
@@ -63,7 +63,7 @@ def draw_plan(spark: SparkSession, sizes: dict[str, int], weights: dict[str, flo
     k0 = k0 or int(math.ceil(need * K_SLACK)) + 64
     while True:
         plan = spark.range(k0).withColumnRenamed("id", "k") \
-            .withColumn("source", source_choice(hash_uniform(seed, F.col("k")), names, w))
+            .withColumn("source", source_choice(hash_uniform(seed, F.lit("mix"), F.col("k")), names, w))
         plan = prefix_sum(plan, F.lit(1), ["k"], "source", name="c", inclusive=False)
         n_col = F.create_map(*[x for s in live for x in (F.lit(s), F.lit(int(sizes[s])))])
         plan = plan.withColumn("n", n_col[F.col("source")])
@@ -108,8 +108,9 @@ def interleave(spark: SparkSession, data: DataFrame, weights: dict[str, float],
 
 
 def shuffle_global(df: DataFrame, key: Sequence[str], seed: int = SEED, name: str = "pos") -> DataFrame:
-    """M4 (global): position in the order of md5(seed:key); exact, repeatable."""
-    h = hash_long(seed, *[F.col(k) for k in key])
+    """M4 (global): position in the order of md5(seed:shuffle:key); exact,
+    repeatable, and independent of the interleave draws (own tag)."""
+    h = hash_long(seed, F.lit("shuffle"), *[F.col(k) for k in key])
     return global_index(df.withColumn("_skein_h", h), ["_skein_h", *key], name=name).drop("_skein_h")
 
 
@@ -117,7 +118,7 @@ def shuffle_buffered(df: DataFrame, position: str, buffer: int, seed: int = SEED
     """M4 (buffered): shuffle inside consecutive windows of ``buffer`` rows of
     ``position``. Each window is bounded by ``buffer`` rows."""
     blk = F.floor(F.col(position) / buffer).cast("bigint")
-    h = hash_long(seed, F.col(position))
+    h = hash_long(seed, F.lit("shuffle"), F.col(position))
     rn = F.row_number().over(Window.partitionBy("_skein_blk").orderBy(h, F.col(position)))
     out = df.withColumn("_skein_blk", blk).withColumn(name, (F.col("_skein_blk") * buffer + rn - 1).cast("bigint"))
     return out.drop("_skein_blk")

@@ -92,8 +92,8 @@ def eval_sample(df: DataFrame, source: str, key: Sequence[str], q: int, seed: in
                 rank: str | None = None) -> DataFrame:
     """Per source, a uniform sample of ``q`` rows without replacement
     (all rows when the source has at most q). The draw is the rank of
-    md5(seed:source:key), so it does not depend on partitioning."""
-    h = hash_long(seed, F.col(source), *[F.col(k) for k in key])
+    md5(seed:sample:source:key), so it does not depend on partitioning."""
+    h = hash_long(seed, F.lit("sample"), F.col(source), *[F.col(k) for k in key])
     out = _first_q(df.withColumn("_skein_h", h), source, ["_skein_h", *key], q, rank)
     return out.drop("_skein_h")
 
@@ -122,7 +122,7 @@ def subsample(df: DataFrame, ratio: float, key: Sequence[str], seed: int = 42,
     keeps every row (the reference only shuffles when sample_ratio < 1)."""
     if mode == "reference" or ratio >= 1.0:
         return df
-    return df.filter(hash_uniform(seed, *[F.col(k) for k in key]) < F.lit(ratio))
+    return df.filter(hash_uniform(seed, F.lit("subsample"), *[F.col(k) for k in key]) < F.lit(ratio))
 
 
 def overlap(train: DataFrame, evald: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -102,21 +102,27 @@ FROM {_weights_sql()} LEFT JOIN n ON m.source = n.source
 # ---------------------------------------------------------------------------
 # M2/M3: weighted interleave until every source has been read once.
 
-def _interleave_sql(stop: str) -> str:
+def interleave_ctes(stop: str = "all_exhausted") -> str:
+    """CTEs d, u, c, n, e, p (plan: k, source, row, epoch) and r (row -> doc_id)."""
     if stop == "all_exhausted":
         k_end = """e AS (SELECT max(k_end) + 1 AS K FROM (SELECT c.source, min(c.k) AS k_end FROM c JOIN n ON c.source = n.source
                    WHERE c.c = n.n - 1 GROUP BY c.source))"""
     else:
         k_end = """e AS (SELECT min(c.k) AS K FROM c JOIN n ON c.source = n.source WHERE c.c = n.n)"""
     return f"""
-WITH d AS (SELECT range AS k FROM range(40000)),
-u AS (SELECT k, {_case_sql(sql_hash_uniform(SEED, 'k'))} AS source FROM d),
+d AS (SELECT range AS k FROM range(40000)),
+u AS (SELECT k, {_case_sql(sql_hash_uniform(SEED, "'mix'", 'k'))} AS source FROM d),
 c AS (SELECT k, source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS c FROM u),
 n AS (SELECT lang AS source, count(*) AS n FROM documents GROUP BY lang),
 {k_end},
 p AS (SELECT c.k, c.source, c.c % n.n AS row, CAST(c.c // n.n AS BIGINT) AS epoch
       FROM c JOIN n ON c.source = n.source, e WHERE c.k < e.K),
-r AS (SELECT lang AS source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row FROM documents)
+r AS (SELECT lang AS source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row FROM documents)"""
+
+
+def _interleave_sql(stop: str) -> str:
+    return f"""
+WITH {interleave_ctes(stop)}
 SELECT p.k, p.source, p.epoch, r.doc_id FROM p JOIN r ON p.source = r.source AND p.row = r.row
 """
 
@@ -149,7 +155,7 @@ def shuffle_global_q(spark, sf):
 
 register("shuffle_global", f"""
 SELECT lang AS source, doc_id AS idx,
-       CAST(row_number() OVER (ORDER BY {sql_hash_long(SEED, 'lang', 'doc_id')}, lang, doc_id) - 1 AS BIGINT) AS pos
+       CAST(row_number() OVER (ORDER BY {sql_hash_long(SEED, "'shuffle'", 'lang', 'doc_id')}, lang, doc_id) - 1 AS BIGINT) AS pos
 FROM documents
 """)(shuffle_global_q)
 
@@ -162,7 +168,7 @@ def shuffle_buffered_q(spark, sf):
 register("shuffle_buffered", f"""
 SELECT doc_id,
        CAST(floor(doc_id / 100) * 100 + row_number() OVER (PARTITION BY floor(doc_id / 100)
-            ORDER BY {sql_hash_long(SEED, 'doc_id')}, doc_id) - 1 AS BIGINT) AS pos
+            ORDER BY {sql_hash_long(SEED, "'shuffle'", 'doc_id')}, doc_id) - 1 AS BIGINT) AS pos
 FROM documents
 """)(shuffle_buffered_q)
 
@@ -191,7 +197,7 @@ def _batch_sql(max_steps: int | None, resume: int | None) -> str:
     return f"""
 WITH d AS (SELECT doc_id, e.epoch FROM documents, (SELECT range AS epoch FROM range(2)) e),
 p AS (SELECT doc_id, epoch,
-             row_number() OVER (PARTITION BY epoch ORDER BY {sql_hash_long(SEED, 'epoch', 'doc_id')}, doc_id) - 1 AS pos
+             row_number() OVER (PARTITION BY epoch ORDER BY {sql_hash_long(SEED, "'epoch'", 'epoch', 'doc_id')}, doc_id) - 1 AS pos
       FROM d),
 n AS (SELECT count(*) // 8 AS per FROM documents)
 SELECT doc_id, CAST(epoch AS BIGINT) AS epoch, CAST(pos AS BIGINT) AS pos,

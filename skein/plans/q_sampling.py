@@ -96,7 +96,7 @@ def eval_sample_q(spark, sf):
 
 register("eval_sample", f"""
 WITH r AS (SELECT lang AS source, doc_id AS idx,
-                  row_number() OVER (PARTITION BY lang ORDER BY {sql_hash_long(SEED, 'lang', 'doc_id')}, doc_id) AS rn
+                  row_number() OVER (PARTITION BY lang ORDER BY {sql_hash_long(SEED, "'sample'", 'lang', 'doc_id')}, doc_id) AS rn
            FROM documents)
 SELECT source, idx FROM r WHERE rn <= {EVAL_SIZE // 4}
 """)(eval_sample_q)
@@ -131,7 +131,7 @@ def eval_set_q(spark, sf):
 register("eval_set", f"""
 WITH r AS (SELECT lang AS source, doc_id AS idx,
                   row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn_first,
-                  row_number() OVER (PARTITION BY lang ORDER BY {sql_hash_long(SEED, 'lang', 'doc_id')}, doc_id)
+                  row_number() OVER (PARTITION BY lang ORDER BY {sql_hash_long(SEED, "'sample'", 'lang', 'doc_id')}, doc_id)
                     AS rn_rand
            FROM documents),
 m AS (SELECT * FROM (VALUES ('en', 0, true, 'train'), ('fr', 1, true, 'train'), ('de', 2, false, 'validation'),
@@ -149,7 +149,7 @@ def subsample_q(spark, sf):
 
 
 register("subsample", f"""
-SELECT lang AS source, doc_id AS idx FROM documents WHERE {sql_hash_uniform(SEED, 'lang', 'doc_id')} < 0.3
+SELECT lang AS source, doc_id AS idx FROM documents WHERE {sql_hash_uniform(SEED, "'subsample'", 'lang', 'doc_id')} < 0.3
 """)(subsample_q)
 
 

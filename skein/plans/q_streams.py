@@ -81,7 +81,7 @@ def stream_shuffle_q(spark, sf):
 
 
 register("stream_shuffle", f"""
-SELECT doc_id, CAST(row_number() OVER (ORDER BY {sql_hash_long(SEED, 'doc_id')}, doc_id) - 1 AS BIGINT) AS pos
+SELECT doc_id, CAST(row_number() OVER (ORDER BY {sql_hash_long(SEED, "'shuffle'", 'doc_id')}, doc_id) - 1 AS BIGINT) AS pos
 FROM documents
 """)(stream_shuffle_q)
 

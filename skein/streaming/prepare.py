@@ -59,7 +59,7 @@ def stream_take(sdf: DataFrame, n: int, sink: str, ckpt: str) -> StreamingQuery:
 
 
 def stream_shuffle(sdf: DataFrame, key: Sequence[str], sink: str, ckpt: str, seed: int = 42) -> StreamingQuery:
-    """Shuffle buffer = one micro-batch, ordered by md5(seed:key);
+    """Shuffle buffer = one micro-batch, ordered by md5(seed:shuffle:key);
     ``pos`` continues across batches (offset kept in a small table)."""
     offsets = os.path.join(sink, "_offsets")
 
@@ -71,7 +71,7 @@ def stream_shuffle(sdf: DataFrame, key: Sequence[str], sink: str, ckpt: str, see
         except Exception:  # noqa: BLE001 - first batch: no offsets table yet
             prev = 0
         from skein.operators.ordering import global_index
-        h = batch.withColumn("_skein_h", hash_long(seed, *[F.col(k) for k in key]))
+        h = batch.withColumn("_skein_h", hash_long(seed, F.lit("shuffle"), *[F.col(k) for k in key]))
         out = global_index(h, ["_skein_h", *key], name="pos").drop("_skein_h") \
             .withColumn("pos", F.col("pos") + F.lit(prev))
         out.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))

@@ -76,3 +76,13 @@ def test_batch_plan_drop_last_and_resume(spark):
         assert len({r.k for r in plan if r.epoch == e}) == 8
     capped = N.resume(N.plan_batches(df, ["k"], batch=4, accum=1, epochs=2, max_steps=5), 2).collect()
     assert sorted({r.step for r in capped}) == [2, 3, 4]
+
+
+def test_shuffle_is_independent_of_interleave_draws(spark):
+    # The source draw and the shuffle key must come from different hash
+    # streams; otherwise a shuffled plan comes out sorted by source.
+    data = _data(spark, {"a": 200, "b": 200, "c": 200})
+    plan = M.interleave(spark, data, {"a": 1.0, "b": 1.0, "c": 1.0}, ["idx"])
+    sh = M.shuffle_global(plan.select("k", "source"), ["k"], name="pos")
+    head = {r.source for r in sh.filter("pos < 30").collect()}
+    assert head == {"a", "b", "c"}
