@@ -297,3 +297,15 @@ SELECT item_id, count(*) AS n_pairs, count(*) FILTER (WHERE target <> -100) AS n
        CAST(sum(CASE WHEN target <> -100 THEN target * (pos + 1) END) AS BIGINT) AS checksum
 FROM p GROUP BY item_id
 """)(shift_labels)
+
+
+# ---------------------------------------------------------------------------
+# T7 (BPE): merge learning is iterative (one job per merge), so it has no SQL
+# oracle; tests compare it with a brute-force implementation on a fixture.
+
+def bpe_merges(spark, sf):
+    from skein.operators.bpe import learn_bpe
+    return learn_bpe(_docs(spark, sf), 8, "text")
+
+
+register("bpe_merges")(bpe_merges)
