@@ -66,3 +66,29 @@ def test_stream_prepare_equals_batch(spark, tmpdir_path):
     a = X.read_batches(spark, sink).drop("batch_id")
     b = prep(docs)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_read_source_stream_and_write_eval(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, "src")
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id long, text string")
+    df.write.parquet(base)
+    sdf = S.read_source_stream(spark, {"name": "s", "path": base}, df.schema, max_files_per_trigger=1)
+    sink, ck = os.path.join(tmpdir_path, "sink"), os.path.join(tmpdir_path, "ck")
+    sdf.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck) \
+       .trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.parquet(sink)
+    assert back.count() == 20 and {r.source for r in back.select("source").distinct().collect()} == {"s"}
+    ev = os.path.join(tmpdir_path, "eval")
+    sinks.write_eval(back.filter("id < 5"), ev)
+    sinks.write_eval(back.filter("id < 3"), ev)          # overwrite, not append
+    assert spark.read.parquet(ev).count() == 3
+
+
+def test_map_rows_and_batches(spark):
+    from skein.operators import infer as U
+    df = spark.createDataFrame([(i, f"w{i}") for i in range(10)], "id long, text string")
+    rows = U.map_rows(df, lambda r: {"id": r["id"], "n": len(r["text"])}, "id long, n long").collect()
+    assert sorted((r.id, r.n) for r in rows) == [(i, len(f"w{i}")) for i in range(10)]
+    out = U.map_batches(df, lambda p: p.assign(n=p["text"].str.len())[["id", "n"]], "id long, n long",
+                        partitions=3)
+    assert out.rdd.getNumPartitions() == 3 and out.count() == 10
