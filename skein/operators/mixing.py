@@ -87,24 +87,40 @@ def draw_plan(spark: SparkSession, sizes: dict[str, int], weights: dict[str, flo
                        F.floor(F.col("c") / F.col("n")).cast("bigint").alias("epoch"))
 
 
+def epoch_salts(plan: DataFrame, sizes: dict[str, int], salt_max: int = SALT_MAX) -> dict[str, int]:
+    """Salt count per source: its number of epochs in the plan, capped.
+
+    A source read e times repeats each row e times; splitting its join key
+    into min(e, salt_max) salts bounds the rows per key by the plan size over
+    the salt count, and replicating the payload side min(e, salt_max) times
+    never exceeds the plan itself."""
+    n_draws = plan.groupBy("source").agg(F.count(F.lit(1)).alias("d")).collect()  # one row per source
+    return {r["source"]: max(1, min(salt_max, math.ceil(r["d"] / sizes[r["source"]]))) for r in n_draws}
+
+
+def salted_join(plan: DataFrame, payload: DataFrame, keys: Sequence[str], salts: dict[str, int],
+                epoch: str = "epoch") -> DataFrame:
+    """Join plan rows (which repeat payload keys once per epoch) to payload
+    rows on ``keys`` (which include ``source``) without a hot key: the plan
+    side gets salt = epoch mod S_source, the payload side is replicated S times."""
+    salt_map = F.create_map(*[x for s, v in salts.items() for x in (F.lit(s), F.lit(v))])
+    p = plan.withColumn("_skein_salt", (F.col(epoch) % salt_map[F.col("source")]).cast("int"))
+    d = payload.withColumn("_skein_salt", F.explode(F.sequence(F.lit(0), salt_map[F.col("source")] - 1)))
+    return p.join(d, [*keys, "_skein_salt"]).drop("_skein_salt")
+
+
 def interleave(spark: SparkSession, data: DataFrame, weights: dict[str, float], by: Sequence[str],
                seed: int = SEED, stop: str = "all_exhausted", salt_max: int = SALT_MAX) -> DataFrame:
     """M2/M3 on rows: ``data`` has a ``source`` column and a unique order ``by``
     within each source. Returns data columns + (k, epoch)."""
-    sizes_rows = data.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes_rows = data.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per source
     sizes = {r["source"]: int(r["n"]) for r in sizes_rows if weights.get(r["source"], 1.0) > 0}
     order = [s for s in weights if s in sizes]
     sizes = {s: sizes[s] for s in order}
     plan = draw_plan(spark, sizes, weights, seed, stop)
-    # Per-source salt count, bounded by the source's number of epochs.
-    n_draws = plan.groupBy("source").agg(F.count(F.lit(1)).alias("d")).collect()
-    salts = {r["source"]: max(1, min(salt_max, math.ceil(r["d"] / sizes[r["source"]]))) for r in n_draws}
-    salt_map = F.create_map(*[x for s, v in salts.items() for x in (F.lit(s), F.lit(v))])
-    plan = plan.withColumn("_skein_salt", (F.col("epoch") % salt_map[F.col("source")]).cast("int"))
+    salts = epoch_salts(plan, sizes, salt_max)
     pos = global_index(data.filter(F.col("source").isin(list(sizes))), by, "source", name="row")
-    pos = pos.withColumn("_skein_salt", F.explode(F.sequence(F.lit(0), salt_map[F.col("source")] - 1)))
-    out = plan.join(pos, ["source", "row", "_skein_salt"])
-    return out.drop("_skein_salt", "c")
+    return salted_join(plan, pos, ["source", "row"], salts).drop("c")
 
 
 def shuffle_global(df: DataFrame, key: Sequence[str], seed: int = SEED, name: str = "pos") -> DataFrame:

@@ -30,17 +30,22 @@ def prepare_pretraining(spark: SparkSession, data: DataFrame, weights: dict[str,
 
     Returns (pos, batch, step, source, idx, epoch, input_ids, attention_mask,
     labels, n_tok) for the first ``take`` shuffled positions."""
-    plan = M.interleave(spark, data.select("source", "idx"), weights, ["idx"], seed, "all_exhausted")
+    keys = data.select("source", "idx")
+    plan = M.interleave(spark, keys, weights, ["idx"], seed, "all_exhausted")
     plan = M.shuffle_global(plan.select("k", "source", "idx", "epoch"), ["k"], seed, name="pos")
     if take is not None:
         plan = plan.filter(F.col("pos") < take)
     plan = plan.withColumn("batch", F.floor(F.col("pos") / batch).cast("bigint")) \
                .withColumn("step", F.floor(F.col("batch") / accum).cast("bigint"))
-    # Only rows the plan uses are tokenized (semi join), then the payload is
-    # attached to the plan by (source, idx).
+    # Only rows the plan uses are tokenized (semi join on distinct keys), then
+    # the payload is attached with the same epoch salting as the interleave,
+    # so a tiny, heavily weighted source is not one hot join key.
     used = data.join(plan.select("source", "idx").distinct(), ["source", "idx"], "left_semi")
     fitted = T.tokenize(used, ["source", "idx"], vocab, text, block_size, vocab_rows=vocab_rows)
-    return plan.join(fitted, ["source", "idx"])
+    sizes = {r["source"]: int(r["n"]) for r in
+             keys.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per source
+    salts = M.epoch_salts(plan, {s: n for s, n in sizes.items() if weights.get(s, 1.0) > 0})
+    return M.salted_join(plan, fitted, ["source", "idx"], salts)
 
 
 def prepare_instruction(rows: DataFrame, vocab_from_text: bool = True, vocab_size: int = 4096,
