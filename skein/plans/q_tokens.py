@@ -253,16 +253,17 @@ FROM allr a JOIN ch ON a.lang = ch.lang
 # position-based alternative; B3 next-token pairs.
 
 def label_mask(spark, sf):
+    """B1 with a genuine EOS after the first 63 bytes: the reference mask
+    (every pad/eos id) and the position mask, from one fitted row."""
+    from skein.functions.arrays import mask_by_position
     docs = _docs(spark, sf)
-    ids = T.tokenize_bytes(docs, ["doc_id"], "text", None)
-    with_eos = ids.withColumn("ids", F.concat(F.slice("ids", 1, 63), F.array(F.lit(T.EOS_ID))))
-    ref = T.fit(with_eos, "ids", 128, mask="pad_id")
-    pos = T.fit(with_eos, "ids", 128, mask="position").select("doc_id", F.col("labels").alias("labels_pos"))
-    j = ref.join(pos, "doc_id")
-    return j.select("doc_id", "n_tok",
-                    F.size(F.filter("labels", lambda x: x == -100)).alias("masked_ref"),
-                    F.size(F.filter("labels_pos", lambda x: x == -100)).alias("masked_pos"),
-                    _digest("labels").alias("labels_md5"))
+    ids = docs.select("doc_id", F.concat(T.byte_ids("text", 63), F.array(F.lit(T.EOS_ID))).alias("ids"))
+    ref = T.fit(ids, "ids", 128, mask="pad_id")
+    return ref.select("doc_id", "n_tok",
+                      F.size(F.filter("labels", lambda x: x == -100)).alias("masked_ref"),
+                      F.size(F.filter(mask_by_position("input_ids", "attention_mask"), lambda x: x == -100))
+                      .alias("masked_pos"),
+                      _digest("labels").alias("labels_md5"))
 
 
 register("label_mask", """
