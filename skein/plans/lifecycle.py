@@ -16,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import batches as N
 from skein.operators import formatting as P
 from skein.operators import mixing as M
 from skein.operators import sampling as L

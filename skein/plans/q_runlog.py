@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from skein.operators import runlog as R
 from skein.plans.derive import RUN_METRICS_SQL, run_metrics

@@ -12,7 +12,7 @@ from skein.operators import scoring as A
 from skein.operators import tokens as T
 from skein.plans.derive import PRED_SQL, RUN_METRICS_SQL, pred_rows, run_metrics, sources, steplog
 from skein.plans.q_halting import MAXS, ORDER, halting_sql
-from skein.plans.q_mixing import WEIGHTS, _weights_sql
+from skein.plans.q_mixing import _weights_sql
 from skein.plans.q_tokens import BLOCK, VOCAB, _vocab_sql
 from skein.plans.registry import load, register
 

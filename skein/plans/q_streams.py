@@ -8,7 +8,6 @@ the oracles are the batch queries' SQL.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 
