@@ -68,9 +68,9 @@ SELECT id, dim, round(grad, 6) AS grad, n FROM gs
 
 
 def sign_update_q(spark, sf):
-    """weights = the first 20 embedding rows as id -> vector; ids 10..19
-    have no gradient and stay unchanged."""
-    w = J.to_long(_emb(spark, sf).filter(F.col("id") < 20).select(
+    """weights = the whole embedding table as id -> vector; gradients
+    touch only the label ids, every other id keeps its weights."""
+    w = J.to_long(_emb(spark, sf).select(
         F.col("id").cast("int").alias("id"), F.col("vec").cast("array<double>").alias("vec")), "id", "vec", "w")
     out = J.sign_update(w, _grads(spark, sf).withColumn("id", F.col("id").cast("int")))
     return out.select("id", F.col("dim").cast("int").alias("dim"), F.round("w", 6).alias("w"), "updated")
@@ -79,7 +79,7 @@ def sign_update_q(spark, sf):
 register("sign_update", f"""
 WITH {_GRAD_SQL},
 w AS (SELECT CAST(vec_id AS INTEGER) AS id, CAST(unnest(embedding) AS DOUBLE) AS w,
-             CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings WHERE vec_id < 20)
+             CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM embeddings)
 SELECT w.id, w.dim,
        round(CASE WHEN gs.grad IS NULL THEN w.w ELSE w.w * (1.0 - 1e-3 * 1e-2) - 1e-3 * sign(gs.grad) END, 6) AS w,
        gs.grad IS NOT NULL AS updated
