@@ -22,8 +22,10 @@ def vector_lookup(spark, sf):
     """Byte ids of each benchmark item -> embedding rows -> mean pooled."""
     bench = load(spark, sf, "benchmark").select("item_id", "text")
     ids = T.tokenize_bytes(bench, ["item_id"], "text", None).select("item_id", F.slice("ids", 1, 64).alias("ids"))
-    # byte ids index at most 258 vectors: the looked-up side is bounded
-    looked = J.lookup_vectors(ids, ["item_id"], "ids", _emb(spark, sf).filter(F.col("id") < 258), vec_rows=258)
+    # The byte tokenizer's id space is [2, 257]; only those vectors can match,
+    # so the vector side is bounded by 256 rows and broadcast.
+    space = F.col("id").between(T.BYTE_OFFSET, T.BYTE_OFFSET + 255)
+    looked = J.lookup_vectors(ids, ["item_id"], "ids", _emb(spark, sf).filter(space), vec_rows=256)
     pooled = J.mean_pool(looked, ["item_id"])
     n = looked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_found"))
     g = pooled.groupBy("item_id").agg(F.sum("value").alias("s"), F.sqrt(F.sum(F.col("value") ** 2)).alias("l2"))

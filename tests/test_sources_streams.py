@@ -92,3 +92,12 @@ def test_map_rows_and_batches(spark):
     out = U.map_batches(df, lambda p: p.assign(n=p["text"].str.len())[["id", "n"]], "id long, n long",
                         partitions=3)
     assert out.rdd.getNumPartitions() == 3 and out.count() == 10
+
+
+def test_worker_functions_pickled_by_value():
+    # Python workers must not need the package on their path.
+    import importlib
+    import skein  # noqa: F401
+    from pyspark.cloudpickle import cloudpickle as cp
+    for name in ("skein.streaming.halting", "skein.operators.infer", "skein.operators.halting"):
+        assert cp._is_registered_pickle_by_value(importlib.import_module(name))
