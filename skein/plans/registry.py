@@ -29,7 +29,10 @@ def register(name: str, sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    """A driver table; small single-file tables are spread over all cores
+    (see ``sources.readers.spread_small``), large inputs are read as is."""
+    from skein.sources.readers import spread_small
+    return spread_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
 
 
 def all_queries() -> dict[str, Builder]:
