@@ -78,28 +78,3 @@ def read_mix(spark: SparkSession, specs: list[dict], split: str | None = None,
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
-
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread_small(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Spread a small, few-file input over all cores.
-
-    Parquet splits by row group, so a file written as one row group is read
-    by a single task and everything fused into that stage (regex splitting,
-    explode, partial aggregation) runs on one core. When the scan has fewer
-    files than the default parallelism and is at most ``max_bytes``, a
-    round-robin repartition (deterministic: rows are sorted before it) costs
-    one small shuffle and buys full parallelism. A large corpus (many files
-    or many row groups) is left alone, so this never shuffles big input.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    try:
-        n_files = len(df.inputFiles())
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - not a file scan: leave as is
-        return df
-    if 0 < n_files < par and size <= max_bytes:
-        return df.repartition(par)
-    return df
