@@ -81,20 +81,20 @@ def build_vocab(df: DataFrame, text: str = "text", size: int = 8192,
     """Vocabulary (token, id, n): the ``size`` most frequent tokens, ties by token.
 
     Word count with map-side partial aggregation. The top-``size`` step first
-    finds the count threshold of the size-th token from a histogram of counts
-    (one row per distinct count value, at most about sqrt(2 * tokens) rows),
-    so the final top-k sees only tokens at or above it (``size`` plus ties)
-    instead of ``size`` rows from every partition of the distinct-token table.
-    Both branches read the same shuffled counts (a reused exchange).
+    keeps only tokens with fewer than ``size`` tokens counted strictly above
+    them, read from a histogram of counts (one row per distinct count value,
+    at most about sqrt(2 * tokens) rows, broadcast), so the final top-k sees
+    ``size`` plus ties instead of ``size`` rows from every partition of the
+    distinct-token table. Both branches read the same shuffled counts.
     """
     toks = df.select(F.explode(split_tokens(text, pattern)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # For every distinct count n: how many tokens have a strictly higher count.
+    # A token can be in the top ``size`` only if that number is below ``size``.
     hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
-    cum = F.sum("_k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
-    thr = hist.withColumn("_cum", cum).filter(F.col("_cum") >= size).agg(F.max("n").alias("_t")) \
-              .withColumn("_one", F.lit(1))
-    cand = counts.withColumn("_one", F.lit(1)).join(F.broadcast(thr), "_one") \
-                 .filter(F.col("_t").isNull() | (F.col("n") >= F.col("_t")))
+    above = F.sum("_k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    hist = hist.select("n", F.coalesce(above, F.lit(0)).alias("_above"))
+    cand = counts.join(F.broadcast(hist), "n").filter(F.col("_above") < size)  # equi-join on n, bounded side
     top = cand.select("token", "n").orderBy(F.desc("n"), F.asc("token")).limit(size)
     # ``size`` rows at most: a single ordered task is bounded by the parameter.
     w = Window.orderBy(F.desc("n"), F.asc("token"))
