@@ -84,3 +84,13 @@ def test_token_counts_and_unk(spark):
     got = {r.g: (r.n_tokens, r.n_unk, r.n_distinct_ids)
            for r in T.unk_counts(T.token_counts(df, ["g"]), ["g"], vocab, 1).collect()}
     assert got == {"x": (3, 1, 2), "y": (1, 1, 1)}
+
+
+def test_vocab_threshold_ties_and_small_corpus(spark):
+    # counts: z=3, b=2, a=2, c=2, y=1 -> top 2 = z, then the first 2-count token by name
+    df = spark.createDataFrame([("z z z b b a a c c y",)], "text string")
+    got = sorted((r.id, r.token, r.n) for r in T.build_vocab(df, "text", 2).collect())
+    assert got == [(2, "z", 3), (3, "a", 2)]
+    # fewer distinct tokens than the size: all of them, ranked
+    got = sorted((r.id, r.token) for r in T.build_vocab(df, "text", 100).collect())
+    assert got == [(2, "z"), (3, "a"), (4, "b"), (5, "c"), (6, "y")]
