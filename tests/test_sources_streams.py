@@ -101,3 +101,21 @@ def test_worker_functions_pickled_by_value():
     from pyspark.cloudpickle import cloudpickle as cp
     for name in ("skein.streaming.halting", "skein.operators.infer", "skein.operators.halting"):
         assert cp._is_registered_pickle_by_value(importlib.import_module(name))
+
+
+def test_checkpoint_dir_refuses_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from skein.session import checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+    sc = SimpleNamespace(master="yarn", getConf=lambda: Conf(), getCheckpointDir=lambda: None,
+                         setCheckpointDir=lambda p: None)
+    fake = SimpleNamespace(sparkContext=sc, conf=Conf())
+    with pytest.raises(ValueError, match="shared folder"):
+        checkpoint_dir(fake)
+    shared = SimpleNamespace(sparkContext=sc, conf=Conf({"spark.checkpoint.dir": "hdfs:///ckpt"}))
+    assert checkpoint_dir(shared) == "hdfs:///ckpt"
