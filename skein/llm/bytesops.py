@@ -92,14 +92,21 @@ class SpanHash:
             pw[0] = ipw[0] = 1
             self._pw, self._ipw = np.multiply.accumulate(pw), np.multiply.accumulate(ipw)
 
-    def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Hash of data[start:end] for each span; ``table`` maps bytes before hashing (a seed per byte)."""
+    def sums(self, data: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Prefix sums over the bytes; ``table`` has a seed per byte."""
         n = len(data)
         self._powers(n + 1)
         c = np.zeros(n + 1, np.uint64)
         np.cumsum(table[data] * self._pw[:n], out=c[1:])
+        return c
+
+    def of(self, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each span [start, end) from the prefix sums."""
         return mix64((c[end] - c[start]) * self._ipw[start] + (end - start).astype(np.uint64))
 
+    def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+        return self.of(self.sums(data, table), start, end)
+
 
 def seed_table(fold: np.ndarray | None = None) -> np.ndarray:
     """A random 64-bit value per byte, after folding bytes (for example to lower case)."""

@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import licenses, urls
+from skein.llm import langid, licenses, mixing, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +96,33 @@ m AS (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h |
 SELECT page_id, host, path, rule, coalesce(v, '{urls.DEFAULT_VERDICT}') AS verdict FROM s LEFT JOIN m USING (rid)""")
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+# --- op3, op5, op9 -----------------------------------------------------------
+
+MIX_WEIGHTS = {"good": 0.90, "poor": 0.06, "toxic": 0.04}
+
+
+@query("op3_mix_sources")
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_WEIGHTS)
+    return out
+
+
+def fold_of(key: str = "doc_id"):
+    """crc32 of the key as text, modulo 4; fold 2 is held out."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold_of() != 2))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold_of() == 2).alias("held_out"), "lang_pred", "score", "n_grams")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
