@@ -1,9 +1,67 @@
-"""Corpus pipeline: stages over ``documents``, each calling one operator."""
+"""Corpus pipeline over ``documents``: five stages, each by one operator of ``skein.llm``.
 
-STAGES = []
-ORACLE_SQL = None
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is
+written as Parquet and read again as the next stage's documents; all but the
+last keep the columns of ``documents``.
 
+1. language: texts without a recognisable language go; a null lang is filled.
+2. near_duplicates: of each group of near copies the smallest doc_id stays.
+3. secrets: findings are replaced in the text, n_chars follows; no row goes.
+4. mixing: documents are thinned to the target token shares of the domains;
+   a document of the scarcest domain keeps rate 1 and so stays.
+5. packing: pieces of token windows.
 
-def run(spark, sf_dir):
+Cases are those of the operators. Rows of a null doc_id are not deduplicated
+by stage 2 and pass through.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import langid, mixing, ngramjoin, packing, secrets
+from skein.llm.queries import MIX_WEIGHTS, fold_of, vocabulary
+from skein.llm.scratch import save
+
+LEAST_SCORE = 0.3          # share of a text's n-grams that its language must know
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs.filter(fold_of() != 2))
+    seen = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return seen.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngramjoin.join_texts(docs)
+    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id") \
+        .agg(F.min(F.struct(*others)).alias("r")).select("doc_id", *[F.col(f"r.{c}") for c in others])
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.redact(docs, secrets.fit(docs))
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return mixing.thin(docs, labels, MIX_WEIGHTS)[0]
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secret_scan),
+          ("mixing", mix_sources), ("packing", pack)]
+ORACLE_SQL = None          # the classifiers and the tokenizer are not SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -201,3 +201,37 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], target: C
     post = save(posteriors(docs, model, names, key, text), "posteriors")
     history, report = fit_rates(post, names, [weights[x] for x in names], max_rate=max_rate, slack=slack)
     return with_rates(post, names, history, max_rate, key), report
+
+
+def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float], target: Column | None = None,
+         slack: float = 1.02, key: str = "doc_id", text: str = "text", per_class: int = 4000,
+         seed: int = 42) -> tuple[DataFrame, dict]:
+    """(input rows kept, report): rates of at most 1, each row kept with its rate as probability.
+
+    Posteriors are computed again while filtering, so texts are not shuffled.
+    ``slack`` over 1 asks for a little more of the scarcest domain than there
+    is, which holds the rates of its documents at 1."""
+    names = list(weights)
+    model = fit_domains(docs, labels, domain_of() if target is None else target, len(names), key, text, per_class)
+    post = save(posteriors(docs, model, names, key, text), "posteriors")
+    history, report = fit_rates(post, names, [weights[x] for x in names], max_rate=1.0, slack=slack)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+    draw = "_draw"
+
+    def run(batches):
+        import pyarrow as pa
+        md = shared.value
+        hasher, look = SpanHash(), Lookup(md["keys"])
+        for b in batches:
+            post_ = np.zeros((b.num_rows, len(names)))
+            for lo, hi, row, feat, val, shp, _ in featurize(b.column(at), look, hasher):
+                post_[lo:hi] = softmax(logits(md, row, feat, val, shp, hi - lo))
+            rate = replay(post_, history, 1.0)[0]
+            u = b.column(b.num_columns - 1).to_numpy()
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(
+                pa.array(u < rate))
+
+    u = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"thin{seed}")) \
+        .bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    return docs.withColumn(draw, u).mapInArrow(run, docs.schema), report

@@ -37,8 +37,8 @@ from skein.llm.bytesops import SpanHash, row_chunks, rows_of, seed_table, text_a
 
 SIZE = 4096
 END_ID = 2                       # fixed by the contract
-SENTENCE_PENALTY, CLAUSE_PENALTY, INSIDE_PENALTY = 8, 16, 512
-STEP = 512
+SENTENCE_PENALTY, CLAUSE_PENALTY, INSIDE_PENALTY = 8, 16, 64
+STEP = 64
 FLUSH = 1 << 20
 MAX_WORDS = 1_500_000            # distinct words a worker remembers; beyond, it starts anew
 SPACE, LETTER, DIGIT, OTHER, UNSAFE = range(5)
