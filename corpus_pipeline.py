@@ -7,8 +7,8 @@ last keep the columns of ``documents``.
 1. language: texts without a recognisable language go; a null lang is filled.
 2. near_duplicates: of each group of near copies the smallest doc_id stays.
 3. secrets: findings are replaced in the text, n_chars follows; no row goes.
-4. mixing: documents are thinned to the target token shares of the domains;
-   a document of the scarcest domain keeps rate 1 and so stays.
+4. mixing: documents of poor and toxic domains are thinned to their target
+   token shares next to the good domain, whose documents keep rate 1 and stay.
 5. packing: pieces of token windows.
 
 Cases are those of the operators. Rows of a null doc_id are not deduplicated

@@ -23,7 +23,7 @@ judged one by one; columns other than the named ones are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -184,12 +184,14 @@ def predict(model: dict, col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(letters, best, -1), np.where(letters, score, 0.0), total
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """The input rows with three more columns: lang_pred, score, n_grams.
+def identify(docs: DataFrame, model: dict, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """The input rows (all columns, or those in ``keep``) with three more: lang_pred, score, n_grams.
 
-    Raises if the input already has one of these names."""
+    Raises if a kept column already has one of these names."""
     new = ["lang_pred", "score", "n_grams"]
-    taken = [c for c in docs.columns if c.lower() in new]
+    kept = list(docs.columns if keep is None else keep)
+    docs = docs.select(*kept, *([] if text in kept else [text]))
+    taken = [c for c in kept if c.lower() in new]
     if taken:
         raise ValueError(f"columns already present: {taken}")
     shared = docs.sparkSession.sparkContext.broadcast(model)   # a few MB at most
@@ -201,9 +203,9 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for b in batches:
             best, score, total = predict(shared.value, b.column(at))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(total.astype(np.int64))],
-                names=[*b.schema.names, *new])
+                [*b.columns[:len(kept)], pa.array(names[best], pa.string()), pa.array(score),
+                 pa.array(total.astype(np.int64))], names=[*kept, *new])
 
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
+    out = T.StructType([*docs.schema.fields[:len(kept)], T.StructField("lang_pred", T.StringType()),
                         T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType())])
     return docs.mapInArrow(run, out)

@@ -123,12 +123,13 @@ def replay(post: np.ndarray, history: Sequence[np.ndarray], max_rate: float | No
 
 
 def fit_rates(post: DataFrame, names: Sequence[str], weights: Sequence[float], total: float | None = None,
-              max_rate: float | None = None, slack: float = 1.0, tol: float = 1e-4,
+              max_rate: float | None = None, keep: str | None = None, slack: float = 1.0, tol: float = 1e-4,
               max_steps: int = 40) -> tuple[list, dict]:
     """Residual history of the projected gradient, and a report.
 
-    ``total``: target tokens; default: all expected tokens, or with
-    ``max_rate`` the most that can meet the weights, times ``slack``."""
+    ``total``: target tokens. Default: all expected tokens; with ``keep``, as
+    many as let that domain stay as it is, times ``slack``; with ``max_rate``
+    alone, the most that can meet the weights, times ``slack``."""
     cols = [f"p_{x}" for x in names]
     w = np.array(weights, float)
     if len(w) != len(names) or (w < 0).any() or w.sum() <= 0:
@@ -161,7 +162,13 @@ def fit_rates(post: DataFrame, names: Sequence[str], weights: Sequence[float], t
     w = w / w.sum()
     if total is None:
         use = w > 0
-        total = float((base[use] / w[use]).min()) * max_rate * slack if max_rate is not None else float(base.sum())
+        at = list(names).index(keep) if keep is not None else -1
+        if keep is not None and use[at]:
+            total = float(base[at] / w[at]) * slack
+        elif max_rate is not None:
+            total = float((base[use] / w[use]).min()) * max_rate * slack
+        else:
+            total = float(base.sum())
     goal = w * total
     history: list[np.ndarray] = []
     ahead, reached = base, base
@@ -204,17 +211,18 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], target: C
 
 
 def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float], target: Column | None = None,
-         slack: float = 1.02, key: str = "doc_id", text: str = "text", per_class: int = 4000,
+         keep: str | None = "good", slack: float = 1.02, key: str = "doc_id", text: str = "text", per_class: int = 4000,
          seed: int = 42) -> tuple[DataFrame, dict]:
     """(input rows kept, report): rates of at most 1, each row kept with its rate as probability.
 
     Posteriors are computed again while filtering, so texts are not shuffled.
-    ``slack`` over 1 asks for a little more of the scarcest domain than there
-    is, which holds the rates of its documents at 1."""
+    Documents of the domain ``keep`` stay: the targets ask for a little more
+    of it than there is (``slack``), which holds their rates at 1, and the
+    others are thinned to their weights next to it."""
     names = list(weights)
     model = fit_domains(docs, labels, domain_of() if target is None else target, len(names), key, text, per_class)
     post = save(posteriors(docs, model, names, key, text), "posteriors")
-    history, report = fit_rates(post, names, [weights[x] for x in names], max_rate=1.0, slack=slack)
+    history, report = fit_rates(post, names, [weights[x] for x in names], max_rate=1.0, keep=keep, slack=slack)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     draw = "_draw"

@@ -119,7 +119,7 @@ def fold_of(key: str = "doc_id"):
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(fold_of() != 2))
-    out = langid.identify(docs.select("doc_id", "text"), model)
+    out = langid.identify(docs, model, keep=["doc_id"])
     return out.select("doc_id", (fold_of() == 2).alias("held_out"), "lang_pred", "score", "n_grams")
 
 
