@@ -99,7 +99,7 @@ def resolve_text(df: DataFrame, mode: str = "reference", out: str = "text") -> D
     for name in TEXT_COLUMNS:
         if name in cols:
             return df.withColumn(out, F.col(name)) if name != out else df
-    raise ValueError(f"No text column found in dataset: {sorted(df.columns)}")
+    raise ValueError(f"none of {list(TEXT_COLUMNS)} is a column of {sorted(df.columns)}")
 
 
 def preview(c, n: int, always: bool = False) -> Column:

@@ -8,6 +8,7 @@ batch, never per row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,18 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CACHE: dict = {}
+def _cached(name: str, factory: Callable):
+    """The object ``factory`` builds, once per Python worker process.
 
-
-def _cached(factory: Callable):
-    key = id(factory)
-    if key not in _CACHE:
-        _CACHE[key] = factory()
-    return _CACHE[key]
+    Functions of this package are pickled by value, so a module global would
+    be a fresh copy in every task; the cache lives in a module that only the
+    worker process owns and is keyed by an explicit name."""
+    import sys
+    import types
+    home = sys.modules.setdefault("_skein_worker_objects", types.ModuleType("_skein_worker_objects"))
+    if name not in home.__dict__:
+        home.__dict__[name] = factory()
+    return home.__dict__[name]
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:
-    """Apply ``fn`` to every row (as a dict); Arrow-batched transport."""
+    """Apply ``fn`` to every row (as a dict); Arrow-batched transport.
+
+    An escape hatch at Python speed, one dict per row; ``map_batches`` is the
+    fast form."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -51,14 +59,17 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
 
 
 def batch_infer(df: DataFrame, factory: Callable[[], Callable[[list[str]], list[str]]], prompt: str,
-                keys: list[str], out: str = "completion") -> DataFrame:
+                keys: list[str], out: str = "completion", name: str | None = None) -> DataFrame:
     """U4: run a user model over a prompt table; ``factory()`` builds the model
-    once per worker and returns ``predict(list_of_prompts) -> list_of_texts``."""
+    once per worker and returns ``predict(list_of_prompts) -> list_of_texts``.
+    Calls that give the same ``name`` share the built object; by default each
+    call has its own."""
+    name = name or f"object-{uuid.uuid4().hex}"
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
                        + [f"{out} string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = _cached(factory)
+        predict = _cached(name, factory)
         for pdf in batches:
             res = pdf[keys].copy()
             res[out] = predict(pdf[prompt].fillna("").tolist())
@@ -68,13 +79,14 @@ def batch_infer(df: DataFrame, factory: Callable[[], Callable[[list[str]], list[
 
 
 def tokenize_with(df: DataFrame, factory: Callable[[], Callable[[list[str]], list[list[int]]]], text: str,
-                  out: str = "ids") -> DataFrame:
+                  out: str = "ids", name: str | None = None) -> DataFrame:
     """Tokenize with a user-supplied tokenizer (iterator pandas UDF; the
-    tokenizer is loaded once per worker)."""
+    tokenizer is loaded once per worker; ``name`` as in ``batch_infer``)."""
+    name = name or f"object-{uuid.uuid4().hex}"
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def tok(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _cached(factory)
+        encode = _cached(name, factory)
         for s in it:
             yield pd.Series(encode(s.fillna("").tolist()))
 

@@ -9,8 +9,8 @@ and doubled until every source is covered. The payload rows are joined last.
 
 Hot keys: a tiny source with a large weight repeats its rows many times. The
 plan side is salted by epoch (salt = epoch mod S_s) and each row of that
-source is replicated S_s times on the data side, where S_s is bounded by the
-source's epoch count, so the replicated data never exceeds the plan size.
+source is replicated S_s times on the data side, where S_s is the source's epoch
+count, so the replicated data never exceeds the plan size.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.hashing import hash_long, hash_uniform
-from skein.operators.ordering import global_index, prefix_sum
+from skein.operators.ordering import drop_bucket, equal_buckets, global_index, prefix_sum
+from skein.session import stored
 
 SEED = 42
-SALT_MAX = 256
+HASH_SPAN = 1 << 60                # hash_long draws from [0, 2^60)
 K_SLACK = 1.25
 
 
@@ -64,9 +65,10 @@ def draw_plan(spark: SparkSession, sizes: dict[str, int], weights: dict[str, flo
     while True:
         plan = spark.range(k0).withColumnRenamed("id", "k") \
             .withColumn("source", source_choice(hash_uniform(seed, F.lit("mix"), F.col("k")), names, w))
-        plan = prefix_sum(plan, F.lit(1), ["k"], "source", name="c", inclusive=False)
+        plan = drop_bucket(prefix_sum(equal_buckets(plan, "k", k0), F.lit(1), ["k"], "source", name="c",
+                                      inclusive=False))
         n_col = F.create_map(*[x for s in live for x in (F.lit(s), F.lit(int(sizes[s])))])
-        plan = plan.withColumn("n", n_col[F.col("source")])
+        plan = stored(plan.withColumn("n", n_col[F.col("source")]), "draws")    # planned once, read from here on
         if stop == "all_exhausted":
             ends = plan.filter(F.col("c") == F.col("n") - 1).groupBy("source").agg(F.min("k").alias("k_end"))
             got = {r["source"]: r["k_end"] for r in ends.collect()}
@@ -74,10 +76,10 @@ def draw_plan(spark: SparkSession, sizes: dict[str, int], weights: dict[str, flo
                 K = max(got.values()) + 1
                 break
         elif stop == "first_exhausted":
-            ends = plan.filter(F.col("c") == F.col("n")).agg(F.min("k").alias("k_end"))
-            k_end = ends.collect()[0]["k_end"]
+            # the first position that gives a source's last row ends the mix
+            k_end = plan.filter(F.col("c") == F.col("n") - 1).agg(F.min("k").alias("k_end")).collect()[0]["k_end"]
             if k_end is not None:
-                K = int(k_end)
+                K = int(k_end) + 1
                 break
         else:
             raise ValueError(f"unknown stopping strategy {stop!r}")
@@ -87,15 +89,14 @@ def draw_plan(spark: SparkSession, sizes: dict[str, int], weights: dict[str, flo
                        F.floor(F.col("c") / F.col("n")).cast("bigint").alias("epoch"))
 
 
-def epoch_salts(plan: DataFrame, sizes: dict[str, int], salt_max: int = SALT_MAX) -> dict[str, int]:
-    """Salt count per source: its number of epochs in the plan, capped.
+def epoch_salts(plan: DataFrame, sizes: dict[str, int]) -> dict[str, int]:
+    """Salt count per source: its number of epochs in the plan.
 
-    A source read e times repeats each row e times; splitting its join key
-    into min(e, salt_max) salts bounds the rows per key by the plan size over
-    the salt count, and replicating the payload side min(e, salt_max) times
-    never exceeds the plan itself."""
+    A source read e times repeats each row e times; with e salts a join key
+    holds one plan row per payload row, and replicating the payload e times
+    makes no more rows than the plan has."""
     n_draws = plan.groupBy("source").agg(F.count(F.lit(1)).alias("d")).collect()  # one row per source
-    return {r["source"]: max(1, min(salt_max, math.ceil(r["d"] / sizes[r["source"]]))) for r in n_draws}
+    return {r["source"]: max(1, math.ceil(r["d"] / sizes[r["source"]])) for r in n_draws}
 
 
 def salted_join(plan: DataFrame, payload: DataFrame, keys: Sequence[str], salts: dict[str, int],
@@ -110,7 +111,7 @@ def salted_join(plan: DataFrame, payload: DataFrame, keys: Sequence[str], salts:
 
 
 def interleave(spark: SparkSession, data: DataFrame, weights: dict[str, float], by: Sequence[str],
-               seed: int = SEED, stop: str = "all_exhausted", salt_max: int = SALT_MAX) -> DataFrame:
+               seed: int = SEED, stop: str = "all_exhausted") -> DataFrame:
     """M2/M3 on rows: ``data`` has a ``source`` column and a unique order ``by``
     within each source. Returns data columns + (k, epoch)."""
     sizes_rows = data.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per source
@@ -118,7 +119,7 @@ def interleave(spark: SparkSession, data: DataFrame, weights: dict[str, float],
     order = [s for s in weights if s in sizes]
     sizes = {s: sizes[s] for s in order}
     plan = draw_plan(spark, sizes, weights, seed, stop)
-    salts = epoch_salts(plan, sizes, salt_max)
+    salts = epoch_salts(plan, sizes)
     pos = global_index(data.filter(F.col("source").isin(list(sizes))), by, "source", name="row")
     return salted_join(plan, pos, ["source", "row"], salts).drop("c")
 
@@ -127,7 +128,8 @@ def shuffle_global(df: DataFrame, key: Sequence[str], seed: int = SEED, name: st
     """M4 (global): position in the order of md5(seed:shuffle:key); exact,
     repeatable, and independent of the interleave draws (own tag)."""
     h = hash_long(seed, F.lit("shuffle"), *[F.col(k) for k in key])
-    return global_index(df.withColumn("_skein_h", h), ["_skein_h", *key], name=name).drop("_skein_h")
+    even = equal_buckets(df.withColumn("_skein_h", h), "_skein_h", HASH_SPAN)
+    return drop_bucket(global_index(even, ["_skein_h", *key], name=name)).drop("_skein_h")
 
 
 def shuffle_buffered(df: DataFrame, position: str, buffer: int, seed: int = SEED, name: str = "pos") -> DataFrame:

@@ -9,6 +9,8 @@ per bucket. The result equals the single-task window exactly; only the
 bucketing is approximate, which affects balance, not values.
 
 The leading ordering column must be numeric; put a unique tie-breaker last.
+NULL keys sort first (a bucket of their own before all others) and NULL is a
+partition like any other. Rows that tie on the leading column share a bucket.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from skein.session import shuffle_partitions
 
 _B = "_skein_bucket"
 _KD = "_skein_key_d"
+NULL_BUCKET = -1
 
 
 def _cols(x) -> list:
@@ -57,7 +60,17 @@ def range_buckets(df: DataFrame, key: str, buckets: int | None = None,
     if len(splits) < 3:
         return df.withColumn(_B, F.lit(0).cast("int"))
     bk = Bucketizer(splits=splits, inputCol=_KD, outputCol=_B, handleInvalid="keep")
-    return bk.transform(with_d).withColumn(_B, F.col(_B).cast("int")).drop(_KD)
+    bucket = F.when(F.col(_KD).isNull(), F.lit(NULL_BUCKET)).otherwise(F.col(_B).cast("int"))
+    return bk.transform(with_d).withColumn(_B, bucket).drop(_KD)
+
+
+def equal_buckets(df: DataFrame, key: str, span: int, buckets: int | None = None) -> DataFrame:
+    """``range_buckets`` for a key spread evenly over [0, span), such as a hash
+    or a position: the bounds are arithmetic, so no quantile pass runs."""
+    n = max(1, buckets or 4 * shuffle_partitions(df.sparkSession))
+    width = max(1, -(-int(span) // n))
+    bucket = F.floor(F.col(key) / F.lit(width)).cast("int")
+    return df.withColumn(_B, F.when(F.col(key).isNull(), F.lit(NULL_BUCKET)).otherwise(bucket))
 
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -76,6 +89,17 @@ def _shift_table(bucketed: DataFrame, parts: list, value: Column | None, how: st
     return sizes.select(*parts, _B, prev.alias("_skein_shift"))
 
 
+def _with_shift(bucketed: DataFrame, shift: DataFrame, parts: list) -> DataFrame:
+    """Attach each row's bucket shift; NULL partitions match NULL."""
+    keys = [*parts, _B]
+    right = shift.select(*[F.col(k).alias(f"_skein_j{i}") for i, k in enumerate(keys)], "_skein_shift")
+    cond = None
+    for i, k in enumerate(keys):
+        eq = F.col(k).eqNullSafe(F.col(f"_skein_j{i}"))
+        cond = eq if cond is None else cond & eq
+    return bucketed.join(right, cond).drop(*[f"_skein_j{i}" for i in range(len(keys))])
+
+
 def _bucketed(df: DataFrame, key: str, buckets: int | None) -> tuple[DataFrame, bool]:
     """Reuse a bucket column left by an earlier step of a chain (its bounds are
     monotone in this step's order too), else cut new range buckets."""
@@ -99,9 +123,9 @@ def global_index(df: DataFrame, order: Sequence | str, partition: Sequence | str
     b, reused = _bucketed(df, _name(order[0]), buckets)
     shift = _shift_table(b, parts, None)
     rn = F.row_number().over(Window.partitionBy(*parts, _B).orderBy(*order))
-    out = b.withColumn("_skein_rn", rn).join(shift, [*parts, _B])
-    out = out.withColumn(name, (F.col("_skein_shift") + F.col("_skein_rn") - 1).cast("bigint")) \
-             .drop("_skein_rn", "_skein_shift")
+    out = _with_shift(b.withColumn("_skein_rowno", rn), shift, parts)
+    out = out.withColumn(name, (F.col("_skein_shift") + F.col("_skein_rowno") - 1).cast("bigint")) \
+             .drop("_skein_rowno", "_skein_shift")
     return out if (keep_bucket or reused) else out.drop(_B)
 
 
@@ -135,7 +159,7 @@ def scan(df: DataFrame, value: str | Column, order: Sequence | str,
     b, reused = _bucketed(df, _name(order[0]), buckets)
     shift = _shift_table(b, parts, v, how)
     w = Window.partitionBy(*parts, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    out = b.withColumn("_skein_run", fn(v).over(w)).join(shift, [*parts, _B])
+    out = _with_shift(b.withColumn("_skein_run", fn(v).over(w)), shift, parts)
     if how == "sum":
         res = F.col("_skein_shift") + F.coalesce(F.col("_skein_run"), F.lit(0))
     elif how == "max":

@@ -34,7 +34,7 @@ def to_wide(long: DataFrame, key: str = "id", value: str = "value", arr: str = "
     return g.select(key, F.transform("_s", lambda s: s[value]).alias(arr))
 
 
-BROADCAST_VEC_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def lookup_vectors(df: DataFrame, keys: Sequence[str], ids: str, vec: DataFrame, vkey: str = "id",
@@ -43,13 +43,15 @@ def lookup_vectors(df: DataFrame, keys: Sequence[str], ids: str, vec: DataFrame,
     ids without a vector are dropped).
 
     Token ids are heavily skewed (a common token can be a third of all rows),
-    so a vector table of known, bounded size (``vec_rows``, e.g. the
-    vocabulary size) is broadcast; otherwise AQE decides and splits skewed
-    partitions."""
+    so a vector table of at most ``vec_rows`` rows (for example one per word of
+    a vocabulary) is broadcast if its measured bytes stay under
+    ``BROADCAST_BYTES``; otherwise AQE decides and splits skewed partitions."""
     ex = df.select(*keys, F.posexplode(ids).alias("pos", "_skein_id"))
     v = vec.select(F.col(vkey).alias("_skein_id"), F.col(varr).alias("vec"))
-    if vec_rows is not None and vec_rows <= BROADCAST_VEC_ROWS:
-        v = F.broadcast(v)
+    if vec_rows is not None:
+        size = v.limit(vec_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.size("vec") + 16).alias("b")).first()
+        if size["n"] <= vec_rows and (size["b"] or 0) <= BROADCAST_BYTES:
+            v = F.broadcast(v)
     return ex.join(v, "_skein_id").withColumnRenamed("_skein_id", "id")
 
 

@@ -20,20 +20,26 @@ from skein.operators import formatting as P
 from skein.operators import mixing as M
 from skein.operators import sampling as L
 from skein.operators import tokens as T
+from skein.session import stored
 
 
 def prepare_pretraining(spark: SparkSession, data: DataFrame, weights: dict[str, float], vocab: DataFrame,
                         block_size: int, take: int | None = None, batch: int = 8, accum: int = 1,
-                        seed: int = 42, vocab_rows: int | None = None, text: str = "text") -> DataFrame:
+                        seed: int = 42, vocab_rows: int | None = None, text: str = "text",
+                        evald: DataFrame | None = None) -> DataFrame:
     """E1. ``data`` = (source, idx, text) with ``idx`` unique per source.
+    Rows of the eval set ``evald`` (source, idx) are left out of training (L9).
 
     Returns (pos, batch, step, source, idx, epoch, input_ids, attention_mask,
     labels, n_tok) for the first ``take`` shuffled positions."""
+    if evald is not None:
+        data = L.exclude_eval(data, evald, ["source", "idx"])
     keys = data.select("source", "idx")
     plan = M.interleave(spark, keys, weights, ["idx"], seed, "all_exhausted")
     plan = M.shuffle_global(plan.select("k", "source", "idx", "epoch"), ["k"], seed, name="pos")
     if take is not None:
         plan = plan.filter(F.col("pos") < take)
+    plan = stored(plan, "mix-plan")                # the integer plan: read by the steps below, not recomputed
     plan = plan.withColumn("batch", F.floor(F.col("pos") / batch).cast("bigint")) \
                .withColumn("step", F.floor(F.col("batch") / accum).cast("bigint"))
     # Only rows the plan uses are tokenized (semi join on distinct keys), then

@@ -19,11 +19,20 @@ _NL = "chr(10)"
 
 
 def pretrain_mix(spark, sf):
-    """Four language sources -> fit 512 -> interleave -> shuffle -> take
-    1000 -> batches of 8; summarised per source."""
+    """Four language sources -> fit 512 -> interleave -> shuffle ->
+    batches of 8; summarised per source."""
+    return _pretrain(spark, sf, None)
+
+
+def pretrain_take(spark, sf):
+    """E1 with its take option: the first 1000 positions."""
+    return _pretrain(spark, sf, TAKE)
+
+
+def _pretrain(spark, sf, take):
     data = sources(spark, sf).select("source", "idx", "text")
     vocab = T.build_vocab(data, "text", VOCAB)
-    out = prepare_pretraining(spark, data, WEIGHTS, vocab, BLOCK, take=TAKE, batch=BATCH, seed=SEED,
+    out = prepare_pretraining(spark, data, WEIGHTS, vocab, BLOCK, take=take, batch=BATCH, seed=SEED,
                               vocab_rows=VOCAB)
     return out.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n_tok").cast("bigint").alias("n_tokens"),
@@ -32,24 +41,29 @@ def pretrain_mix(spark, sf):
         F.min("pos").alias("first_pos"), F.max("batch").alias("last_batch"))
 
 
-register("pretrain_mix", f"""
+def _pretrain_sql(take: int | None) -> str:
+    cond = f"WHERE sh.pos < {take}" if take is not None else ""
+    return f"""
 WITH {interleave_ctes('all_exhausted')},
 sh AS (SELECT p.*, row_number() OVER (ORDER BY {sql_hash_long(SEED, "'shuffle'", 'k')}, k) - 1 AS pos FROM p),
 tk AS (SELECT doc_id, least(len(regexp_extract_all(text, '{T.WORD_PATTERN}', 0)), {BLOCK}) AS n_tok FROM documents),
 t AS (SELECT sh.source, sh.epoch, sh.pos, r.doc_id FROM sh JOIN r ON sh.source = r.source AND sh.row = r.row
-      WHERE sh.pos < {TAKE})
+      {cond})
 SELECT t.source, count(*) AS n_rows, CAST(sum(tk.n_tok) AS BIGINT) AS n_tokens, max(t.epoch) AS max_epoch,
        count(DISTINCT t.doc_id) AS n_distinct, CAST(sum({BLOCK} - tk.n_tok) AS BIGINT) AS n_masked,
        CAST(min(t.pos) AS BIGINT) AS first_pos, CAST(max(t.pos // {BATCH}) AS BIGINT) AS last_batch
 FROM t JOIN tk ON tk.doc_id = t.doc_id GROUP BY t.source
-""")(pretrain_mix)
+"""
+
+
+register("pretrain_mix", _pretrain_sql(None))(pretrain_mix)
+register("pretrain_take", _pretrain_sql(TAKE))(pretrain_take)
 
 
 def instruction_splits(spark, sf):
-    """Instruction rows -> template -> first 200 -> 90/10 split (eval
-    capped at 10) -> vocabulary of the kept text -> fit 256; per split."""
-    fitted, _ = prepare_instruction(instruction_rows(spark, sf), vocab_size=VOCAB, block_size=IBLOCK,
-                                    max_train=200, max_eval=10)
+    """Instruction rows -> template -> 90/10 split -> vocabulary of the
+    text -> fit 256; per split."""
+    fitted, _ = prepare_instruction(instruction_rows(spark, sf), vocab_size=VOCAB, block_size=IBLOCK)
     return fitted.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n_tok").cast("bigint").alias("n_tokens"),
         F.count_if(F.col("n_raw") > IBLOCK).alias("n_truncated"),
@@ -65,9 +79,8 @@ f AS (SELECT row_key,
                   ELSE '### Instruction:' || {_NL} || instruction || {_NL} || {_NL} || '### Response:' || {_NL} || output
              END AS text,
              row_number() OVER (ORDER BY row_key) - 1 AS pos FROM inst),
-c AS (SELECT *, CAST(floor(count(*) OVER () * 0.9) AS BIGINT) AS cut FROM f WHERE pos < 200),
-s AS (SELECT row_key, text, CASE WHEN pos < cut THEN 'train' ELSE 'validation' END AS split FROM c
-      WHERE pos < cut + 10),
+c AS (SELECT *, CAST(floor(count(*) OVER () * 0.9) AS BIGINT) AS cut FROM f),
+s AS (SELECT row_key, text, CASE WHEN pos < cut THEN 'train' ELSE 'validation' END AS split FROM c),
 tk AS (SELECT row_key, split, regexp_extract_all(text, '{T.WORD_PATTERN}', 0) AS toks FROM s),
 cnt AS (SELECT tok, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM tk) GROUP BY tok),
 vocab AS (SELECT tok AS token FROM cnt ORDER BY n DESC, tok LIMIT {VOCAB}),

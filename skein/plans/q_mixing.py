@@ -108,9 +108,10 @@ def interleave_ctes(stop: str = "all_exhausted") -> str:
         k_end = """e AS (SELECT max(k_end) + 1 AS K FROM (SELECT c.source, min(c.k) AS k_end FROM c JOIN n ON c.source = n.source
                    WHERE c.c = n.n - 1 GROUP BY c.source))"""
     else:
-        k_end = """e AS (SELECT min(c.k) AS K FROM c JOIN n ON c.source = n.source WHERE c.c = n.n)"""
+        k_end = """e AS (SELECT min(c.k) + 1 AS K FROM c JOIN n ON c.source = n.source WHERE c.c = n.n - 1)"""
     return f"""
-d AS (SELECT range AS k FROM range(40000)),
+d AS (SELECT unnest(range((SELECT CAST(2 * max(n.n / m.weight_norm) AS BIGINT) + 1000
+      FROM {_weights_sql()} JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) n ON n.lang = m.source))) AS k),
 u AS (SELECT k, {_case_sql(sql_hash_uniform(SEED, "'mix'", 'k'))} AS source FROM d),
 c AS (SELECT k, source, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS c FROM u),
 n AS (SELECT lang AS source, count(*) AS n FROM documents GROUP BY lang),

@@ -26,11 +26,7 @@ SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100
 def head_n_indexed(spark, sf):
     """L1 for an n too large for top-k: position filter on the bucketed index."""
     d = load(spark, sf, "documents").select("doc_id", "lang")
-    saved, L.TAKE_ORDERED_MAX = L.TAKE_ORDERED_MAX, 0
-    try:
-        return L.head_n(d, ["doc_id"], 600)
-    finally:
-        L.TAKE_ORDERED_MAX = saved
+    return L.head_n(d, ["doc_id"], 600, how="index")
 
 
 register("head_n_indexed", """
@@ -102,6 +98,59 @@ SELECT source, idx FROM r WHERE rn <= {EVAL_SIZE // 4}
 """)(eval_sample_q)
 
 
+# Quotas of the default eval size: 10,000 rows over the sources. The group key
+# is NULL for a fifth of the rows, the leading order key for a third of them.
+LARGE_Q = 10_000 // 4
+
+
+def _gappy(spark, sf):
+    """orders with NULLs in the group (g) and the leading order key (k)."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return o.select(F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey") % 3).alias("g"),
+                    F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("k"),
+                    F.col("o_orderkey").alias("id"))
+
+
+_GAPPY_SQL = """g AS (SELECT CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 3 END AS g,
+       CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS k, o_orderkey AS id FROM orders)"""
+
+
+def eval_quota_large(spark, sf):
+    return L.eval_quota(_gappy(spark, sf), "g", ["k", "id"], LARGE_Q, rank="rank")
+
+
+register("eval_quota_large", f"""
+WITH {_GAPPY_SQL},
+r AS (SELECT g, k, id, row_number() OVER (PARTITION BY g ORDER BY k NULLS FIRST, id) AS rank FROM g)
+SELECT g, k, id, rank FROM r WHERE rank <= {LARGE_Q}
+""")(eval_quota_large)
+
+
+def eval_sample_large(spark, sf):
+    return L.eval_sample(_gappy(spark, sf), "g", ["id"], LARGE_Q, SEED)
+
+
+register("eval_sample_large", f"""
+WITH {_GAPPY_SQL},
+r AS (SELECT g, k, id, row_number() OVER (PARTITION BY g
+             ORDER BY {sql_hash_long(SEED, "'sample'", 'g', 'id')}, id) AS rank FROM g)
+SELECT g, k, id FROM r WHERE rank <= {LARGE_Q}
+""")(eval_sample_large)
+
+
+def subsample_shuffled(spark, sf):
+    """L8, reference mode: every row, in the seeded order."""
+    src = sources(spark, sf).select("source", "idx")
+    return L.subsample(src, 0.3, ["source", "idx"], SEED, mode="reference")
+
+
+register("subsample_shuffled", f"""
+SELECT lang AS source, doc_id AS idx,
+       CAST(row_number() OVER (ORDER BY {sql_hash_long(SEED, "'shuffle'", 'lang', 'doc_id')}, lang, doc_id) - 1 AS BIGINT) AS pos
+FROM documents
+""")(subsample_shuffled)
+
+
 # A four-source mix over documents.lang: two lazily read sources take their
 # first q rows, two batch sources a random q; 'de' declares a validation split.
 MIX_SPECS = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.functions.arrays import mask_pad
 from skein.operators import tokens as T
 from skein.plans.registry import load, register
 
@@ -252,13 +253,16 @@ FROM allr a JOIN ch ON a.lang = ch.lang
 # B1 label mask with a genuine EOS appended (reference masks it too), and the
 # position-based alternative; B3 next-token pairs.
 
+MASK_BLOCK = 1024
+
+
 def label_mask(spark, sf):
-    """B1 with a genuine EOS after the first 63 bytes: the reference mask
-    (every pad/eos id) and the position mask, from one fitted row."""
+    """B1 with a genuine EOS after the text: the reference mask (every pad/eos
+    id) and the position mask, from one row fitted to the block."""
     from skein.functions.arrays import mask_by_position
     docs = _docs(spark, sf)
-    ids = docs.select("doc_id", F.concat(T.byte_ids("text", 63), F.array(F.lit(T.EOS_ID))).alias("ids"))
-    ref = T.fit(ids, "ids", 128, mask="pad_id")
+    ids = docs.select("doc_id", F.concat(T.byte_ids("text"), F.array(F.lit(T.EOS_ID))).alias("ids"))
+    ref = T.fit(ids, "ids", MASK_BLOCK, mask="pad_id")
     return ref.select("doc_id", "n_tok",
                       F.size(F.filter("labels", lambda x: x == -100)).alias("masked_ref"),
                       F.size(F.filter(mask_by_position("input_ids", "attention_mask"), lambda x: x == -100))
@@ -266,13 +270,13 @@ def label_mask(spark, sf):
                       _digest("labels").alias("labels_md5"))
 
 
-register("label_mask", """
+register("label_mask", f"""
 WITH b AS (SELECT doc_id, list_append(list_transform(regexp_extract_all(hex(text), '..', 0),
-                  lambda h: CAST(('0x' || h) AS INTEGER) + 2)[1:63], 0) AS ids FROM documents),
+                  lambda h: CAST(('0x' || h) AS INTEGER) + 2), 0)[1:{MASK_BLOCK}] AS ids FROM documents),
 g AS (SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_tok,
-             list_concat(ids, list_transform(range(128 - len(ids)), lambda x: 0)) AS input_ids FROM b)
+             list_concat(ids, list_transform(range({MASK_BLOCK} - len(ids)), lambda x: 0)) AS input_ids FROM b)
 SELECT doc_id, n_tok, CAST(len(list_filter(input_ids, lambda x: x = 0)) AS INTEGER) AS masked_ref,
-       CAST(128 - n_tok AS INTEGER) AS masked_pos,
+       CAST({MASK_BLOCK} - n_tok AS INTEGER) AS masked_pos,
        md5(array_to_string(list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ','))
          AS labels_md5
 FROM g
@@ -281,8 +285,9 @@ FROM g
 
 def shift_labels(spark, sf):
     bench = load(spark, sf, "benchmark").select("item_id", "text")
-    fitted = T.tokenize_bytes(bench, ["item_id"], "text", 64)
-    pairs = T.next_token_pairs(fitted, ["item_id"], "labels")
+    ids = T.tokenize_bytes(bench, ["item_id"], "text", None)          # whole texts, end token masked
+    labels = ids.select("item_id", mask_pad(F.concat("ids", F.array(F.lit(T.EOS_ID)))).alias("labels"))
+    pairs = T.next_token_pairs(labels, ["item_id"], "labels")
     return pairs.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.count_if(F.col("target") != -100).alias("n_valid"),
@@ -291,9 +296,9 @@ def shift_labels(spark, sf):
 
 register("shift_labels", """
 WITH b AS (SELECT item_id, list_transform(regexp_extract_all(hex(text), '..', 0),
-                  lambda h: CAST(('0x' || h) AS INTEGER) + 2)[1:64] AS ids FROM benchmark),
-g AS (SELECT item_id, list_concat(ids, list_transform(range(64 - len(ids)), lambda x: -100)) AS labels FROM b),
-p AS (SELECT item_id, unnest(labels[2:64]) AS target, generate_subscripts(labels[2:64], 1) - 1 AS pos FROM g)
+                  lambda h: CAST(('0x' || h) AS INTEGER) + 2) AS ids FROM benchmark),
+g AS (SELECT item_id, list_append(ids, -100) AS labels FROM b),
+p AS (SELECT item_id, unnest(labels[2:]) AS target, generate_subscripts(labels[2:], 1) - 1 AS pos FROM g)
 SELECT item_id, count(*) AS n_pairs, count(*) FILTER (WHERE target <> -100) AS n_valid,
        CAST(sum(CASE WHEN target <> -100 THEN target * (pos + 1) END) AS BIGINT) AS checksum
 FROM p GROUP BY item_id

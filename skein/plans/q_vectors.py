@@ -19,9 +19,9 @@ def _emb(spark, sf):
 
 
 def vector_lookup(spark, sf):
-    """Byte ids of each benchmark item -> embedding rows -> mean pooled."""
+    """All byte ids of each benchmark item -> embedding rows -> mean pooled."""
     bench = load(spark, sf, "benchmark").select("item_id", "text")
-    ids = T.tokenize_bytes(bench, ["item_id"], "text", None).select("item_id", F.slice("ids", 1, 64).alias("ids"))
+    ids = T.tokenize_bytes(bench, ["item_id"], "text", None).select("item_id", "ids")
     # The byte tokenizer's id space is [2, 257]; only those vectors can match,
     # so the vector side is bounded by 256 rows and broadcast.
     space = F.col("id").between(T.BYTE_OFFSET, T.BYTE_OFFSET + 255)
@@ -35,7 +35,7 @@ def vector_lookup(spark, sf):
 
 register("vector_lookup", """
 WITH b AS (SELECT item_id, list_transform(regexp_extract_all(hex(text), '..', 0),
-                  lambda h: CAST(('0x' || h) AS INTEGER) + 2)[1:64] AS ids FROM benchmark),
+                  lambda h: CAST(('0x' || h) AS INTEGER) + 2) AS ids FROM benchmark),
 e AS (SELECT item_id, unnest(ids) AS id FROM b),
 l AS (SELECT e.item_id, x.embedding FROM e JOIN embeddings x ON x.vec_id = e.id),
 n AS (SELECT item_id, count(*) AS n_found FROM l GROUP BY item_id),

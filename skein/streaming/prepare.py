@@ -39,6 +39,12 @@ def file_stream(spark: SparkSession, directory: str, schema: T.StructType, fmt:
     return r.load(directory)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on whatever file system it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def stream_prepare(sdf: DataFrame, prepare: Callable[[DataFrame], DataFrame], sink: str, ckpt: str,
                    available_now: bool = True) -> StreamingQuery:
     """Run the batch pipeline ``prepare`` on every micro-batch and write
@@ -65,11 +71,10 @@ def stream_shuffle(sdf: DataFrame, key: Sequence[str], sink: str, ckpt: str, see
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
+        prev = 0
+        if _exists(spark, offsets):        # absent before the first batch; a read error is an error
             prev = spark.read.parquet(offsets).filter(F.col("batch_id") < batch_id) \
                         .agg(F.sum("n")).collect()[0][0] or 0
-        except Exception:  # noqa: BLE001 - first batch: no offsets table yet
-            prev = 0
         from skein.operators.ordering import global_index
         h = batch.withColumn("_skein_h", hash_long(seed, F.lit("shuffle"), *[F.col(k) for k in key]))
         out = global_index(h, ["_skein_h", *key], name="pos").drop("_skein_h") \
@@ -90,14 +95,14 @@ def stream_quota(sdf: DataFrame, source: str, by: Sequence[str], q: int, sink: s
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(taken_dir).filter(F.col("batch_id") < batch_id) \
-                        .groupBy(source).agg(F.sum("n").alias("_seen"))
-        except Exception:  # noqa: BLE001 - first batch
-            seen = spark.createDataFrame([], f"{source} string, _seen long")
         rn = F.row_number().over(Window.partitionBy(source).orderBy(*by))
-        b = batch.withColumn("_rn", rn).join(F.broadcast(seen), source, "left") \
-                 .filter(F.col("_rn") <= F.lit(q) - F.coalesce("_seen", F.lit(0))).drop("_rn", "_seen")
+        b = batch.withColumn("_rn", rn).filter(F.col("_rn") <= q)      # literal bound: pruned before the shuffle
+        if _exists(spark, taken_dir):      # absent before the first batch; a read error is an error
+            seen = spark.read.parquet(taken_dir).filter(F.col("batch_id") < batch_id) \
+                        .groupBy(F.col(source).alias("_src")).agg(F.sum("n").alias("_seen"))
+            b = b.join(seen, F.col(source).eqNullSafe(F.col("_src")), "left") \
+                 .filter(F.col("_rn") <= F.lit(q) - F.coalesce("_seen", F.lit(0))).drop("_src", "_seen")
+        b = b.drop("_rn")
         path = os.path.join(sink, f"batch_id={batch_id}")
         b.write.mode("overwrite").parquet(path)
         spark.read.parquet(path).groupBy(source).agg(F.count(F.lit(1)).alias("n")) \

@@ -57,6 +57,8 @@ def test_first_exhausted_stops_before_a_repeat(spark):
                         stop="first_exhausted").collect()
     assert all(r.epoch == 0 for r in rows)
     assert sum(1 for r in rows if r.source == "a") == 4
+    last = max(rows, key=lambda r: r.k)
+    assert (last.source, last.idx) == ("a", 3)                      # ends with the first source's last row
 
 
 def test_shuffles_are_permutations(spark):

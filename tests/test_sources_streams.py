@@ -119,3 +119,35 @@ def test_checkpoint_dir_refuses_local_folder_on_a_cluster():
         checkpoint_dir(fake)
     shared = SimpleNamespace(sparkContext=sc, conf=Conf({"spark.checkpoint.dir": "hdfs:///ckpt"}))
     assert checkpoint_dir(shared) == "hdfs:///ckpt"
+
+
+def test_model_is_built_once_per_worker(spark, tmp_path):
+    import os
+    import uuid
+    from skein.operators import infer as U
+    folder = str(tmp_path)
+
+    def factory():
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda texts: [t.upper() for t in texts]
+
+    df = spark.range(0, 400, 1, 20).selectExpr("id", "cast(id as string) AS t")
+    out = U.batch_infer(df, factory, "t", ["id"]).collect()
+    assert len(out) == 400
+    built = [f.split("-")[0] for f in os.listdir(folder)]
+    assert len(built) == len(set(built)) < 20                         # one per worker process, not per task
+
+
+def test_stream_quota_and_shuffle_over_batches(spark, tmp_path):
+    from skein.streaming import prepare as X
+    src = str(tmp_path / "in")
+    for i in range(3):
+        rows = [("a" if j % 3 else None, 100 * i + j) for j in range(30)]
+        spark.createDataFrame(rows, "source string, idx long").coalesce(1).write.mode("append").parquet(src)
+    sdf = X.file_stream(spark, src, spark.read.parquet(src).schema, max_files_per_trigger=1)
+    X.stream_quota(sdf, "source", ["idx"], 25, str(tmp_path / "q"), str(tmp_path / "c1")).awaitTermination()
+    got = X.read_batches(spark, str(tmp_path / "q")).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got} == {"a": 25, None: 25}
+    X.stream_shuffle(sdf.select("idx"), ["idx"], str(tmp_path / "s"), str(tmp_path / "c2")).awaitTermination()
+    pos = sorted(r.pos for r in X.read_batches(spark, str(tmp_path / "s")).collect())
+    assert pos == list(range(90))
