@@ -66,6 +66,3 @@ def pick(arr, idx) -> Column:
     """arr[idx] with a 0-based index; NULL when out of range (ANSI safe)."""
     return F.get(_c(arr), _c(idx))
 
-
-def to_double_array(arr) -> Column:
-    return _c(arr).cast("array<double>")

@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.arrays import IGNORE_LABEL, argmax, logsumexp, pick, stablemax_s
 
@@ -66,9 +67,9 @@ def bce_with_logits(x: Column, y: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
 
 
-def valid_sequences(seq: DataFrame) -> DataFrame:
-    """sequences that halted and have at least one valid token."""
-    return seq.filter(F.col("halted") & (F.col("n_valid") > 0))
+def is_valid() -> Column:
+    """the sequence halted and has at least one valid token."""
+    return F.col("halted") & (F.col("n_valid") > 0)
 
 
 def rollup_scores(seq: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def rollup_scores(seq: DataFrame) -> DataFrame:
     Metrics are sums over valid sequences (halted and n_valid > 0), as the
     reference emits them; means divide by ``count``. Losses run over all rows.
     """
-    vm = F.col("halted") & (F.col("n_valid") > 0)
+    vm = is_valid()
     y = F.col("exact").cast("double")
     halt_loss = bce_with_logits(F.col("q_halt"), y)
     cont_loss = F.when(F.col("target_q_continue").isNotNull(),
@@ -124,21 +125,48 @@ def split_sizes(df: DataFrame, splits=("train", "validation")) -> DataFrame:
     return names.join(counts, "split", "full").select("split", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
-def bits_per_byte(nll_rows: DataFrame, docs: DataFrame, by: str) -> DataFrame:
-    """sum(nll) / ln 2 / sum(UTF-8 bytes), per ``by``."""
-    n = nll_rows.groupBy(by).agg(F.sum("nll").alias("nll_sum"), F.count(F.lit(1)).alias("n_tokens"))
+def bits_per_byte(nll: DataFrame, docs: DataFrame, by: str) -> DataFrame:
+    """nll_sum / ln 2 / UTF-8 bytes, per ``by``. ``nll`` = (by, n_tokens,
+    nll_sum), one row per group, for example from ``unigram_nll``."""
     b = docs.groupBy(by).agg(F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"))
-    return n.join(b, by).withColumn("bits_per_byte", F.col("nll_sum") / F.lit(LN2) / F.col("n_bytes"))
+    return nll.join(b, by).withColumn("bits_per_byte", F.col("nll_sum") / F.lit(LN2) / F.col("n_bytes"))
 
 
 def distinct_ids(df: DataFrame, ids: str, by: str | None = None, approx: bool = False) -> DataFrame:
-    """Number of distinct ids (exact, or HyperLogLog++ when ``approx``)."""
-    ex = df.select(*([by] if by else []), F.explode(ids).alias("_id"))
+    """Number of distinct ids (exact, or HyperLogLog++ when ``approx``) of
+    an id column, or of an id array column, which is exploded first."""
+    one = F.explode(ids) if isinstance(df.schema[ids].dataType, T.ArrayType) else F.col(ids)
+    ex = df.select(*([by] if by else []), one.alias("_id"))
     agg = F.approx_count_distinct("_id") if approx else F.count_distinct("_id")
     g = ex.groupBy(by) if by else ex.groupBy()
     return g.agg(agg.alias("n_distinct"))
 
 
+TOKENS_PER_PARAMETER = 20
+
+
+def mix_report(per: DataFrame, mix: DataFrame, block: int, parameters: int) -> DataFrame:
+    """Per source, token share against target weight, unknown and padding
+    fractions at the block size, and the token budget of a model with
+    ``parameters`` (20 tokens each): the source's part of it by weight, and how
+    many times its tokens must be read to fill that part.
+
+    ``per`` = (source, n_rows, n_tokens, n_unk, n_pad), one row per source;
+    ``mix`` = (source, weight_norm), configuration."""
+    from pyspark.sql import Window
+    share = F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # one row per source
+    budget = F.lit(float(TOKENS_PER_PARAMETER * parameters)) * F.col("weight_norm")
+    return per.join(F.broadcast(mix), "source").select(
+        "source", "n_rows", "n_tokens",
+        F.round(share, 6).alias("token_share"),
+        F.round("weight_norm", 6).alias("weight_norm"),
+        F.round(share / F.col("weight_norm"), 6).alias("share_over_weight"),
+        F.round(F.col("n_unk") / F.col("n_tokens"), 6).alias("unk_frac"),
+        F.round(F.col("n_pad") / (F.col("n_rows") * block), 6).alias("pad_frac"),
+        F.round(budget, 3).alias("budget_tokens"),
+        F.round(budget / F.col("n_tokens"), 6).alias("budget_epochs"))
+
+
 def unigram_nll(counts: DataFrame, by: str) -> DataFrame:
     """Per group, the negative log-likelihood of its tokens under the corpus
     unigram model: sum_t c_gt * (ln N - ln n_t). ``counts`` = token_counts

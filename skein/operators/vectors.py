@@ -28,12 +28,6 @@ def to_long(vec: DataFrame, key: str = "id", arr: str = "vec", value: str = "val
     return vec.select(key, F.posexplode(arr).alias("dim", value))
 
 
-def to_wide(long: DataFrame, key: str = "id", value: str = "value", arr: str = "vec") -> DataFrame:
-    """Long -> array per key; one row holds D values (bounded by the width)."""
-    g = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", value))).alias("_s"))
-    return g.select(key, F.transform("_s", lambda s: s[value]).alias(arr))
-
-
 BROADCAST_BYTES = 64 << 20
 
 

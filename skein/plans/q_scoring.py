@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -167,10 +166,8 @@ def bits_per_byte_q(spark, sf):
     counts sees distinct pairs, not every occurrence of a hot token."""
     docs = load(spark, sf, "documents").select("lang", "text")
     nll = A.unigram_nll(T.token_counts(docs, ["lang"]), "lang")
-    b = docs.groupBy("lang").agg(F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"))
-    return nll.join(b, "lang").select("lang", "n_tokens", "n_bytes",
-                                      F.round(F.col("nll_sum") / F.lit(math.log(2.0)) / F.col("n_bytes"), 6)
-                                      .alias("bits_per_byte"))
+    return A.bits_per_byte(nll, docs, "lang").select("lang", "n_tokens", "n_bytes",
+                                                     F.round("bits_per_byte", 6).alias("bits_per_byte"))
 
 
 register("bits_per_byte", f"""
@@ -189,8 +186,9 @@ def distinct_ids_q(spark, sf):
     """A16 per language, from distinct (lang, token) pairs."""
     docs = load(spark, sf, "documents").select("doc_id", "lang", "text")
     vocab = T.build_vocab(docs, "text", VOCAB)
-    c = T.unk_counts(T.token_counts(docs, ["lang"]), ["lang"], vocab, VOCAB)
-    return c.select("lang", F.col("n_distinct_ids").alias("n_distinct"))
+    pairs = T.token_counts(docs, ["lang"]).join(vocab.select("token", "id"), "token", "left") \
+        .withColumn("id", F.coalesce("id", F.lit(T.UNK_ID)))
+    return A.distinct_ids(pairs, "id", "lang")
 
 
 register("distinct_ids", f"""
@@ -216,15 +214,10 @@ def mix_report(spark, sf):
         F.sum(F.greatest(F.lit(0), F.lit(BLOCK) - F.col("n_tok"))).cast("bigint").alias("n_pad"))
     per = per.join(unk, "source")
     mix = normalise_mix(build_mix(spark, MIX_SPECS)).select("source", "weight_norm")
-    from pyspark.sql import Window
-    share = F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # one row per source
-    return per.join(F.broadcast(mix), "source").select(
-        "source", "n_rows", "n_tokens",
-        F.round(share, 6).alias("token_share"),
-        F.round("weight_norm", 6).alias("weight_norm"),
-        F.round(share / F.col("weight_norm"), 6).alias("share_over_weight"),
-        F.round(F.col("n_unk") / F.col("n_tokens"), 6).alias("unk_frac"),
-        F.round(F.col("n_pad") / (F.col("n_rows") * BLOCK), 6).alias("pad_frac"))
+    return A.mix_report(per, mix, BLOCK, PARAMETERS)
+
+
+PARAMETERS = 27_000_000
 
 
 register("mix_report", f"""
@@ -238,7 +231,9 @@ tot AS (SELECT sum(n_tokens) AS t FROM per)
 SELECT per.source, per.n_rows, per.n_tokens, round(per.n_tokens / tot.t, 6) AS token_share,
        round(CAST(m.weight_norm AS DOUBLE), 6) AS weight_norm,
        round(per.n_tokens / tot.t / CAST(m.weight_norm AS DOUBLE), 6) AS share_over_weight,
-       round(unk.n_unk / per.n_tokens, 6) AS unk_frac, round(per.n_pad / (per.n_rows * {BLOCK}), 6) AS pad_frac
+       round(unk.n_unk / per.n_tokens, 6) AS unk_frac, round(per.n_pad / (per.n_rows * {BLOCK}), 6) AS pad_frac,
+       round(CAST({20 * PARAMETERS} AS DOUBLE) * CAST(m.weight_norm AS DOUBLE), 3) AS budget_tokens,
+       round(CAST({20 * PARAMETERS} AS DOUBLE) * CAST(m.weight_norm AS DOUBLE) / per.n_tokens, 6) AS budget_epochs
 FROM per JOIN unk ON per.source = unk.lang JOIN {_weights_sql()} ON per.source = m.source, tot
 """)(mix_report)
 

@@ -139,6 +139,14 @@ def resize_vectors_q(spark, sf):
                       F.round(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v), 4).alias("vec_sum"))
 
 
-# New rows come from Box-Muller over md5 uniforms; checked by row count and by
-# the property tests (kept ids unchanged, new ids ~ N(0, std)).
-register("resize_vectors")(resize_vectors_q)
+# New rows: Box-Muller over two md5 uniforms per (id, dim), times the initial deviation.
+register("resize_vectors", f"""
+WITH m AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+k AS (SELECT unnest(range((SELECT n FROM m), (SELECT n + 64 FROM m))) AS id),
+g AS (SELECT id, unnest(range(64)) AS dim FROM k),
+z AS (SELECT id, {J.INIT_STD!r}::DOUBLE * sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {sql_hash_uniform(SEED, "'a'", 'id', 'dim')}))
+             * cos(6.283185307179586::DOUBLE * {sql_hash_uniform(SEED, "'b'", 'id', 'dim')}) AS v FROM g)
+SELECT id, true AS is_new, CAST(count(*) AS INTEGER) AS dim, round(sum(v), 4) AS vec_sum FROM z GROUP BY id
+UNION ALL
+SELECT vec_id, false, CAST(len(embedding) AS INTEGER), round(list_sum(CAST(embedding AS DOUBLE[])), 4) FROM embeddings
+""")(resize_vectors_q)

@@ -45,4 +45,4 @@ def all_oracles() -> dict[str, str]:
 def _import_all() -> None:
     # Importing the modules registers their queries.
     from skein.plans import (q_tokens, q_format, q_sampling, q_mixing, q_scoring,  # noqa: F401
-                             q_halting, q_vectors, q_runlog, q_streams, q_lifecycle)
+                             q_halting, q_vectors, q_runlog, q_streams, q_lifecycle, q_sources)
