@@ -6,12 +6,12 @@ at least one full block, otherwise the group yields one short block; an empty
 group yields none.
 
 Plan: per row, its token offset inside the group (running sum of row lengths)
--> explode tokens -> block = offset div block_size -> group by (group, block).
-Every block holds at most ``block_size`` tokens, so no group is unbounded.
-With bounded pack groups the running sum is a window partitioned by group and
-the final aggregation reuses that partitioning (one shuffle of rows). With
-``rows_per_group=None`` the whole corpus is one group and the running sum is
-the bucketed prefix sum (no single-task window).
+-> the row's lists are sliced at block edges, one row per (row, block) piece ->
+group by (group, block) and join the pieces in order. What is shuffled are
+pieces of rows, not tokens, and a block holds at most ``block_size`` tokens,
+so no group is unbounded. With bounded pack groups the running sum is a window
+partitioned by group; with ``rows_per_group=None`` the whole corpus is one
+group and the running sum is the bucketed prefix sum (no single-task window).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.ordering import global_index, prefix_sum
-from skein.operators.tokens import UNK_ID, WORD_PATTERN, _vocab_side, split_tokens
+from skein.operators.tokens import WORD_PATTERN, token_ids
 
 
 def assign_pack_groups(df: DataFrame, by: Sequence[str], rows_per_group: int | None) -> DataFrame:
@@ -34,53 +34,51 @@ def assign_pack_groups(df: DataFrame, by: Sequence[str], rows_per_group: int | N
              .drop("_skein_pos")
 
 
-def _blocks(rows: DataFrame, tokens_col: str, by: Sequence[str], block_size: int, bounded: bool,
-            to_id) -> DataFrame:
-    n = F.size(tokens_col)
-    rows = rows.withColumn("_skein_n", n)
-    if bounded:
+def pack_lists(df: DataFrame, lists: Sequence[str], by: Sequence[str], block_size: int,
+               rows_per_group: int | None = 1000) -> DataFrame:
+    """K1/K2 on every list column in ``lists``, cut at the same places.
+
+    The columns of a row have equal lengths (ids, mask, labels of the same
+    tokens); a NULL list counts as empty. Returns (pack_group, block, <lists>..., n_tok)."""
+    rows = assign_pack_groups(df.select(*by, *lists), by, rows_per_group)
+    rows = rows.withColumn("_skein_n", F.coalesce(F.size(lists[0]), F.lit(0)))
+    rows = rows.withColumn("_skein_n", F.greatest("_skein_n", F.lit(0)))
+    if rows_per_group is not None:
         rows = prefix_sum(rows, "_skein_n", by, "pack_group", name="_skein_off", inclusive=False,
                           bounded_groups=True)
         rows = rows.withColumn("_skein_total", F.sum("_skein_n").over(Window.partitionBy("pack_group")))
     else:
-        rows = prefix_sum(rows, "_skein_n", by, None, name="_skein_off", inclusive=False)
         total = rows.agg(F.sum("_skein_n").alias("t")).collect()[0]["t"] or 0
+        rows = prefix_sum(rows, "_skein_n", by, None, name="_skein_off", inclusive=False)
         rows = rows.withColumn("_skein_total", F.lit(total).cast("bigint"))
-    ex = rows.select("pack_group", "_skein_off", "_skein_total",
-                     F.posexplode(tokens_col).alias("_skein_p", "_skein_tok"))
-    off = F.col("_skein_off") + F.col("_skein_p")
-    ex = ex.withColumn("_skein_o", off).withColumn("block", F.floor(off / block_size).cast("bigint"))
+    rows = rows.filter(F.col("_skein_n") > 0)
+    first = F.floor(F.col("_skein_off") / block_size)
+    last = F.floor((F.col("_skein_off") + F.col("_skein_n") - 1) / block_size)
+    cut = rows.withColumn("block", F.explode(F.sequence(first, last))).withColumn("block", F.col("block").cast("bigint"))
     keep = (F.col("_skein_total") < block_size) | ((F.col("block") + 1) * block_size <= F.col("_skein_total"))
-    ex = to_id(ex.filter(keep))
-    g = ex.groupBy("pack_group", "block").agg(
-        F.array_sort(F.collect_list(F.struct("_skein_o", "_skein_id"))).alias("_skein_s"))
-    return g.select("pack_group", "block", F.transform("_skein_s", lambda s: s["_skein_id"]).alias("input_ids")) \
-            .withColumn("n_tok", F.size("input_ids"))
+    begin = F.greatest(F.lit(0), F.col("block") * block_size - F.col("_skein_off"))
+    end = F.least(F.col("_skein_n"), (F.col("block") + 1) * block_size - F.col("_skein_off"))
+    pieces = cut.filter(keep).select("pack_group", "block", F.struct(
+        "_skein_off", *[F.slice(c, (begin + 1).cast("int"), (end - begin).cast("int")).alias(c) for c in lists]).alias("_skein_s"))
+    g = pieces.groupBy("pack_group", "block").agg(F.array_sort(F.collect_list("_skein_s")).alias("_skein_s"))
+
+    def joined(name):
+        return F.flatten(F.transform("_skein_s", lambda s: s[name])).alias(name)
+
+    return g.select("pack_group", "block", *[joined(c) for c in lists]).withColumn("n_tok", F.size(lists[0]))
 
 
 def pack(df: DataFrame, vocab: DataFrame, by: Sequence[str], block_size: int, text: str = "text",
-         rows_per_group: int | None = 1000, pattern: str = WORD_PATTERN,
-         vocab_rows: int | None = None) -> DataFrame:
+         rows_per_group: int | None = 1000, pattern: str = WORD_PATTERN) -> DataFrame:
     """K1/K2 from text: tokenize (unpadded), then pack into blocks.
 
     Returns (pack_group, block, input_ids, n_tok).
     """
-    rows = assign_pack_groups(df.select(*by, text), by, rows_per_group)
-    rows = rows.select(*by, "pack_group", split_tokens(text, pattern).alias("_skein_toks"))
-    v = _vocab_side(vocab.select(F.col("token").alias("_skein_tok"), F.col("id").alias("_vid")), vocab_rows)
-
-    def to_id(ex):
-        return ex.join(v, "_skein_tok", "left").withColumn("_skein_id", F.coalesce("_vid", F.lit(UNK_ID)))
-
-    return _blocks(rows, "_skein_toks", by, block_size, rows_per_group is not None, to_id)
+    ids = token_ids(df, by, vocab, text, pattern).select(*by, F.col("ids").alias("input_ids"))
+    return pack_lists(ids, ["input_ids"], by, block_size, rows_per_group)
 
 
 def pack_ids(df: DataFrame, ids: str, by: Sequence[str], block_size: int,
              rows_per_group: int | None = 1000) -> DataFrame:
     """K1/K2 on an existing id array column."""
-    rows = assign_pack_groups(df.select(*by, ids), by, rows_per_group)
-
-    def to_id(ex):
-        return ex.withColumn("_skein_id", F.col("_skein_tok"))
-
-    return _blocks(rows, ids, by, block_size, rows_per_group is not None, to_id)
+    return pack_lists(df.select(*by, F.col(ids).alias("input_ids")), ["input_ids"], by, block_size, rows_per_group)

@@ -1,11 +1,11 @@
 """Tokenization of a table (T1-T8), fit to length (P8) and label masks.
 
-Native path: ``regexp_extract_all`` splits text on the JVM, the vocabulary is
-a table built from the corpus (T7) and ids are looked up with a join against
-it. The vocabulary has at most ``size`` rows (a parameter), so it is
-broadcast only below ``BROADCAST_VOCAB_ROWS`` and joined by shuffle beyond.
-Text is truncated *before* it is exploded, so the token rows per document are
-bounded by ``block_size`` in padded mode.
+``regexp_extract_all`` splits text on the JVM and the vocabulary is a table
+built from the corpus (T7). Ids are found by Arrow's hash lookup against a
+broadcast of the vocabulary, one batch of token lists at a time, so texts and
+tokens are never shuffled; decoding works the same way. A vocabulary whose
+measured bytes exceed ``LOCAL_VOCAB_BYTES`` is joined by shuffle instead, one
+row per token. Text is truncated *before* the lookup in padded mode.
 
 Byte path: UTF-8 bytes via ``hex``; no vocabulary, no shuffle, lossless.
 User tokenizers (T8) run in ``skein.operators.infer.tokenize_with``.
@@ -17,8 +17,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.arrays import attention_mask, fit_length, mask_pad
+from skein.session import stored
 
 # --- fixed values -----------------------------------------------------------
 # Token ids: end-of-text doubles as padding (pad := eos when the tokenizer has
@@ -36,7 +38,7 @@ PIECE_PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 BYTE_OFFSET = FIRST_WORD_ID
 # ----------------------------------------------------------------------------
 
-BROADCAST_VOCAB_ROWS = 2_000_000
+LOCAL_VOCAB_BYTES = 64 << 20
 
 
 def _c(x) -> Column:
@@ -80,21 +82,15 @@ def build_vocab(df: DataFrame, text: str = "text", size: int = 8192,
                 pattern: str = WORD_PATTERN) -> DataFrame:
     """Vocabulary (token, id, n): the ``size`` most frequent tokens, ties by token.
 
-    Word count with map-side partial aggregation. The top-``size`` step first
-    keeps only tokens with fewer than ``size`` tokens counted strictly above
-    them, read from a histogram of counts (one row per distinct count value,
-    at most about sqrt(2 * tokens) rows, broadcast), so the final top-k sees
-    ``size`` plus ties instead of ``size`` rows from every partition of the
-    distinct-token table. Both branches read the same shuffled counts.
+    Word count with map-side partial aggregation, written once. The top-``size``
+    step first finds a count that at least ``size`` tokens reach, by a few
+    64-bin histograms of the counts, so the ordered top-k sees ``size`` rows
+    plus those close to or tied with the last one instead of ``size`` rows
+    from every partition of the distinct-token table.
     """
     toks = df.select(F.explode(split_tokens(text, pattern)).alias("token"))
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # For every distinct count n: how many tokens have a strictly higher count.
-    # A token can be in the top ``size`` only if that number is below ``size``.
-    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_k"))
-    above = F.sum("_k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
-    hist = hist.select("n", F.coalesce(above, F.lit(0)).alias("_above"))
-    cand = counts.join(F.broadcast(hist), "n").filter(F.col("_above") < size)  # equi-join on n, bounded side
+    counts = stored(toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    cand = counts.filter(F.col("n") >= count_floor(counts, size))
     top = cand.select("token", "n").orderBy(F.desc("n"), F.asc("token")).limit(size)
     # ``size`` rows at most: a single ordered task is bounded by the parameter.
     w = Window.orderBy(F.desc("n"), F.asc("token"))
@@ -102,16 +98,74 @@ def build_vocab(df: DataFrame, text: str = "text", size: int = 8192,
                       F.col("n").cast("bigint").alias("n"))
 
 
-def _vocab_side(vocab: DataFrame, size_hint: int | None) -> DataFrame:
-    if size_hint is not None and size_hint <= BROADCAST_VOCAB_ROWS:
-        return F.broadcast(vocab)
-    return vocab
+def count_floor(counts: DataFrame, size: int, bins: int = 64) -> int:
+    """A count that at least ``size`` tokens reach, and not many more: the range
+    of counts is cut into ``bins`` and the bin where the tail passes ``size``
+    is cut again (1 if there are no more than ``size`` tokens)."""
+    head = counts.agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("k")).first()
+    if head["k"] <= size:
+        return 1
+    lo, hi, above = 1, head["top"] + 1, 0          # above: tokens with n >= hi
+    while hi - lo > 1:
+        width = -(-(hi - lo) // bins)
+        rows = counts.filter((F.col("n") >= lo) & (F.col("n") < hi)) \
+            .groupBy(F.floor((F.col("n") - lo) / F.lit(width)).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
+        for r in sorted(rows, key=lambda r: -r["b"]):                      # at most ``bins`` rows
+            at = lo + r["b"] * width
+            if above + r["k"] >= size:
+                lo, hi = at, min(hi, at + width)
+                break
+            above += r["k"]
+        else:
+            return lo
+        if above + r["k"] <= 2 * size:
+            break
+    return lo
+
+
+def local_vocab(vocab: DataFrame):
+    """The vocabulary as an Arrow table (token, id), or None if its measured
+    bytes exceed ``LOCAL_VOCAB_BYTES``. Measured and read once per DataFrame."""
+    if "_skein_local" not in vocab.__dict__:
+        v = stored(vocab.select("token", "id"), "vocab")
+        size = v.agg(F.sum(F.octet_length("token") + 8)).first()[0] or 0
+        vocab.__dict__["_skein_local"] = v.toArrow() if size <= LOCAL_VOCAB_BYTES else None
+    return vocab.__dict__["_skein_local"]
+
+
+def token_ids(df: DataFrame, keys: Sequence[str], vocab: DataFrame, text: str = "text",
+              pattern: str = WORD_PATTERN, max_len: int | None = None) -> DataFrame:
+    """(keys..., n_raw, ids): ids of every row's first ``max_len`` tokens."""
+    table = local_vocab(vocab)
+    if table is None:
+        return collect_ids(token_ids_long(df, keys, vocab, text, pattern, max_len), keys)
+    toks = df.select(*keys, split_tokens(text, pattern).alias("_toks"))
+    toks = toks.select(*keys, F.size("_toks").alias("n_raw"),
+                       (F.slice("_toks", 1, max_len) if max_len else F.col("_toks")).alias("_toks"))
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    out = T.StructType([*toks.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        words = shared.value.column("token").combine_chunks()
+        ids = shared.value.column("id").combine_chunks().cast(pa.int32())
+        for b in batches:
+            col = b.column(b.num_columns - 1)
+            found = pc.fill_null(pc.take(ids, pc.index_in(col.flatten(), value_set=words)), UNK_ID)
+            size = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+            cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(cut), found)],
+                                             names=[*b.schema.names[:-1], "ids"])
+
+    return toks.mapInArrow(run, out)
 
 
 def token_ids_long(df: DataFrame, keys: Sequence[str], vocab: DataFrame, text: str = "text",
-                   pattern: str = WORD_PATTERN, max_len: int | None = None,
-                   vocab_rows: int | None = None) -> DataFrame:
-    """One row per kept token: (keys..., n_raw, pos, id); pos 0-based.
+                   pattern: str = WORD_PATTERN, max_len: int | None = None) -> DataFrame:
+    """One row per kept token: (keys..., n_raw, pos, id); pos 0-based. The form
+    for a vocabulary too large to hand to every task.
 
     Rows with no token keep one row with NULL pos/id so they are not lost.
     """
@@ -120,8 +174,7 @@ def token_ids_long(df: DataFrame, keys: Sequence[str], vocab: DataFrame, text: s
     base = base.select(*keys, F.size("_toks").alias("n_raw"),
                        (F.slice("_toks", 1, max_len) if max_len else F.col("_toks")).alias("_toks"))
     ex = base.select(*keys, "n_raw", F.posexplode_outer("_toks").alias("pos", "token"))
-    v = _vocab_side(vocab.select("token", "id"), vocab_rows)
-    j = ex.join(v, "token", "left")
+    j = ex.join(vocab.select("token", "id"), "token", "left")
     return j.select(*keys, "n_raw", F.col("pos").cast("int").alias("pos"),
                     F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK_ID))).cast("int").alias("id"))
 
@@ -145,10 +198,9 @@ def token_counts(df: DataFrame, by: Sequence[str], text: str = "text", pattern:
     return ex.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("c"))
 
 
-def unk_counts(counts: DataFrame, by: Sequence[str], vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
+def unk_counts(counts: DataFrame, by: Sequence[str], vocab: DataFrame) -> DataFrame:
     """(by..., n_tokens, n_unk, n_distinct_ids) from ``token_counts``."""
-    v = _vocab_side(vocab.select("token", "id"), vocab_rows)
-    j = counts.join(v, "token", "left")
+    j = counts.join(vocab.select("token", "id"), "token", "left")
     return j.groupBy(*by).agg(F.sum("c").cast("bigint").alias("n_tokens"),
                               F.sum(F.when(F.col("id").isNull(), F.col("c")).otherwise(0)).cast("bigint")
                               .alias("n_unk"),
@@ -174,14 +226,13 @@ def fit(df: DataFrame, ids: str = "ids", block_size: int = 512, pad_id: int = PA
 
 def tokenize(df: DataFrame, keys: Sequence[str], vocab: DataFrame, text: str = "text",
              block_size: int | None = 512, pattern: str = WORD_PATTERN, pad_id: int = PAD_ID,
-             vocab_rows: int | None = None, mask: str = "pad_id") -> DataFrame:
+             mask: str = "pad_id") -> DataFrame:
     """Tokenize, truncate to ``block_size`` and right-pad to exactly it.
 
     Source columns other than ``keys`` are dropped (P6). ``block_size=None``
     returns the raw ``ids`` (for packing) without padding.
     """
-    long = token_ids_long(df, keys, vocab, text, pattern, block_size, vocab_rows)
-    ids = collect_ids(long, keys)
+    ids = token_ids(df, keys, vocab, text, pattern, block_size)
     if block_size is None:
         return ids.withColumn("n_tok", F.size("ids"))
     return fit(ids, "ids", block_size, pad_id, mask).drop("ids")
@@ -200,13 +251,48 @@ def tokenize_bytes(df: DataFrame, keys: Sequence[str], text: str = "text",
 
 
 def decode(df: DataFrame, keys: Sequence[str], vocab: DataFrame, ids: str = "ids",
-           skip_special: bool = True, sep: str = "", vocab_rows: int | None = None) -> DataFrame:
-    """T3 for a vocabulary tokenizer: ids -> text (special ids skipped)."""
+           skip_special: bool = True, sep: str = "") -> DataFrame:
+    """T3 for a vocabulary tokenizer: ids -> text (special ids skipped, ids
+    without a token become ``<unk>``)."""
+    table = local_vocab(vocab)
+    if table is None:
+        return _decode_long(df, keys, vocab, ids, skip_special, sep)
+    base = df.select(*keys, F.coalesce(F.col(ids), F.array().cast("array<int>")).cast("array<int>").alias("_ids"))
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    out = T.StructType([*base.schema.fields[:-1], T.StructField("decoded", T.StringType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        number = shared.value.column("id").to_numpy()
+        words = shared.value.column("token").combine_chunks()
+        place = np.full(int(number.max(initial=0)) + 1, -1)
+        place[number] = np.arange(len(number))
+        for b in batches:
+            col = b.column(b.num_columns - 1)
+            flat = pc.fill_null(col.flatten(), -1).to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            if skip_special:
+                row, flat = row[flat >= FIRST_WORD_ID], flat[flat >= FIRST_WORD_ID]
+            at = np.where((flat >= 0) & (flat < len(place)), place[np.clip(flat, 0, len(place) - 1)], -1)
+            text = pc.fill_null(pc.take(words, pa.array(at, mask=at < 0)), "<unk>")
+            cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut), text), sep)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], joined.cast(pa.string())],
+                                             names=[*b.schema.names[:-1], "decoded"])
+
+    return base.mapInArrow(run, out)
+
+
+def _decode_long(df: DataFrame, keys: Sequence[str], vocab: DataFrame, ids: str, skip_special: bool,
+                 sep: str) -> DataFrame:
+    """``decode`` for a vocabulary too large to hand to every task: one row per id."""
     ex = df.select(*keys, F.posexplode_outer(ids).alias("pos", "id"))
     if skip_special:
         ex = ex.withColumn("pos", F.when(F.col("id") >= FIRST_WORD_ID, F.col("pos")))
-    v = _vocab_side(vocab.select("token", "id"), vocab_rows)
-    j = ex.join(v, "id", "left")
+    j = ex.join(vocab.select("token", "id"), "id", "left")
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit("<unk>")).alias("tok"))))).alias("_p"))
     return g.select(*keys, F.array_join(F.transform("_p", lambda s: s["tok"]), sep).alias("decoded"))

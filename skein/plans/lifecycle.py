@@ -25,7 +25,7 @@ from skein.session import stored
 
 def prepare_pretraining(spark: SparkSession, data: DataFrame, weights: dict[str, float], vocab: DataFrame,
                         block_size: int, take: int | None = None, batch: int = 8, accum: int = 1,
-                        seed: int = 42, vocab_rows: int | None = None, text: str = "text",
+                        seed: int = 42, text: str = "text",
                         evald: DataFrame | None = None) -> DataFrame:
     """E1. ``data`` = (source, idx, text) with ``idx`` unique per source.
     Rows of the eval set ``evald`` (source, idx) are left out of training (L9).
@@ -46,7 +46,7 @@ def prepare_pretraining(spark: SparkSession, data: DataFrame, weights: dict[str,
     # the payload is attached with the same epoch salting as the interleave,
     # so a tiny, heavily weighted source is not one hot join key.
     used = data.join(plan.select("source", "idx").distinct(), ["source", "idx"], "left_semi")
-    fitted = T.tokenize(used, ["source", "idx"], vocab, text, block_size, vocab_rows=vocab_rows)
+    fitted = T.tokenize(used, ["source", "idx"], vocab, text, block_size)
     sizes = {r["source"]: int(r["n"]) for r in
              keys.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per source
     salts = M.epoch_salts(plan, {s: n for s, n in sizes.items() if weights.get(s, 1.0) > 0})
@@ -61,5 +61,5 @@ def prepare_instruction(rows: DataFrame, vocab_from_text: bool = True, vocab_siz
     formatted = P.format_instruction(rows)
     split = L.tail_split(formatted.select(*by, "text"), list(by), 0.9, max_train, max_eval)
     vocab = T.build_vocab(split, "text", vocab_size)
-    fitted = T.tokenize(split, [*by, "split"], vocab, "text", block_size, vocab_rows=vocab_size)
+    fitted = T.tokenize(split, [*by, "split"], vocab, "text", block_size)
     return fitted, vocab

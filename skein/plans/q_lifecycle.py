@@ -32,8 +32,7 @@ def pretrain_take(spark, sf):
 def _pretrain(spark, sf, take):
     data = sources(spark, sf).select("source", "idx", "text")
     vocab = T.build_vocab(data, "text", VOCAB)
-    out = prepare_pretraining(spark, data, WEIGHTS, vocab, BLOCK, take=take, batch=BATCH, seed=SEED,
-                              vocab_rows=VOCAB)
+    out = prepare_pretraining(spark, data, WEIGHTS, vocab, BLOCK, take=take, batch=BATCH, seed=SEED)
     return out.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n_tok").cast("bigint").alias("n_tokens"),
         F.max("epoch").alias("max_epoch"), F.count_distinct("idx").alias("n_distinct"),

@@ -43,7 +43,7 @@ def _case_sql(u: str) -> str:
 def pack_grouped(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "text")
     vocab = T.build_vocab(docs, "text", VOCAB)
-    out = K.pack(docs, vocab, ["doc_id"], BLOCK, "text", GROUP_ROWS, vocab_rows=VOCAB)
+    out = K.pack(docs, vocab, ["doc_id"], BLOCK, "text", GROUP_ROWS)
     return out.select("pack_group", "block", "n_tok", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 
@@ -71,13 +71,42 @@ register("pack_grouped", _pack_sql(
 def pack_global(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "text")
     vocab = T.build_vocab(docs, "text", VOCAB)
-    out = K.pack(docs, vocab, ["doc_id"], BLOCK, "text", None, vocab_rows=VOCAB)
+    out = K.pack(docs, vocab, ["doc_id"], BLOCK, "text", None)
     return out.select("pack_group", "block", "n_tok", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 
 register("pack_global", _pack_sql("CAST(0 AS BIGINT)"))(pack_global)
 
 
+COLUMN_BLOCK = 4096
+
+
+def pack_columns(spark, sf):
+    """K1 on several list columns at once: byte ids and each token's place in its text."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    ids = T.tokenize_bytes(docs, ["doc_id"], "text", None)
+    rows = ids.select("doc_id", "ids", F.transform("ids", lambda x, i: i).alias("place"))
+    out = K.pack_lists(rows, ["ids", "place"], ["doc_id"], COLUMN_BLOCK, GROUP_ROWS)
+    return out.select("pack_group", "block", "n_tok", F.md5(F.array_join("ids", ",")).alias("ids_md5"),
+                      F.md5(F.array_join("place", ",")).alias("place_md5"))
+
+
+register("pack_columns", f"""
+WITH r AS (SELECT doc_id, list_transform(regexp_extract_all(hex(text), '..', 0),
+                  lambda h: CAST(('0x' || h) AS INTEGER) + 2) AS ids,
+                  CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / {GROUP_ROWS}) AS BIGINT) AS pack_group FROM documents),
+o AS (SELECT *, coalesce(sum(len(ids)) OVER (PARTITION BY pack_group ORDER BY doc_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+             sum(len(ids)) OVER (PARTITION BY pack_group) AS total FROM r),
+e AS (SELECT pack_group, total, off + generate_subscripts(ids, 1) - 1 AS o, unnest(ids) AS id,
+             generate_subscripts(ids, 1) - 1 AS place FROM o),
+b AS (SELECT *, CAST(floor(o / {COLUMN_BLOCK}) AS BIGINT) AS block FROM e)
+SELECT pack_group, block, CAST(count(*) AS INTEGER) AS n_tok, md5(array_to_string(list(id ORDER BY o), ',')) AS ids_md5,
+       md5(array_to_string(list(place ORDER BY o), ',')) AS place_md5
+FROM b WHERE total < {COLUMN_BLOCK} OR (block + 1) * {COLUMN_BLOCK} <= total GROUP BY pack_group, block
+""")(pack_columns)
+
+
 # ---------------------------------------------------------------------------
 # M1: normalised weights next to each source's size.
 

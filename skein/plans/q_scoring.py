@@ -207,7 +207,7 @@ def mix_report(spark, sf):
     from skein.sources.mix import build_mix, normalise_mix
     src = sources(spark, sf).select("source", "idx", "text")
     vocab = T.build_vocab(src, "text", VOCAB)
-    unk = T.unk_counts(T.token_counts(src, ["source"]), ["source"], vocab, VOCAB).select("source", "n_unk")
+    unk = T.unk_counts(T.token_counts(src, ["source"]), ["source"], vocab).select("source", "n_unk")
     rows = src.select("source", F.size(T.split_tokens("text")).alias("n_tok"))
     per = rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n_tok").cast("bigint").alias("n_tokens"),

@@ -38,7 +38,7 @@ def stream_prepare_q(spark, sf):
 
     def prepare(batch):
         return T.tokenize(batch.select("doc_id", "lang", "text"), ["doc_id", "lang"], vocab, "text",
-                          q_tokens.BLOCK, vocab_rows=q_tokens.VOCAB)
+                          q_tokens.BLOCK)
 
     sink, ckpt = X.scratch(spark, "prepared"), X.scratch(spark, "ckpt")
     X.stream_prepare(_stream_of(spark, sf, "documents"), prepare, sink, ckpt).awaitTermination()

@@ -31,7 +31,7 @@ def _docs(spark, sf):
 def corpus_token_stats(spark, sf):
     docs = _docs(spark, sf)
     vocab = T.build_vocab(docs, "text", VOCAB)
-    fitted = T.tokenize(docs, ["doc_id", "lang"], vocab, "text", BLOCK, vocab_rows=VOCAB)
+    fitted = T.tokenize(docs, ["doc_id", "lang"], vocab, "text", BLOCK)
     return fitted.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum("n_tok").cast("bigint").alias("n_tokens"),
@@ -84,7 +84,7 @@ def _digest(c):
 def tokenize_regex_fit(spark, sf):
     docs = _docs(spark, sf)
     vocab = T.build_vocab(docs, "text", VOCAB)
-    fitted = T.tokenize(docs, ["doc_id"], vocab, "text", BLOCK, vocab_rows=VOCAB)
+    fitted = T.tokenize(docs, ["doc_id"], vocab, "text", BLOCK)
     return fitted.select(
         "doc_id", "n_tok",
         F.slice("input_ids", 1, 8).cast("array<string>").alias("_h"),
@@ -157,8 +157,8 @@ SELECT doc_id, true AS exact, CAST(length(text) AS BIGINT) AS n_chars FROM docum
 def decode_pieces(spark, sf):
     docs = _docs(spark, sf)
     vocab = T.build_vocab(docs, "text", VOCAB, T.PIECE_PATTERN)
-    ids = T.tokenize(docs, ["doc_id"], vocab, "text", None, T.PIECE_PATTERN, vocab_rows=VOCAB)
-    dec = T.decode(ids, ["doc_id"], vocab, "ids", vocab_rows=VOCAB)
+    ids = T.tokenize(docs, ["doc_id"], vocab, "text", None, T.PIECE_PATTERN)
+    dec = T.decode(ids, ["doc_id"], vocab, "ids")
     return dec.join(docs.select("doc_id", "text"), "doc_id").select(
         "doc_id", (F.col("decoded") == F.col("text")).alias("exact"), F.md5("decoded").alias("decoded_md5"))
 
@@ -209,7 +209,7 @@ def tokenizer_compare(spark, sf):
     out = None
     for name, pattern in (("word", T.WORD_PATTERN), ("piece", T.PIECE_PATTERN)):
         vocab = T.build_vocab(docs, "text", VOCAB, pattern)
-        c = T.unk_counts(T.token_counts(docs, ["lang"], "text", pattern), ["lang"], vocab, VOCAB)
+        c = T.unk_counts(T.token_counts(docs, ["lang"], "text", pattern), ["lang"], vocab)
         part = c.select("lang", F.lit(name).alias("tokenizer"), "n_tokens", "n_unk")
         out = part if out is None else out.unionByName(part)
     chars = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),

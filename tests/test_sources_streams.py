@@ -58,7 +58,7 @@ def test_stream_prepare_equals_batch(spark, tmpdir_path):
     vocab = spark.read.parquet(vp)
 
     def prep(b):
-        return T.tokenize(b.select("doc_id", "lang", "text"), ["doc_id"], vocab, "text", 64, vocab_rows=256)
+        return T.tokenize(b.select("doc_id", "lang", "text"), ["doc_id"], vocab, "text", 64)
 
     sdf = X.file_stream(spark, sf, docs.schema, glob="documents.parquet")
     sink, ck = os.path.join(tmpdir_path, "sink"), os.path.join(tmpdir_path, "ck")

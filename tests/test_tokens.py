@@ -15,7 +15,7 @@ def test_fit_edge_lengths(spark):
     vocab = _vocab(spark, ["a", "b"])
     rows = [(1, ""), (2, None), (3, "a b a b"), (4, "a b a b a"), (5, "zz a")]
     df = spark.createDataFrame(rows, "k int, text string")
-    got = {r.k: r for r in T.tokenize(df, ["k"], vocab, "text", 4, vocab_rows=2).collect()}
+    got = {r.k: r for r in T.tokenize(df, ["k"], vocab, "text", 4).collect()}
     assert got[1].input_ids == [0, 0, 0, 0] and got[1].labels == [-100] * 4 and got[1].attention_mask == [0] * 4
     assert got[2].input_ids == [0, 0, 0, 0] and got[2].n_tok == 0  # NULL text kept as an all-pad row
     assert got[3].input_ids == [2, 3, 2, 3] and got[3].attention_mask == [1, 1, 1, 1] and got[3].n_raw == 4
@@ -82,7 +82,7 @@ def test_token_counts_and_unk(spark):
     vocab = _vocab(spark, ["a"])
     df = spark.createDataFrame([("x", "a a b"), ("y", "b")], "g string, text string")
     got = {r.g: (r.n_tokens, r.n_unk, r.n_distinct_ids)
-           for r in T.unk_counts(T.token_counts(df, ["g"]), ["g"], vocab, 1).collect()}
+           for r in T.unk_counts(T.token_counts(df, ["g"]), ["g"], vocab).collect()}
     assert got == {"x": (3, 1, 2), "y": (1, 1, 1)}
 
 
@@ -94,3 +94,27 @@ def test_vocab_threshold_ties_and_small_corpus(spark):
     # fewer distinct tokens than the size: all of them, ranked
     got = sorted((r.id, r.token) for r in T.build_vocab(df, "text", 100).collect())
     assert got == [(2, "z"), (3, "a"), (4, "b"), (5, "c"), (6, "y")]
+
+
+def test_lookup_and_join_paths_agree(spark, monkeypatch):
+    rows = [(1, "a b a c zz"), (2, None), (3, ""), (4, "c c c b  a"), (5, "unknown words only")]
+    df = spark.createDataFrame(rows, "k long, text string")
+    vocab = lambda: T.build_vocab(df, "text", 3)
+    fast = {r.k: (r.n_raw, r.ids) for r in T.token_ids(df, ["k"], vocab(), "text", max_len=4).collect()}
+    back = {r.k: r.decoded for r in T.decode(T.token_ids(df, ["k"], vocab()), ["k"], vocab(), sep=" ", skip_special=False).collect()}
+    monkeypatch.setattr(T, "LOCAL_VOCAB_BYTES", -1)
+    assert T.local_vocab(vocab()) is None
+    slow = {r.k: (r.n_raw, r.ids) for r in T.token_ids(df, ["k"], vocab(), "text", max_len=4).collect()}
+    assert fast == slow and fast[2] == (0, []) and len(fast[1][1]) == 4
+    assert back == {r.k: r.decoded for r in T.decode(T.token_ids(df, ["k"], vocab()), ["k"], vocab(), sep=" ", skip_special=False).collect()}
+
+
+def test_count_floor_leaves_the_top(spark):
+    import random
+    rnd = random.Random(1)
+    counts = [int(1 / (rnd.random() + 1e-4)) for _ in range(3000)]
+    df = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate(counts)], "token string, n long")
+    for size in (1, 10, 100, 2999, 3000, 5000):
+        floor = T.count_floor(df, size)
+        kept = sum(n >= floor for n in counts)
+        assert kept >= min(size, 3000)
