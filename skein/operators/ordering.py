@@ -129,6 +129,33 @@ def global_index(df: DataFrame, order: Sequence | str, partition: Sequence | str
     return out if (keep_bucket or reused) else out.drop(_B)
 
 
+def scans(df: DataFrame, specs: Sequence[tuple[str, Column, str, bool]], order: Sequence | str,
+          partition: Sequence | str | None = None, buckets: int | None = None,
+          keep_bucket: bool = False) -> DataFrame:
+    """Several running aggregates (name, value, how, inclusive) in one order:
+    one window pass, one aggregate per bucket and one shift join for all."""
+    order, parts = _cols(order), _cols(partition)
+    b, reused = _bucketed(df, _name(order[0]), buckets)
+    sizes = b.groupBy(*parts, _B).agg(*[_AGG[how](v).alias(f"_skein_a{i}") for i, (_, v, how, _) in enumerate(specs)])
+    before = Window.partitionBy(*parts).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(*parts, _B, F.struct(*[_AGG[how](f"_skein_a{i}").over(before).alias(f"s{i}")
+                                                for i, (_, _, how, _) in enumerate(specs)]).alias("_skein_shift"))
+    out = b
+    for i, (_, v, how, inclusive) in enumerate(specs):
+        w = Window.partitionBy(*parts, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        out = out.withColumn(f"_skein_r{i}", _AGG[how](v).over(w))
+    out = _with_shift(out, shift, parts)
+    for i, (name, _, how, _) in enumerate(specs):
+        old, run = F.col("_skein_shift")[f"s{i}"], F.col(f"_skein_r{i}")
+        if how == "sum":
+            res = F.coalesce(old, F.lit(0)) + F.coalesce(run, F.lit(0))
+        else:
+            res = F.greatest(old, run) if how == "max" else F.least(old, run)
+        out = out.withColumn(name, res)
+    out = out.drop("_skein_shift", *[f"_skein_r{i}" for i in range(len(specs))])
+    return out if (keep_bucket or reused) else out.drop(_B)
+
+
 def prefix_sum(df: DataFrame, value: str | Column, order: Sequence | str,
                partition: Sequence | str | None = None, name: str = "cum",
                inclusive: bool = True, buckets: int | None = None,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.ordering import drop_bucket, global_index, scan
+from skein.operators.ordering import drop_bucket, global_index, scan, scans
 
 
 def drop_nonfinite(metrics: DataFrame, value: str = "value") -> DataFrame:
@@ -67,8 +67,9 @@ def early_stop(metrics: DataFrame, patience: int, threshold: float = 0.0, greate
 
     stop_step is NULL when the run never triggers the rule."""
     v = -F.col(value) if greater else F.col(value)
-    r = global_index(metrics.withColumn("_skein_v", v), [step], run, name="_skein_rank", keep_bucket=True)
-    r = scan(r, "_skein_v", [step], run, name="_skein_best", how="min", inclusive=False)
+    r = scans(metrics.withColumn("_skein_v", v),
+              [("_skein_rank", F.lit(1).cast("bigint"), "sum", False), ("_skein_best", F.col("_skein_v"), "min", False)],
+              [step], run, keep_bucket=True)
     improved = F.col("_skein_best").isNull() | ((F.col("_skein_best") - F.col("_skein_v")) > F.lit(threshold))
     r = r.withColumn("_skein_imp", F.when(improved, F.col("_skein_rank")))
     r = scan(r, "_skein_imp", [step], run, name="_skein_last", how="max", inclusive=True)

@@ -73,8 +73,7 @@ SELECT seq_id, event_id, round(target_q_continue, 6) AS target_q_continue FROM t
 
 
 def steps_histogram_q(spark, sf):
-    state = W.halt_state(W.halt_targets(_steps(spark, sf, True), MAXS))
-    return W.steps_histogram(state)
+    return W.steps_histogram(W.halt_state(_steps(spark, sf, True)))
 
 
 register("steps_histogram", f"""
@@ -97,7 +96,8 @@ SELECT seq_id, halted, steps, q_halt, q_continue, round(target_q_continue, 6) AS
 
 def halt_steps_explore_q(spark, sf):
     """W2 with exploration (p = 0.1): the full training rule."""
-    return W.halt_steps_explore(steplog(spark, sf), ORDER, MAXS, W.EXPLORE_P, 42)
+    return W.halt_steps_explore(steplog(spark, sf), ORDER, MAXS, W.EXPLORE_P, 42).select(
+        "seq_id", "event_id", "rank", "step", "halted")
 
 
 def _explore_sql() -> str:

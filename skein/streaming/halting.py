@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skein.operators.halting import prefix_maps
+
 OUT_SCHEMA = "seq_id long, event_id long, rank long, step int, halted boolean"
 STATE_SCHEMA = "rank long, steps int"
 
@@ -50,20 +52,19 @@ def make_halting_fn(max_steps: int = 8, training: bool = True, explore_p: float
         ranks = np.arange(rank + 1, rank + n + 1, dtype=np.int64)
         sig = (pdf["q_halt"].to_numpy() > pdf["q_continue"].to_numpy())
         mins = _min_halt(seed, seq_id, ranks, explore_p, max_steps) if act else np.zeros(n, dtype=np.int64)
-        out_step = np.empty(n, dtype=np.int32)
-        out_halt = np.empty(n, dtype=bool)
-        for i in range(n):
-            steps += 1
-            h = steps >= max_steps
-            if act:
-                h = h or (sig[i] and steps >= mins[i])
-            out_step[i] = steps
-            out_halt[i] = h
-            if h:
-                steps = 0
+        if act:
+            first = np.zeros(n, bool)
+            first[0] = True
+            after = prefix_maps(sig, mins, first, max_steps)[0][:, steps]
+            out_step = np.append(steps, after[:-1]) + 1
+            out_halt = (out_step >= max_steps) | (sig & (out_step >= mins))
+        else:
+            out_step = (steps + np.arange(n)) % max_steps + 1
+            out_halt = out_step >= max_steps
+        steps = 0 if out_halt[-1] else int(out_step[-1])
         state.update((int(ranks[-1]), int(steps)))
         yield pd.DataFrame({"seq_id": seq_id, "event_id": pdf["event_id"].to_numpy(), "rank": ranks,
-                            "step": out_step, "halted": out_halt})
+                            "step": out_step.astype(np.int32), "halted": out_halt})
 
     return fn
 
