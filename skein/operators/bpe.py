@@ -1,17 +1,17 @@
 """Byte-pair-encoding merge learning on the corpus word-count table.
 
 The corpus is reduced once to distinct words with counts (map-side partial
-aggregation); each word is stored as its symbols joined by a separator
-character. Each round picks the most frequent adjacent pair (ties by left,
-then right symbol) from a pair-count table and applies the merge left to
-right with one boundary-anchored ``regexp_replace``.
-
-Pair counts are maintained incrementally, as in the classic algorithm: only
-words that contain the merged pair change, so a round subtracts their old
-pairs and adds their new ones (a small delta aggregate) instead of recounting
-every pair of every word. Tables are written under ``spark.checkpoint.dir``
-after each round, so a round reads small tables and a lost executor
-recomputes one round.
+aggregation); a word is stored as its symbols, each between two marks, so a
+merge is one plain string replacement, left to right.
+
+A round takes a whole prefix of the pair ranking, not one merge: a pair that
+shares no symbol with the merges before it keeps its count, and a pair made
+by a merge counts at most as much as an old pair with one of its symbols, so
+it cannot outrank the prefix as long as the prefix ends before such a pair (and
+before a tie with one). Pair counts are kept up incrementally: only words that
+contain a merged pair change, so a round subtracts their old pairs and adds
+their new ones. Each round writes its two tables under
+``spark.checkpoint.dir`` and deletes those of the round before.
 """
 
 from __future__ import annotations
@@ -19,44 +19,35 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.tokens import WORD_PATTERN, token_counts
 from skein.session import checkpoint_dir
 
-SEP = "\u0001"  # symbol separator inside a word (never produced by the tokenizer patterns)
+OPEN, CLOSE = "\u0001", "\u0002"  # marks around a symbol (never produced by the tokenizer patterns)
+RANKED = 512                      # pairs looked at per round, at most
 
 
-def _jquote(s: str) -> str:
-    """Java regex literal quoting (\\Q...\\E)."""
-    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
-def _jrepl(s: str) -> str:
-    """Java regex replacement quoting of ``$`` and ``\\``."""
-    return s.replace("\\", "\\\\").replace("$", "\\$")
-
-
-def _pair_regex(left: str, right: str) -> str:
-    return f"(^|{SEP}){_jquote(left)}{SEP}{_jquote(right)}(?={SEP}|$)"
+def _unit(symbol: str) -> str:
+    return f"{OPEN}{symbol}{CLOSE}"
 
 
 def word_symbols(df: DataFrame, text: str = "text", pattern: str = WORD_PATTERN) -> DataFrame:
-    """(word, c, s): distinct words with counts; ``s`` = characters joined by SEP."""
+    """(word, c, s): distinct words with counts; ``s`` = the marked characters."""
     wc = token_counts(df, [], text, pattern).withColumnRenamed("token", "word")
-    return wc.select("word", F.col("c").cast("bigint").alias("c"),
-                     F.array_join(F.split(F.col("word"), ""), SEP).alias("s"))
+    marked = F.concat(F.lit(OPEN), F.array_join(F.split(F.col("word"), ""), CLOSE + OPEN), F.lit(CLOSE))
+    return wc.select("word", F.col("c").cast("bigint").alias("c"), marked.alias("s"))
 
 
 def apply_merge(s: Column, left: str, right: str) -> Column:
     """Replace adjacent (left, right) symbols by left+right, left to right."""
-    return F.regexp_replace(s, F.lit(_pair_regex(left, right)), F.lit("$1" + _jrepl(left + right)))
+    return F.replace(s, F.lit(_unit(left) + _unit(right)), F.lit(_unit(left + right)))
 
 
 def pair_rows(words: DataFrame, sign: int = 1) -> DataFrame:
     """(left, right, c) for every adjacent pair, weighted by sign * count."""
-    syms = F.split(F.col("s"), SEP)
+    syms = F.split(F.substr("s", F.lit(2), F.length("s") - 2), CLOSE + OPEN)
     k = F.greatest(F.size(syms) - 1, F.lit(0))
     z = F.arrays_zip(F.slice(syms, 1, k).alias("l"), F.slice(syms, 2, k).alias("r"))
     return words.select((F.col("c") * sign).alias("c"), F.explode(z).alias("p")) \
@@ -67,36 +58,72 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pair_rows(words).groupBy("left", "right").agg(F.sum("c").cast("bigint").alias("n"))
 
 
+def safe_prefix(ranked: list[tuple[str, str, int]], complete: bool) -> int:
+    """How many leading pairs of the ranking are the next merges for sure.
+
+    ``ranked`` is in merge order; ``complete`` tells that no pair is left out."""
+    used: set[str] = set()
+    i = 0
+    while i < len(ranked):
+        n = ranked[i][2]
+        j = i
+        while j < len(ranked) and ranked[j][2] == n:
+            j += 1
+        if j == len(ranked) and not complete:                       # the tie may go on unseen
+            break
+        if any({left, right} & used for left, right, _ in ranked[i:j]):
+            break
+        for k in range(i, j):
+            used |= set(ranked[k][:2])
+            if any({left, right} & used for left, right, _ in ranked[k + 1:j]):
+                return k + 1
+        i = j
+    return max(i, min(1, len(ranked)))                              # the top pair is always next
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def learn_bpe(df: DataFrame, n_merges: int, text: str = "text", pattern: str = WORD_PATTERN) -> DataFrame:
-    """T7 (BPE): the first ``n_merges`` merges as (rank, left, right, n)."""
+    """T7 (BPE): the first ``n_merges`` merges as (rank, left, right, n), ties by left, then right symbol."""
     spark = df.sparkSession
     base = os.path.join(checkpoint_dir(spark), f"bpe-{uuid.uuid4().hex[:12]}")
 
     def materialise(d: DataFrame, name: str) -> DataFrame:
         path = os.path.join(base, name)
         d.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(d.schema).parquet(path)
 
-    words = materialise(word_symbols(df, text, pattern).filter(F.col("s").contains(SEP)), "words-0")
+    words = materialise(word_symbols(df, text, pattern).filter(F.col("s").contains(CLOSE + OPEN)), "words-0")
     counts = materialise(pair_counts(words), "pairs-0")
-    merges = []
-    for i in range(n_merges):
-        top = counts.orderBy(F.desc("n"), "left", "right").limit(1).collect()
-        if not top:
+    merges: list[tuple[int, str, str, int]] = []
+    turn = 0
+    while len(merges) < n_merges:
+        top = counts.orderBy(F.desc("n"), "left", "right").limit(RANKED).collect()
+        ranked = [(r["left"], r["right"], int(r["n"])) for r in top]
+        take = ranked[:min(safe_prefix(ranked, len(ranked) < RANKED), n_merges - len(merges))]
+        if not take:
+            break
+        merges += [(len(merges) + i, *p) for i, p in enumerate(take)]
+        if len(merges) >= n_merges:
             break
-        left, right, n = top[0]["left"], top[0]["right"], int(top[0]["n"])
-        merges.append((i, left, right, n))
-        hit = F.col("s").rlike(_pair_regex(left, right))
+        hit, merged = F.lit(False), F.col("s")
+        for left, right, _ in take:
+            hit = hit | F.col("s").contains(_unit(left) + _unit(right))
+            merged = apply_merge(merged, left, right)
         affected = words.filter(hit)
-        changed = affected.withColumn("s", apply_merge(F.col("s"), left, right))
-        delta = pair_rows(affected, -1).unionByName(pair_rows(changed, 1)) \
+        delta = pair_rows(affected, -1).unionByName(pair_rows(affected.withColumn("s", merged), 1)) \
             .groupBy("left", "right").agg(F.sum("c").alias("d"))
+        turn += 1
         counts = materialise(
             counts.join(delta, ["left", "right"], "full")
                   .select("left", "right",
                           (F.coalesce("n", F.lit(0)) + F.coalesce("d", F.lit(0))).cast("bigint").alias("n"))
-                  .filter(F.col("n") > 0), f"pairs-{i + 1}")
-        words = materialise(words.withColumn("s", F.when(hit, apply_merge(F.col("s"), left, right))
-                                             .otherwise(F.col("s"))).filter(F.col("s").contains(SEP)),
-                            f"words-{i + 1}")
+                  .filter(F.col("n") > 0), f"pairs-{turn}")
+        words = materialise(words.withColumn("s", merged).filter(F.col("s").contains(CLOSE + OPEN)), f"words-{turn}")
+        for name in ("pairs", "words"):
+            _drop(spark, os.path.join(base, f"{name}-{turn - 1}"))
+    _drop(spark, base)
     return spark.createDataFrame(merges, "rank int, left string, right string, n long")

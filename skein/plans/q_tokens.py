@@ -306,12 +306,33 @@ FROM p GROUP BY item_id
 
 
 # ---------------------------------------------------------------------------
-# T7 (BPE): merge learning is iterative (one job per merge), so it has no SQL
-# oracle; tests compare it with a brute-force implementation on a fixture.
+# T7 (BPE): the oracle unrolls the merges into one CTE each. Symbols stand
+# between two marks, so a merge is a plain string replacement.
+
+MERGES = 8
+
 
 def bpe_merges(spark, sf):
     from skein.operators.bpe import learn_bpe
-    return learn_bpe(_docs(spark, sf), 8, "text")
+    return learn_bpe(_docs(spark, sf), MERGES, "text")
+
+
+def _bpe_sql() -> str:
+    steps, out = [], []
+    for i in range(MERGES):
+        steps.append(f"""
+p{i} AS (SELECT l, r, CAST(sum(c) AS BIGINT) AS n FROM (
+      SELECT c, unnest(y[:-2]) AS l, unnest(y[2:]) AS r
+      FROM (SELECT c, regexp_extract_all(s, '\x01([^\x02]*)\x02', 1) AS y FROM w{i}) WHERE len(y) > 1)
+    GROUP BY l, r ORDER BY n DESC, l, r LIMIT 1),
+w{i + 1} AS MATERIALIZED (SELECT c, replace(s, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || r || chr(2)) AS s
+    FROM w{i}, p{i})""")
+        out.append(f"SELECT CAST({i} AS INTEGER) AS rank, l AS \"left\", r AS \"right\", n FROM p{i}")
+    return f"""
+WITH w0 AS MATERIALIZED (SELECT count(*) AS c, regexp_replace(word, '(.)', chr(1) || '\\1' || chr(2), 'gs') AS s
+       FROM (SELECT unnest(regexp_extract_all(text, '{T.WORD_PATTERN}', 0)) AS word FROM documents) GROUP BY word),
+{','.join(steps)}
+{' UNION ALL '.join(out)}"""
 
 
-register("bpe_merges")(bpe_merges)
+register("bpe_merges", _bpe_sql())(bpe_merges)

@@ -2,7 +2,7 @@
 import re
 from collections import Counter
 
-from skein.operators.bpe import SEP, apply_merge, learn_bpe
+from skein.operators.bpe import CLOSE, OPEN, apply_merge, learn_bpe, safe_prefix
 
 
 def _brute(texts, n):
@@ -37,9 +37,30 @@ def test_bpe_matches_brute_force(spark):
     assert got == _brute(texts, 12)
 
 
+def _marked(symbols):
+    return "".join(OPEN + x + CLOSE for x in symbols)
+
+
 def test_apply_merge_left_to_right(spark):
-    df = spark.createDataFrame([(SEP.join("aaab"),), (SEP.join(["a$", "\\E", "a$", "\\E"]),)], "s string")
-    got = [r.m.split(SEP) for r in df.select(apply_merge(df.s, "a", "a").alias("m")).collect()]
-    assert got[0] == ["aa", "a", "b"]
-    got = [r.m.split(SEP) for r in df.select(apply_merge(df.s, "a$", "\\E").alias("m")).collect()]
-    assert got[1] == ["a$\\E", "a$\\E"]  # regex and replacement metacharacters are literal
+    df = spark.createDataFrame([(_marked("aaab"),), (_marked(["a$", "\\E", "a$", "\\E"]),)], "s string")
+    got = [r.m for r in df.select(apply_merge(df.s, "a", "a").alias("m")).collect()]
+    assert got[0] == _marked(["aa", "a", "b"])
+    got = [r.m for r in df.select(apply_merge(df.s, "a$", "\\E").alias("m")).collect()]
+    assert got[1] == _marked(["a$\\E", "a$\\E"])             # nothing is read as a pattern
+
+
+def test_safe_prefix_stops_at_shared_symbols_and_ties():
+    assert safe_prefix([("a", "b", 9), ("c", "d", 8), ("b", "x", 7), ("e", "f", 6)], True) == 2
+    assert safe_prefix([("a", "b", 9), ("c", "d", 7), ("b", "x", 7)], True) == 1     # a tie with a shared symbol
+    assert safe_prefix([("a", "b", 9), ("c", "d", 7), ("e", "f", 7)], False) == 1    # the tie may go on
+    assert safe_prefix([("a", "b", 9), ("c", "d", 7), ("e", "f", 7)], True) == 3
+    assert safe_prefix([], True) == 0 and safe_prefix([("a", "a", 2)], False) == 1
+
+
+def test_many_merges_match_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(60)) for _ in range(5)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [tuple(r) for r in learn_bpe(df, 40).orderBy("rank").collect()]
+    assert got == _brute(texts, 40)
