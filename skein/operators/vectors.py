@@ -1,12 +1,12 @@
 """Keyed vector tables (J1-J6) and vector RMS norm.
 
-A keyed vector table is (id, vec ARRAY<...>) or long (id, dim, value). Sums
-and updates run in long form: posexplode, then a hash aggregate keyed by
-(id, dim) with map-side partial aggregation -- the distributed equivalent of
-gathering all (id, gradient) pairs and scatter-adding them. A hot id is
-combined inside every task before the shuffle and spread over D keys after.
-Lookups are equi-joins; Spark (with AQE) broadcasts the vector side only when
-its measured size is under the broadcast threshold.
+A keyed vector table is (id, vec ARRAY<double>). Sums and means keep one row
+per id: one aggregate per dimension under a single group-by with map-side
+partial aggregation, the distributed equivalent of gathering all (id,
+gradient) pairs and scatter-adding them. A hot id is combined inside every
+task before the shuffle. Updates join arrays on the id and work element-wise.
+Lookups are equi-joins; the vector side is broadcast only when its measured
+size is small.
 """
 
 from __future__ import annotations
@@ -24,10 +24,6 @@ RMS_EPS = 1e-5
 INIT_STD = 0.02
 
 
-def to_long(vec: DataFrame, key: str = "id", arr: str = "vec", value: str = "value") -> DataFrame:
-    return vec.select(key, F.posexplode(arr).alias("dim", value))
-
-
 BROADCAST_BYTES = 64 << 20
 
 
@@ -49,27 +45,41 @@ def lookup_vectors(df: DataFrame, keys: Sequence[str], ids: str, vec: DataFrame,
     return ex.join(v, "_skein_id").withColumnRenamed("_skein_id", "id")
 
 
-def mean_pool(looked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Average of the looked-up vectors per row, in long form (keys, dim, value)."""
-    ex = looked.select(*keys, F.posexplode("vec").alias("dim", "v"))
-    return ex.groupBy(*keys, "dim").agg(F.avg(F.col("v").cast("double")).alias("value"))
+def _width(df: DataFrame, arr: str, width: int | None) -> int:
+    """Number of dimensions: given, or the longest array (one pass)."""
+    return width if width is not None else (df.agg(F.max(F.size(arr))).first()[0] or 0)
+
+
+def _dims(arr: str, width: int, agg) -> Column:
+    """One aggregate per dimension, gathered into an array; a missing element counts as NULL."""
+    cols = [agg(F.get(F.col(arr), F.lit(i)).cast("double")) for i in range(width)]
+    return F.array(*cols) if cols else F.array().cast("array<double>")
 
 
-def sum_vectors(grads: DataFrame, key: str = "id", arr: str = "grad") -> DataFrame:
-    """Per distinct id, the element-wise sum of its vectors (long form)."""
-    ex = grads.select(key, F.posexplode(arr).alias("dim", "g"))
-    return ex.groupBy(key, "dim").agg(F.sum(F.col("g").cast("double")).alias("grad"),
-                                      F.count(F.lit(1)).alias("n"))
+def mean_pool(looked: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
+    """Average of the looked-up vectors per row: (keys..., vec, n_found)."""
+    n = _width(looked, "vec", width)
+    return looked.groupBy(*keys).agg(_dims("vec", n, F.avg).alias("vec"), F.count(F.lit(1)).alias("n_found"))
+
+
+def sum_vectors(grads: DataFrame, key: str = "id", arr: str = "grad", width: int | None = None) -> DataFrame:
+    """Per distinct id, the element-wise sum of its vectors: (key, grad, n)."""
+    d = _width(grads, arr, width)
+    return grads.groupBy(key).agg(_dims(arr, d, F.sum).alias("grad"), F.count(F.lit(1)).alias("n"))
 
 
 def sign_update(weights: DataFrame, grads: DataFrame, lr: float = LR, weight_decay: float = WEIGHT_DECAY,
                 key: str = "id") -> DataFrame:
     """Sign descent with decoupled weight decay on touched ids only:
-    w <- w * (1 - lr * wd) - lr * sign(g); untouched (id, dim) keep w.
-    Both sides in long form (id, dim, ...)."""
-    j = weights.join(grads.select(key, "dim", "grad"), [key, "dim"], "left")
-    upd = F.col("w") * F.lit(1.0 - lr * weight_decay) - F.lit(lr) * F.signum("grad")
-    return j.select(key, "dim", F.when(F.col("grad").isNull(), F.col("w")).otherwise(upd).alias("w"),
+    w <- w * (1 - lr * wd) - lr * sign(g); an id or dimension without a
+    gradient keeps w. ``weights`` = (key, w), ``grads`` = (key, grad), both arrays."""
+    j = weights.join(grads.select(key, "grad"), key, "left")
+
+    def one(w, g):
+        return F.when(g.isNull(), w).otherwise(w * F.lit(1.0 - lr * weight_decay) - F.lit(lr) * F.signum(g))
+
+    new = F.slice(F.zip_with("w", "grad", one), F.lit(1), F.size("w"))
+    return j.select(key, F.when(F.col("grad").isNull(), F.col("w")).otherwise(new).alias("w"),
                     F.col("grad").isNotNull().alias("updated"))
 
 

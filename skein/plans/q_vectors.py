@@ -27,10 +27,10 @@ def vector_lookup(spark, sf):
     space = F.col("id").between(T.BYTE_OFFSET, T.BYTE_OFFSET + 255)
     looked = J.lookup_vectors(ids, ["item_id"], "ids", _emb(spark, sf).filter(space), vec_rows=256)
     pooled = J.mean_pool(looked, ["item_id"])
-    n = looked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_found"))
-    g = pooled.groupBy("item_id").agg(F.sum("value").alias("s"), F.sqrt(F.sum(F.col("value") ** 2)).alias("l2"))
-    return g.join(n, "item_id").select("item_id", "n_found", F.round("s", 6).alias("pooled_sum"),
-                                       F.round("l2", 6).alias("pooled_l2"))
+    total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)
+    square = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
+    return pooled.select("item_id", "n_found", F.round(total, 6).alias("pooled_sum"),
+                         F.round(F.sqrt(square), 6).alias("pooled_l2"))
 
 
 register("vector_lookup", """
@@ -52,10 +52,9 @@ def _grads(spark, sf):
 
 
 def keyed_vector_sum(spark, sf):
-    """Gradients keyed by label id, summed per distinct id and dimension."""
-    g = _grads(spark, sf)
-    return g.select(F.col("id").cast("int").alias("id"), F.col("dim").cast("int").alias("dim"),
-                    F.round("grad", 6).alias("grad"), "n")
+    """Gradients keyed by label id, summed per distinct id; shown per dimension."""
+    g = _grads(spark, sf).select(F.col("id").cast("int").alias("id"), "n", F.posexplode("grad").alias("dim", "grad"))
+    return g.select("id", "dim", F.round("grad", 6).alias("grad"), "n")
 
 
 _GRAD_SQL = f"""{PRED_SQL},
@@ -72,10 +71,10 @@ SELECT id, dim, round(grad, 6) AS grad, n FROM gs
 def sign_update_q(spark, sf):
     """weights = the whole embedding table as id -> vector; gradients
     touch only the label ids, every other id keeps its weights."""
-    w = J.to_long(_emb(spark, sf).select(
-        F.col("id").cast("int").alias("id"), F.col("vec").cast("array<double>").alias("vec")), "id", "vec", "w")
+    w = _emb(spark, sf).select(F.col("id").cast("int").alias("id"), F.col("vec").cast("array<double>").alias("w"))
     out = J.sign_update(w, _grads(spark, sf).withColumn("id", F.col("id").cast("int")))
-    return out.select("id", F.col("dim").cast("int").alias("dim"), F.round("w", 6).alias("w"), "updated")
+    long = out.select("id", "updated", F.posexplode("w").alias("dim", "w"))
+    return long.select("id", "dim", F.round("w", 6).alias("w"), "updated")
 
 
 register("sign_update", f"""

@@ -36,18 +36,23 @@ def test_retention_and_cadence(spark):
 
 
 def test_sign_update_touched_only(spark):
-    w = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0)], "id int, dim int, w double")
-    g = spark.createDataFrame([(1, 0, -0.5, 1), (3, 0, 2.0, 1)], "id int, dim int, grad double, n long")
+    w = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "id int, w array<double>")
+    g = spark.createDataFrame([(1, [-0.5, None], 1), (3, [2.0, 2.0], 1)], "id int, grad array<double>, n long")
     got = {r.id: r for r in J.sign_update(w, g).collect()}
-    assert got[1].w == pytest.approx(1.0 * (1 - 1e-5) + 1e-3) and got[1].updated
-    assert got[2].w == 1.0 and not got[2].updated
+    assert got[1].w == pytest.approx([1.0 * (1 - 1e-5) + 1e-3, 2.0]) and got[1].updated
+    assert got[2].w == [1.0, 2.0] and not got[2].updated
     assert 3 not in got                                       # gradient without a weight row is ignored
+    short = J.sign_update(w, spark.createDataFrame([(2, [1.0], 1)], g.schema)).filter("id = 2").first()
+    assert short.w == pytest.approx([1.0 * (1 - 1e-5) - 1e-3, 2.0])
 
 
-def test_sum_vectors_and_rms(spark):
-    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [1.0, 1.0])], "id int, grad array<double>")
-    got = {(r.id, r.dim): r.grad for r in J.sum_vectors(df).collect()}
-    assert got == {(1, 0): 4.0, (1, 1): 6.0, (2, 0): 1.0, (2, 1): 1.0}
+def test_sum_and_mean_of_vectors_and_rms(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [1.0, 1.0]), (3, [5.0])], "id int, grad array<double>")
+    got = {r.id: (r.grad, r.n) for r in J.sum_vectors(df).collect()}
+    assert got == {1: ([4.0, 6.0], 2), 2: ([1.0, 1.0], 1), 3: ([5.0, None], 1)}
+    mean = {r.id: r.vec for r in J.mean_pool(df.withColumnRenamed("grad", "vec"), ["id"]).collect()}
+    assert mean[1] == [2.0, 3.0]
+    assert J.sum_vectors(df.limit(0)).count() == 0
     y = spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(J.rms_norm("v").alias("y")).first().y
     assert y == pytest.approx([3 / math.sqrt(12.5 + 1e-5), 4 / math.sqrt(12.5 + 1e-5)])
 
