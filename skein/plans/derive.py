@@ -104,6 +104,18 @@ run_metrics AS (
          value / CAST(100 AS DOUBLE) AS value FROM events)"""
 
 
+def gappy_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """run_metrics with NaN, infinite and missing values among them."""
+    v = F.when(F.col("step") % 11 == 0, F.lit(float("nan"))).when(F.col("step") % 13 == 0, F.lit(float("inf"))) \
+        .when(F.col("step") % 17 == 0, F.lit(float("-inf"))).when(F.col("step") % 19 != 0, F.col("value"))
+    return run_metrics(spark, sf).withColumn("value", v)
+
+
+GAPPY_METRICS_SQL = f"""{RUN_METRICS_SQL},
+gappy AS (SELECT run_id, step, metric, CASE WHEN step % 11 = 0 THEN 'nan'::DOUBLE WHEN step % 13 = 0 THEN 'inf'::DOUBLE
+          WHEN step % 17 = 0 THEN '-inf'::DOUBLE WHEN step % 19 <> 0 THEN value END AS value FROM run_metrics)"""
+
+
 def sql_key(seed, *exprs: str) -> str:
     parts = ", ".join([f"'{seed}'"] + [f"CAST({e} AS VARCHAR)" for e in exprs])
     return f"concat_ws(':', {parts})"

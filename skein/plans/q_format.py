@@ -44,12 +44,15 @@ FROM conversations GROUP BY conv_id
 
 def wrap_prompt_q(spark, sf):
     """Prompts: benchmark items (bare) and formatted instructions (already framed),
-    blank ones dropped, then wrapped."""
+    and benchmark items with blank and missing ones among them; blank ones
+    dropped, then wrapped."""
     bench = load(spark, sf, "benchmark").select(F.lit("benchmark").alias("kind"),
                                                 F.col("item_id").alias("id"), F.col("text").alias("prompt"))
     inst = P.format_instruction(instruction_rows(spark, sf)).select(
         F.lit("instruction").alias("kind"), F.col("row_key").alias("id"), F.col("text").alias("prompt"))
-    prompts = P.drop_blank(bench.unionByName(inst), "prompt")
+    blank = bench.select(F.lit("gappy").alias("kind"), "id", F.when(F.col("id") % 4 == 0, "")
+                         .when(F.col("id") % 4 == 1, " \n\t").when(F.col("id") % 4 == 3, F.col("prompt")).alias("prompt"))
+    prompts = P.drop_blank(bench.unionByName(inst).unionByName(blank), "prompt")
     return prompts.select("kind", "id", P.wrap_prompt("prompt").alias("wrapped"))
 
 
@@ -58,6 +61,9 @@ WITH {INSTRUCTION_SQL},
 p AS (
   SELECT 'benchmark' AS kind, item_id AS id, text AS prompt FROM benchmark
   UNION ALL
+  SELECT 'gappy', item_id, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) || chr(9) WHEN 3 THEN text END
+  FROM benchmark
+  UNION ALL
   SELECT 'instruction', row_key,
          CASE WHEN input IS NOT NULL AND input <> ''
               THEN '### Instruction:' || {_NL} || instruction || {_NL} || {_NL} || '### Input:' || {_NL} || input

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from skein.operators import runlog as R
-from skein.plans.derive import RUN_METRICS_SQL, run_metrics
+from skein.plans.derive import GAPPY_METRICS_SQL, RUN_METRICS_SQL, gappy_metrics, run_metrics
 from skein.plans.registry import register
 
 PATIENCE = 5
@@ -67,22 +67,22 @@ WHERE m.step % {EVERY} = 0 OR m.step = f.first_step
 
 
 def nan_filter(spark, sf):
-    return R.nonfinite_report(run_metrics(spark, sf))
+    return R.nonfinite_report(gappy_metrics(spark, sf))
 
 
 register("nan_filter", f"""
-WITH {RUN_METRICS_SQL}
+WITH {GAPPY_METRICS_SQL}
 SELECT run_id, count(*) FILTER (WHERE isfinite(value)) AS n_kept,
        count(*) FILTER (WHERE NOT isfinite(value) OR value IS NULL) AS n_dropped
-FROM run_metrics GROUP BY run_id
+FROM gappy GROUP BY run_id
 """)(nan_filter)
 
 
 def latest_checkpoint_q(spark, sf):
-    return R.latest_checkpoint(R.drop_nonfinite(run_metrics(spark, sf)))
+    return R.latest_checkpoint(R.drop_nonfinite(gappy_metrics(spark, sf)))
 
 
 register("latest_checkpoint", f"""
-WITH {RUN_METRICS_SQL}
-SELECT run_id, max(step) AS latest_step FROM run_metrics WHERE isfinite(value) GROUP BY run_id
+WITH {GAPPY_METRICS_SQL}
+SELECT run_id, max(step) AS latest_step FROM gappy WHERE isfinite(value) GROUP BY run_id
 """)(latest_checkpoint_q)

@@ -132,15 +132,18 @@ FROM t WHERE valid GROUP BY label
 
 
 def improvement_q(spark, sf):
-    r = A.improvement(run_metrics(spark, sf))
+    m = run_metrics(spark, sf)             # and the same runs with losses whose perplexity overflows
+    high = m.withColumn("run_id", F.concat(F.lit("high-"), "run_id")).withColumn("value", F.col("value") + 1000)
+    r = A.improvement(m.unionByName(high))
     return r.select("run_id", "n_evals", *[F.round(c, 6).alias(c) for c in
                     ("loss_first", "loss_last", "loss_improvement", "ppl_first", "ppl_last", "ppl_improvement")])
 
 
 register("improvement", f"""
 WITH {RUN_METRICS_SQL},
+m AS (SELECT run_id, step, value FROM run_metrics UNION ALL SELECT 'high-' || run_id, step, value + 1000 FROM run_metrics),
 g AS (SELECT run_id, count(*) AS n_evals, arg_min(value, step) AS a, arg_max(value, step) AS b
-      FROM run_metrics GROUP BY run_id)
+      FROM m GROUP BY run_id)
 SELECT run_id, n_evals, round(a, 6) AS loss_first, round(b, 6) AS loss_last, round((a - b) / a, 6) AS loss_improvement,
        round(exp(a), 6) AS ppl_first, round(exp(b), 6) AS ppl_last, round(1.0 - exp(b - a), 6) AS ppl_improvement
 FROM g
