@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _P = 0x9E3779B97F4A7C17                    # odd, P - 1 twice an odd number
 _SEEDS = np.random.default_rng(20240607).integers(1, 2 ** 63, 256, dtype=np.uint64)
 

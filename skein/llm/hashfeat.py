@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bytesops import SpanHash, lower_table, row_chunks, rows_of, seed_table, spans, text_arrays
+from skein.llm.scratch import bound_batches
 
 N_SHAPE = 7
 PREFIXES = (4, 5)
@@ -61,6 +62,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: Column, per_clas
                     text: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(sampled rows (k, t, y), rows per class). ``target`` is an int class over
     ``labels``; null classes, keys and texts are left out."""
+    bound_batches(docs.sparkSession)
     lab = labels.select(F.col(key).alias("k"), target.cast("int").alias("y")).filter("k is not null and y is not null") \
         .groupBy("k").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from skein.llm.bytesops import row_chunks, text_arrays
+from skein.llm.scratch import bound_batches
 
 SIZES = (3, 4)
 HASHES = 3
@@ -92,6 +93,7 @@ def has_letter(texts, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 2000,
         min_docs: int = 2, share: float = 0.25, max_grams: int = 30_000, log2_slots: int = LOG2_SLOTS) -> dict:
     """Learn the filter. Returns a small dict: languages, slices, false-positive rates."""
+    bound_batches(docs.sparkSession)
     known = docs.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"),
                         F.col(lang).cast("string").alias("l")).filter("l is not null and t is not null")
     sizes = {r["l"]: r["n"] for r in known.groupBy("l").count().withColumnRenamed("count", "n")
@@ -194,6 +196,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: Sequence[st
     taken = [c for c in kept if c.lower() in new]
     if taken:
         raise ValueError(f"columns already present: {taken}")
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)   # a few MB at most
     at = docs.columns.index(text)
 

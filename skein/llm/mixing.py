@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from skein.llm.bytesops import SpanHash
 from skein.llm.hashfeat import (N_SHAPE, Adam, Lookup, collect_matrix, featurize, sample_labelled, select_words)
-from skein.llm.scratch import save
+from skein.llm.scratch import bound_batches, save
 
 DOMAINS = ("good", "poor", "toxic")
 
@@ -91,6 +91,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, target: Column, n_domains: i
 def posteriors(docs: DataFrame, model: dict, names: Sequence[str], key: str = "doc_id",
                text: str = "text") -> DataFrame:
     """(key, tokens, p_<domain>...): tokens are words."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)       # a few thousand numbers
     kind = docs.select(key).schema[0].dataType.simpleString()
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bytesops import SpanHash, row_chunks, rows_of, seed_table, text_arrays
+from skein.llm.scratch import bound_batches
 
 SIZE = 4096
 END_ID = 2                       # fixed by the contract
@@ -305,6 +306,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id"
         raise ValueError("size must be a power of two")
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     kind = docs.select(key).schema[0].dataType.simpleString()
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.hashfeat import Adam, Lookup, collect_matrix, featurize, sample_labelled, select_words
 from skein.llm.bytesops import SpanHash
+from skein.llm.scratch import bound_batches
 
 GRADES = 4
 MARKER_RATIO = 10.0
@@ -136,6 +137,7 @@ def pick_threshold(prob: np.ndarray, truth: np.ndarray, weight: np.ndarray, beta
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, severity, grade, p_toxic, toxic) for every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)       # a few thousand numbers
     kind = docs.select(key).schema[0].dataType.simpleString()
 
