@@ -126,6 +126,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     else:
         left = F.size("_block") - F.col("_p")           # block tokens from the joined one on
         pairs = blocks.select("_row", "_no", "_block", F.posexplode("_block").alias("_p", "w")) \
+            .filter(F.col("w").isin(sorted({x[0] for x in index}))) \
             .join(index_df, "w") \
             .filter(F.size("_block") >= F.col("need")) \
             .filter(F.least(left, F.col("m") - F.col("at")) >= F.col("need")) \
