@@ -42,7 +42,7 @@ def test_resolve_text_modes(spark):
     content = spark.createDataFrame([("c", "i")], "content string, instruction string")
     assert P.resolve_text(content).first().text == "c"
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    with pytest.raises(ValueError, match="No text column"):
+    with pytest.raises(ValueError, match="is a column of"):
         P.resolve_text(pages)
 
 
