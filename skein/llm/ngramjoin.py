@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bytesops import SpanHash, lower_table, mix64, row_chunks, rows_of, seed_table, spans, text_arrays
-from skein.llm.scratch import components, save
+from skein.llm.scratch import bound_batches, components, save
 from skein.session import shuffle_partitions
 
 BUCKET_BYTES = 24 << 20           # text bytes per bucket at most, about
@@ -103,6 +103,9 @@ def _hash_pass(size: int, buckets: int):
         import pyarrow as pa
         schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()),
                             ("entries", pa.binary()), ("owners", pa.binary())])
+        from pyspark import TaskContext
+        context = TaskContext.get()
+        turn = 37 * context.partitionId() if context else 0          # text rows go round the buckets
         hasher = SpanHash()
         for b in batches:
             keys = b.column(0)
@@ -133,7 +136,7 @@ def _hash_pass(size: int, buckets: int):
                     sig = mix64(total[cut[1:]] - total[cut[:-1]] + n.astype(np.uint64))
                     sig[n == 0] = 0
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(rows, (lo * 7919 + len(packed)) % buckets, np.int32)), keys.slice(lo, rows),
+                        [pa.array(((np.arange(lo, hi) + turn) % buckets).astype(np.int32)), keys.slice(lo, rows),
                          pa.array(n.astype(np.int64)), pa.array(sig.view(np.int64)), pa.nulls(rows, pa.binary()),
                          pa.nulls(rows, pa.binary())], schema=schema)
                     ends = np.concatenate([[0], np.searchsorted(packed, edges), [len(packed)]])
@@ -343,6 +346,7 @@ def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     if not 50 < percent <= 100 or size < 1:
         raise ValueError("percent must be over 50 and at most 100, size at least 1")
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("t"))
     volume = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), math.ceil(volume / BUCKET_BYTES))
