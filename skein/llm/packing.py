@@ -319,8 +319,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, key: str = "doc_id"
         key_type = None
 
         def out(pieces):
-            for lo in range(0, len(pieces), 2000):
-                p = pieces[lo:lo + 2000]
+            for lo in range(0, len(pieces), 256):
+                p = pieces[lo:lo + 256]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in p], key_type), pa.array([x[1] for x in p], pa.int64()),
                      pa.array([x[2] for x in p], pa.int64()),
