@@ -1,14 +1,21 @@
 """Operator 6: license scans by an exact set-similarity join. Built-in functions only.
 
-Text blocks are the lines of a text, as sets of lower-cased words; templates
-are sets of words too. A block holds a template when it contains at least
-``threshold`` of the template's distinct words. Tokens are ordered by their
-frequency over all blocks, rarest first. A template's *prefix* (its first
-m - need + 1 tokens) must share a token with every block that holds it, so
-blocks meet templates in an equi-join on prefix tokens; a length filter
-(block has ``need`` template words) and a positional filter (what both sides
-still have after the joined token reaches ``need``) drop most pairs before the
-exact overlap is counted. The order steers only the cost, never the result.
+Texts are sequences of lower-cased words, and templates are sets of words. A
+text holds a template where a *window* of consecutive words, lines aside, has
+at least ``threshold`` of the template's distinct words; a window is as long
+as the template divided by ``threshold``, so a notice may be wrapped over lines
+or take in some words, and words scattered over a long line are none. Tokens
+are ordered by their frequency over all texts, rarest first. A template's
+*prefix* (its first m - need + 1 tokens) shares a token with every window that
+holds it, so each prefix token of a text, with the template words around it,
+meets the templates in an equi-join; surroundings with fewer than ``need``
+words of the template drop out, and windows from every start in the rest are
+counted exactly. The order steers only the cost, never the result.
+
+Windows of one place are one block: on a line, windows that start within the
+words of the first; across lines likewise, but only apart from lines that hold
+the template themselves, whose share is told by their own words. Where no line
+is longer than the window, lines that hold a template are one block each.
 
 Exact phrases (``PHRASES``) are found as consecutive words, apart from the join.
 
@@ -47,6 +54,7 @@ TEMPLATES = [
 THRESHOLD = 0.8
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"     # a word character in either case
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+GAP_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 MAX_TEMPLATE_WORDS = 100_000                          # bound on the configuration, checked
 
 
@@ -73,6 +81,40 @@ def need_of(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+def span_of(words: str, threshold: float) -> int:
+    """Length of a template's window in words."""
+    return math.ceil(len(words.split()) / threshold - 1e-9)
+
+
+def _places(windows: Column, m: Column) -> Column:
+    """(n, best): blocks among the windows in order of their start, and the greatest share.
+
+    A block across lines is open until a window starts behind it, and falls if a line's own block reaches into it."""
+    zero = F.struct(F.lit(-1).alias("line_end"), F.lit(-1).alias("open_end"), F.lit(0).alias("open_best"),
+                    F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("best"))
+
+    def state(line_end, open_end, open_best, n, best):
+        return F.struct(line_end.alias("line_end"), open_end.alias("open_end"), open_best.alias("open_best"),
+                        n.cast("bigint").alias("n"), best.alias("best"))
+
+    def step(a, w):
+        closed = (a["open_end"] >= 0) & (w["s"] > a["open_end"])
+        n = a["n"] + F.when(closed, 1).otherwise(0)
+        best = F.when(closed, F.greatest(a["best"], a["open_best"])).otherwise(a["best"])
+        own = state(F.when(w["s"] > a["line_end"], w["e"]).otherwise(a["line_end"]), F.lit(-1), F.lit(0),
+                    n + F.when(w["s"] > a["line_end"], 1).otherwise(0), F.greatest(best, w["k"]))
+        more = state(a["line_end"], a["open_end"], F.greatest(a["open_best"], w["k"]), a["n"], a["best"])
+        return F.when(w["one_line"], own).when(w["s"] <= a["line_end"], a) \
+            .when((a["open_end"] >= 0) & ~closed, more).otherwise(state(a["line_end"], w["e"], w["k"], n, best))
+
+    def finish(a):
+        last = a["open_end"] >= 0
+        return F.struct((a["n"] + F.when(last, 1).otherwise(0)).cast("bigint").alias("n"),
+                        (F.when(last, F.greatest(a["best"], a["open_best"])).otherwise(a["best"]) / m).alias("best"))
+
+    return F.aggregate(windows, zero, step, finish)
+
+
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
                   phrases: Sequence[tuple[str, str]] = PHRASES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks).
@@ -80,63 +122,85 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     score: the greatest share of a template held by a block that reaches the
     threshold, 1.0 with an exact phrase, else 0.0. n_blocks: (block, template)
     pairs found."""
-    sets = [(name, sorted(set(words.split()))) for name, words in templates]
-    if sum(len(t) for _, t in sets) > MAX_TEMPLATE_WORDS:
+    sets = [(name, sorted(set(words.split())), span_of(words, threshold)) for name, words in templates]
+    if sum(len(t) for _, t, _ in sets) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words for a configuration list")
-    vocab = sorted({w for _, t in sets for w in t})
-    least = min([need_of(len(t), threshold) for _, t in sets], default=1)
+    vocab = sorted({w for _, t, _ in sets for w in t})
+    least = min([need_of(len(t), threshold) for _, t, _ in sets], default=1)
+    widest = max([span for _, _, span in sets], default=1)
     pattern = phrase_pattern(phrases)
 
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     places = F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))
-    block_words = F.transform(F.split("_t", "\n"), lambda b: F.array_intersect(
-        F.split(F.lower(b), f"{GAP}+"), F.array(*[F.lit(w) for w in vocab]).cast("array<string>")))
+    plain = F.regexp_replace(F.lower("_t"), GAP_IN_LINE + "+", " ")
+    tokens = F.split(F.regexp_replace(plain, " ?\n[ \n]*", " \n"), " ")       # a line's first word follows its \n
+    known = F.filter(F.transform(tokens, lambda w, i: F.struct(i.alias("p"), w.alias("w"))),
+                     lambda x: x["w"].startswith("\n") | x["w"].isin(vocab))
+    known = F.transform(known, lambda x: F.struct(x["p"].alias("p"), x["w"].startswith("\n").alias("first"),
+                                                  F.ltrim(x["w"], F.lit("\n")).alias("w")))
+    known = F.transform(known, lambda x: F.struct(x["p"].alias("p"), x["first"].alias("first"),
+                                                  F.when(x["w"].isin(vocab), x["w"]).alias("w")))
     rows = docs.select(F.col(key).alias("_key"), t.alias("_t")) \
         .select("_key", "_t", _words(F.col("_t")).cast("bigint").alias("n_words"),
-                places.alias("_m"), F.filter(block_words, lambda b: F.size(b) > 0).alias("_b")) \
+                places.alias("_m"), known.alias("_known")) \
         .withColumn("_cut", F.when(F.size("_m") > 0, F.split("_t", pattern, -1))) \
         .select(F.expr("uuid()").alias("_row"), "_key", "n_words", F.size("_m").cast("bigint").alias("n_base"),
                 F.when(F.size("_m") > 0, _words(F.element_at("_cut", 1))).cast("bigint").alias("first_word"),
                 F.when(F.size("_m") > 0, F.col("n_words") - _words(F.element_at("_cut", -1))
                        - _words(F.element_at("_m", -1))).cast("bigint").alias("last_word"),
                 F.array_sort(F.array_distinct(F.transform("_m", lambda m: _label(m, phrases)))).alias("_base"),
-                F.filter("_b", lambda b: F.size(b) >= least).alias("_blocks"), F.flatten("_b").alias("_tokens"))
+                F.when(F.size(F.array_distinct(F.filter("_known.w", lambda w: w.isNotNull()))) >= least,
+                       F.col("_known")).alias("_known"))
     rows = save(rows, "licenses")          # one pass over the texts; row ids are fixed from here on
 
     # Global token order: rarest first. One row per template word, so bounded by the configuration.
     seen = {r["w"]: r["n"] for r in
-            rows.select(F.explode("_tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+            rows.select(F.explode("_known.w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     rank = {w: i for i, w in enumerate(sorted(vocab, key=lambda w: (seen.get(w, 0), w)))}
     index, whole = [], []
-    for name, words in sets:
+    for name, words, span in sets:
         order = sorted(words, key=rank.get)
         need = need_of(len(order), threshold)
-        whole.append((name, order, len(order), need))
-        index += [(w, name, i, len(order), need) for i, w in enumerate(order[:len(order) - need + 1])]
+        whole.append((name, order, len(order), need, span))
+        index += [(w, name) for w in order[:len(order) - need + 1]]
     spark = docs.sparkSession
-    index_df = spark.createDataFrame(index, "w string, name string, at int, m int, need int")
-    whole_df = spark.createDataFrame([(n, o) for n, o, _, _ in whole], "name string, words array<string>")
-
-    ranked = F.array_sort(F.transform("_block", lambda w: F.struct(
-        F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), w).alias("r"), w.alias("w"))))
-    blocks = rows.select("_row", F.posexplode("_blocks").alias("_no", "_block")) \
-        .select("_row", "_no", F.transform(ranked, lambda s: s["w"]).alias("_block")) if vocab else None
-    if blocks is None:
+    if not vocab:
         found = spark.createDataFrame([], "_row string, _names array<string>, score double, n_blocks bigint")
     else:
-        left = F.size("_block") - F.col("_p")           # block tokens from the joined one on
-        pairs = blocks.select("_row", "_no", "_block", F.posexplode("_block").alias("_p", "w")) \
-            .filter(F.col("w").isin(sorted({x[0] for x in index}))) \
-            .join(index_df, "w") \
-            .filter(F.size("_block") >= F.col("need")) \
-            .filter(F.least(left, F.col("m") - F.col("at")) >= F.col("need")) \
-            .select("_row", "_no", "_block", "name", "m", "need").distinct() \
-            .join(whole_df, "name") \
-            .withColumn("shared", F.size(F.array_intersect("_block", "words"))) \
-            .filter(F.col("shared") >= F.col("need"))
-        found = pairs.groupBy("_row").agg(F.collect_set("name").alias("_names"),
-                                          F.max(F.col("shared") / F.col("m")).alias("score"),
-                                          F.count(F.lit(1)).alias("n_blocks"))
+        index_df = spark.createDataFrame(index, "w string, name string").join(
+            spark.createDataFrame(whole, "name string, words array<string>, m int, need int, span int"), "name")
+        # Positions differ, so as many neighbours in the list as the widest window has words are enough.
+        anchors = F.filter(F.transform("_known", lambda x, i: F.struct(i.alias("i"), x["p"].alias("p"), x["w"].alias("w"))),
+                           lambda x: x["w"].isin(sorted({w for w, _ in index})))
+        near = F.transform(anchors, lambda x: F.struct(x["p"].alias("p"), x["w"].alias("w"), F.slice(
+            "_known", F.greatest(x["i"] - widest + 2, F.lit(1)), F.lit(2 * widest)).alias("around")))
+        near = rows.select("_row", F.explode(near).alias("_a")).select("_row", "_a.p", "_a.w", "_a.around") \
+            .join(F.broadcast(index_df), "w") \
+            .withColumn("around", F.filter("around", lambda x: (F.abs(x["p"] - F.col("p")) < F.col("span"))
+                                           & (x["first"] | F.array_contains("words", x["w"])))) \
+            .filter(F.size(F.array_intersect("around.w", "words")) >= F.col("need"))
+
+        def window(s):
+            """Scopes from a start: its line, and lines aside; the words and the last position of the one that counts."""
+            inside = F.filter("around", lambda x: (x["p"] >= s["p"]) & (x["p"] < s["p"] + F.col("span")))
+            turn = F.array_min(F.transform(F.filter(inside, lambda x: x["first"] & (x["p"] > s["p"])), lambda x: x["p"]))
+            mine = F.filter(inside, lambda x: F.array_contains("words", x["w"]))
+            line = F.filter(mine, lambda x: turn.isNull() | (x["p"] < turn))
+
+            def scope(xs, one_line):
+                return F.struct(s["p"].alias("s"), F.array_max(F.transform(xs, lambda x: x["p"])).alias("e"),
+                                F.size(F.array_distinct(F.transform(xs, lambda x: x["w"]))).alias("k"),
+                                F.lit(one_line).alias("one_line"))
+            return F.array(scope(line, True), scope(mine, False))
+
+        starts = F.filter("around", lambda x: (x["p"] <= F.col("p")) & F.array_contains("words", x["w"]))
+        windows = F.transform(starts, lambda s: F.element_at(F.filter(
+            F.concat(window(s), F.array(F.lit(None))), lambda x: x.isNull() | (x["k"] >= F.col("need"))), 1))
+        hits = near.select("_row", "name", "m", F.explode(windows).alias("_w")).filter("_w is not null") \
+            .groupBy("_row", "name", "m").agg(F.array_sort(F.collect_set("_w")).alias("_ws")) \
+            .select("_row", "name", _places(F.col("_ws"), F.col("m")).alias("_f"))
+        found = hits.groupBy("_row").agg(F.collect_set("name").alias("_names"), F.max("_f.best").alias("score"),
+                                         F.sum("_f.n").alias("n_blocks"))
     every = F.array_sort(F.array_union("_base", F.coalesce("_names", F.array().cast("array<string>"))))
     return rows.join(found, "_row", "left").select(
         F.col("_key").alias(key), "n_words", "n_base", "first_word", "last_word",

@@ -233,6 +233,61 @@ def test_license_prefix_filter_is_complete(spark):
     assert got == {k: brute_license(t)[5] for k, t in rows}
 
 
+WRAPPED = {"bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided "
+                  "that the following conditions\nare met:",
+           "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee "
+                  "is hereby granted, provided that the above\ncopyright notice appear in all copies.",
+           "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU "
+                   "Lesser General Public\nLicense as published by the Free Software Foundation;"}
+
+
+def window_labels(text):
+    """Templates held by some window of consecutive words, by trying every start."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    out = set()
+    for name, words in licenses.TEMPLATES:
+        t, n = set(words.split()), licenses.span_of(words, licenses.THRESHOLD)
+        if any(len(t & set(w[i:i + n])) >= licenses.need_of(len(t), licenses.THRESHOLD) for i in range(len(w))):
+            out.add(name)
+    return out
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    """Canonical headers, as comments, at any line width and at any place, are found once."""
+    rnd = random.Random(5)
+    texts = [(name, pre + body.replace("\n", "\n" + mark) + post) for name, body in WRAPPED.items()
+             for mark in ("", " * ", "# ") for pre in ("", "some prose\n\n" + mark) for post in ("", "\nmore prose")]
+    for name, body in WRAPPED.items():
+        for width in (1, 3, 8, 100):
+            w = ["prose"] * rnd.randrange(90) + body.split()
+            texts.append((name, "\n".join(" ".join(w[i:i + width]) for i in range(0, len(w), width))))
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, [(i, t) for i, (_, t) in enumerate(texts)])).collect()}
+    for i, (name, t) in enumerate(texts):
+        assert name in out[i]["labels"].split(",") and out[i]["n_blocks"] == 1, t
+
+
+def test_license_words_scattered_over_a_long_line_are_no_notice(spark):
+    far = " ".join(["prose"] * 20)
+    rows = [(1, f"released {far} under {far} the {far} license {far} mit"), (2, f"{far} released under the mit license {far}")]
+    out = {r["doc_id"]: (r["labels"], r["score"], r["n_blocks"]) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert out == {1: ("", 0.0, 0), 2: ("mit", 1.0, 1)}
+
+
+def test_license_windows_equal_every_start(spark):
+    """Random words of templates, padded and broken into lines anywhere: the join finds what trying every start finds."""
+    rnd, rows = random.Random(11), []
+    for i in range(150):
+        w = []
+        for _ in range(rnd.randrange(1, 4)):
+            w += ["noise"] * rnd.randrange(30)
+            w += [x for t in rnd.choice(licenses.TEMPLATES)[1].split() if rnd.random() < 0.92
+                  for x in [t] + ["noise"] * (rnd.random() < 0.2)]
+        rows.append((i, "".join(x + rnd.choice(["\n", " ", ", ", "  \n \n * "]) for x in w)))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, rows), phrases=[("no such phrase", "none")]).collect()}
+    assert {k: set(filter(None, r["labels"].split(","))) for k, r in got.items()} == {k: window_labels(t) for k, t in rows}
+    assert sum(r["n_blocks"] > 1 for r in got.values()) > 10
+
+
 # --- language --------------------------------------------------------------
 
 def test_language_filter_and_edges(spark):
