@@ -172,6 +172,22 @@ def test_secret_network_learns_and_empty_tables(spark):
     assert secrets.fit(docs_of(spark, [(1, "nothing"), (2, None)])) is None
 
 
+def test_secret_findings_of_all_documents_are_learnt(spark):
+    """Few findings among many documents: the sample of documents holds none of them, the network is there."""
+    rnd = random.Random(6)
+    hexa = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, "plainwords and moretext only lorem ipsumipsum x%dy12" % i) for i in range(3000)]
+    rows += [(10_000 + i, f"some words here token = {hexa(40)} after it") for i in range(20)]
+    docs = docs_of(spark, rows)
+    model = secrets.fit(docs, max_docs=30)
+    assert model is not None
+    one = secrets.fit(docs_of(spark, rows[:2000] + rows[-1:]), max_docs=1)       # a single finding is enough
+    assert one is not None and secrets.fit(docs_of(spark, rows[:2000]), max_docs=30) is None
+    keys = docs_of(spark, rows + [(20_000, "one 20 key api_key=abcdefgh12345678")])
+    found = [r["findings"] for r in secrets.scan(keys, model).filter("doc_id >= 10000").collect()]
+    assert len(found) == 21 and all(found)
+
+
 def test_network_gradient():
     """Training lowers the loss of a separable toy set to near zero."""
     rng = np.random.default_rng(0)
