@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import (kdsearch, langid, licenses, mixing, neardup, ngramjoin, packing, secrets, toxicity,
-                       urls)
+from skein.llm import (kdsearch, langid, licenses, merkle, mixing, neardup, ngramjoin, packing, secrets,
+                       toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -210,3 +210,81 @@ SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, vec_id = compo
 FROM embeddings JOIN c ON node = vec_id LEFT JOIN k ON a = vec_id""")
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "embeddings"))
+
+
+# --- op13 --------------------------------------------------------------------
+
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+_UPPER_ABC, _LOWER_ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CRC = """(4294967295 - list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length({x}) + 1),
+    lambda i: ord(substr({x}, i, 1))::UBIGINT)), lambda c, b: xor(c >> 8, crc_t[((xor(c, b) & 255) + 1)::BIGINT])))"""
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS crc_t)"""
+
+
+def crc_sql(x: str) -> str:
+    """Unsigned crc32 of an ASCII text in DuckDB, where the CTE ``crc_table`` is joined."""
+    return _CRC.format(x=x)
+
+
+def _merkle_sql(levels: int = 8, upper: int = 3) -> str:
+    """Trees of up to 8^levels leaves a language and 8^upper languages, level by level."""
+    def part(v):
+        return f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(part(text if c == "text" else c) for c in LEAF_COLUMNS) + ")"
+
+    ctes = [_CRC_TABLE, f"""
+r AS (SELECT row_number() OVER () AS rid, * FROM documents),
+l AS (SELECT rid, doc_id, lang, {leaf("text")} AS leaf,
+             CASE WHEN doc_id IS NOT NULL AND {crc_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0
+                  THEN {leaf(f"translate(text, '{_UPPER_ABC}', '{_LOWER_ABC}')")} ELSE {leaf("text")} END AS seen FROM r, crc_table),
+a0 AS (SELECT rid, doc_id, lang, seen, leaf AS d,
+              row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l)"""]
+    for k in range(1, levels + 1):
+        ctes.append(f"""
+a{k} AS (SELECT lang, i // 8 AS i, list(d ORDER BY i) AS kids, sha256(string_agg(d, '' ORDER BY i)) AS d
+        FROM a{k - 1} WHERE lang IN (SELECT lang FROM a{k - 1} GROUP BY lang HAVING count(*) > 1)
+           OR lang IS NULL AND (SELECT count(*) FROM a{k - 1} WHERE lang IS NULL) > 1 GROUP BY lang, i // 8)""")
+    tops = " UNION ALL ".join(f"SELECT lang, {k} AS k, i, d FROM a{k}" for k in range(levels + 1))
+    ctes.append(f"""
+s AS (SELECT lang, arg_max(d, k) AS d FROM ({tops}) GROUP BY lang),
+b0 AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM s)""")
+    for k in range(1, upper + 1):
+        ctes.append(f"""
+b{k} AS (SELECT i // 8 AS i, list(d ORDER BY i) AS kids, sha256(string_agg(d, '' ORDER BY i)) AS d
+        FROM b{k - 1} WHERE (SELECT count(*) FROM b{k - 1}) > 1 GROUP BY i // 8)""")
+    roots = " UNION ALL ".join(f"SELECT {k} AS k, d FROM b{k}" for k in range(upper + 1))
+    ctes.append(f"\nroot AS (SELECT arg_max(d, k) AS root FROM ({roots}))")
+    join, n, cols, fold = "", 0, [], "a0.seen"
+    for name, i, k in [("a", "a0.i", k) for k in range(1, levels + 1)] + [("b", "b0.i", k) for k in range(1, upper + 1)]:
+        same = f" AND {name}{k}.lang IS NOT DISTINCT FROM a0.lang" if name == "a" else ""
+        join += f" LEFT JOIN {name}{k} ON {name}{k}.i = {i} // {8 ** k}{same}"
+        at = f"({i} // {8 ** (k - 1)} % 8)"
+        left = f"array_to_string({name}{k}.kids[1:{at}], '')"
+        right = f"array_to_string({name}{k}.kids[{at} + 2:], '')"
+        cols.append(f"coalesce({left}, '') AS l{n}, coalesce({right}, '') AS r{n}, {name}{k}.i IS NOT NULL AS u{n}")
+        n += 1
+    ctes.append(f"""
+p AS (SELECT a0.doc_id, a0.d AS leaf, a0.seen AS f0, b0.d AS subroot, root, {", ".join(cols)}
+      FROM a0 JOIN b0 ON b0.lang IS NOT DISTINCT FROM a0.lang {join}, root)""")
+    for k in range(n):
+        ctes.append(f"\nf{k} AS (SELECT *, CASE WHEN u{k} THEN sha256(l{k} || f{k} || r{k}) ELSE f{k} END AS f{k + 1} FROM {'p' if k == 0 else f'f{k - 1}'})")
+    proof = " || ".join(f"l{k} || r{k}" for k in range(n))
+    return f"""WITH {",".join(ctes)}
+SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, f{n} AS folded_root, f{n} = root AS verified FROM f{n - 1}"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cols = {c: F.col(c) for c in LEAF_COLUMNS}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0       # null: not tampered
+    low = cols | {"text": F.translate("text", _UPPER_ABC, _LOWER_ABC)}
+    rows = docs.select("doc_id", "lang", merkle.leaf_digest(list(cols.values())).alias("leaf"),
+                       F.when(tampered, merkle.leaf_digest(list(low.values()))).alias("changed"))
+    proofs = merkle.prove(merkle.build(rows, "lang", "doc_id", "leaf", ["doc_id", "changed"]))
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
