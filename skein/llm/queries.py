@@ -3,13 +3,14 @@ where SQL can express the operator."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import (kdsearch, langid, licenses, merkle, mixing, neardup, ngramjoin, packing, secrets,
-                       toxicity, urls)
+from skein.llm import (kdsearch, langid, licenses, merkle, mixing, neardup, ngramjoin, packing, periodic,
+                       secrets, toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -288,3 +289,29 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("path"))
     return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
                          folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# --- op11 --------------------------------------------------------------------
+
+def planted_words(key, raw: bytes) -> list[bytes]:
+    """The words of the contract: those of every tenth key (by crc32) from some place on repeat with a period."""
+    words = raw.split()
+    n = len(words)
+    h = -1 if key is None else zlib.crc32(str(key).encode())
+    if n and h >= 0 and h % 10 == 0:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = words[:a] + [words[a + i % p] for i in range(n - a)]
+    return words
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(table(spark, sf_dir, "documents"), words=planted_words)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", periodic.strongest(F.col("runs")))
+    return best.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                       F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"), "n_words")
