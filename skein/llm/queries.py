@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import (kdsearch, langid, licenses, merkle, mixing, neardup, ngramjoin, packing, periodic,
+from skein.llm import (kdsearch, langid, licenses, merkle, mixing, neardup, ngramjoin, packing, periodic, pii,
                        secrets, toxicity, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,3 +315,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
                        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"), "n_words")
+
+
+# --- op12 --------------------------------------------------------------------
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("findings", lambda f: f["kind"] != "context")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+                        spans_text(F.col("findings")).alias("spans"))
