@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.hashing import hash_long, hash_uniform
 from skein.operators.ordering import drop_bucket, equal_buckets, global_index, prefix_sum
-from skein.session import stored
+from skein.session import shuffle_partitions, stored
 
 SEED = 42
 HASH_SPAN = 1 << 60                # hash_long draws from [0, 2^60)
@@ -148,3 +148,37 @@ def concat(dfs: Sequence[DataFrame]) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def shuffle_reservoir(df: DataFrame, position: str, buffer: int, seed: int = SEED, name: str = "pos") -> DataFrame:
+    """M4 (buffered, as a stream does it): the order in which a shuffle buffer of ``buffer`` rows gives the rows
+    out. ``position`` numbers the rows from 0.
+
+    The buffer is filled with the first rows; each further row t draws slot s(t) = md5(seed:slot:t) mod buffer,
+    gives out the row held there and takes its place; at the end the rows left come out in the order of md5(seed:rest:slot).
+    So a row put into a slot at t leaves at that slot's next draw: one window over (slot, t), no loop. With few
+    slots, a slot's rows are cut into ranges of t and the next draw beyond a range is the first one of a later range."""
+    n = df.count()
+    slots = max(1, min(buffer, n))
+    parts = 4 * shuffle_partitions(df.sparkSession)
+    t = F.col(position)
+    drawn = (hash_long(seed, F.lit("slot"), t) % buffer).cast("bigint")
+    rows = df.withColumn("_skein_slot", F.when(t < buffer, t).otherwise(drawn).cast("bigint"))
+    if slots >= parts:
+        rows = rows.withColumn("_skein_next", F.lead(position).over(Window.partitionBy("_skein_slot").orderBy(position)))
+    else:
+        rows = equal_buckets(rows, position, max(n, 1))
+        own = Window.partitionBy("_skein_slot", "_skein_bucket").orderBy(position)
+        later = Window.partitionBy("_skein_slot").orderBy(F.desc("_skein_bucket"))
+        firsts = rows.groupBy("_skein_slot", "_skein_bucket").agg(F.min(position).alias("_skein_first")) \
+            .withColumn("_skein_after", F.lag("_skein_first").over(later)).drop("_skein_first")   # slots x ranges rows at most
+        rows = rows.withColumn("_skein_next", F.lead(position).over(own)) \
+            .join(firsts, ["_skein_slot", "_skein_bucket"]) \
+            .withColumn("_skein_next", F.coalesce("_skein_next", "_skein_after")).drop("_skein_after", "_skein_bucket")
+    rest = df.sparkSession.range(slots).withColumnRenamed("id", "_skein_slot") \
+        .withColumn("_skein_h", hash_long(seed, F.lit("rest"), F.col("_skein_slot")))
+    rest = drop_bucket(global_index(equal_buckets(rest, "_skein_h", HASH_SPAN), ["_skein_h", "_skein_slot"], name="_skein_rest")) \
+        .drop("_skein_h")
+    out = rows.join(rest, "_skein_slot", "left")
+    return out.withColumn(name, F.coalesce(F.col("_skein_next") - buffer, F.lit(n - slots) + F.col("_skein_rest")).cast("bigint")) \
+        .drop("_skein_slot", "_skein_next", "_skein_rest")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import batches as N
+from skein.operators import drawindex as D
 from skein.operators import mixing as M
 from skein.operators import packing as K
+from skein.operators import permute as P
 from skein.operators import tokens as T
+from skein.operators.ordering import global_index
 from skein.plans.derive import sources, sql_hash_long, sql_hash_uniform
 from skein.plans.q_sampling import MIX_SPECS
 from skein.plans.q_tokens import VOCAB, _vocab_sql
@@ -252,3 +255,138 @@ def resume_plan(spark, sf):
 
 
 register("resume_plan", _batch_sql(40, 5))(resume_plan)
+
+
+# ---------------------------------------------------------------------------
+# M4: the order in which a shuffle buffer gives rows out; many slots and few.
+
+RESERVOIR, RESERVOIR_SMALL = 1000, 8
+
+
+def _numbered(spark, sf):
+    return global_index(load(spark, sf, "documents").select("doc_id"), ["doc_id"], name="t")
+
+
+def _reservoir_sql(buffer: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS t, count(*) OVER () AS n FROM documents),
+s AS (SELECT *, CASE WHEN t < {buffer} THEN t ELSE {sql_hash_long(SEED, "'slot'", 't')} % {buffer} END AS slot FROM d),
+l AS (SELECT *, lead(t) OVER (PARTITION BY slot ORDER BY t) AS nxt FROM s),
+e AS (SELECT slot, row_number() OVER (ORDER BY {sql_hash_long(SEED, "'rest'", 'slot')}, slot) - 1 AS r FROM (SELECT DISTINCT slot FROM s))
+SELECT doc_id, t, CAST(coalesce(nxt - {buffer}, greatest(n - {buffer}, 0) + r) AS BIGINT) AS pos FROM l JOIN e USING (slot)
+"""
+
+
+def shuffle_reservoir_q(spark, sf):
+    return M.shuffle_reservoir(_numbered(spark, sf), "t", RESERVOIR, SEED)
+
+
+def shuffle_reservoir_small_q(spark, sf):
+    return M.shuffle_reservoir(_numbered(spark, sf), "t", RESERVOIR_SMALL, SEED)
+
+
+register("shuffle_reservoir", _reservoir_sql(RESERVOIR))(shuffle_reservoir_q)
+register("shuffle_reservoir_small", _reservoir_sql(RESERVOIR_SMALL))(shuffle_reservoir_small_q)
+
+
+# ---------------------------------------------------------------------------
+# Epoch orders by a keyed permutation of one numbering; steps read back from it.
+
+EPOCHS = 3
+
+
+def _network_sql(source: str, v: str) -> str:
+    """``source`` with column ``w``: where the network sends ``v`` (columns a, b and k0.. are there)."""
+    def mixed(x, r):
+        y = f"(({x} + k{r}) % {P.MODULUS} * {P.STEP} % {P.MODULUS})"
+        return f"(xor({y}, {y} >> 15) * {P.MIX} % {P.MODULUS})"
+
+    out = f"(SELECT *, {v} // b AS l, {v} % b AS r FROM {source})"
+    for i in range(P.ROUNDS):
+        change = f"(l + {mixed('r', i)}) % a AS l" if i % 2 == 0 else f"(r + {mixed('l', i)}) % b AS r"
+        out = f"(SELECT * REPLACE ({change}) FROM {out})"
+    return f"(SELECT * EXCLUDE (l, r), l * b + r AS w FROM {out})"
+
+
+def _epochs_sql(cond: str) -> str:
+    names = ", ".join(f"k{r}" for r in range(P.ROUNDS))
+    keys = ", ".join(f"({e}, {', '.join(map(str, P.round_keys(SEED, e)))})" for e in range(EPOCHS))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
+s AS (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM d),
+z AS (SELECT s.*, (n + a - 1) // a AS b, x.* FROM s, (VALUES {keys}) x(epoch, {names})),
+y AS (SELECT doc_id, n, a, b, epoch, {names}, w FROM {_network_sql('z', 'i')}
+      UNION ALL SELECT doc_id, n, a, b, epoch, {names}, w FROM {_network_sql('(SELECT y.* EXCLUDE (w), w AS v FROM y WHERE w >= n)', 'v')}),
+p AS (SELECT doc_id, CAST(epoch AS BIGINT) AS epoch, CAST(w AS BIGINT) AS pos, n // 8 AS per FROM y WHERE w < n)
+SELECT doc_id, epoch, pos, CAST(epoch * per + pos // 8 AS BIGINT) AS batch, CAST((epoch * per + pos // 8) // 4 AS BIGINT) AS step
+FROM p WHERE pos < per * 8 {cond}
+"""
+
+
+def epoch_plan(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id")
+    return P.plan_epochs(d, ["doc_id"], batch=8, accum=4, drop_last=True, epochs=EPOCHS, seed=SEED) \
+        .select("doc_id", "epoch", "pos", "batch", "step")
+
+
+register("epoch_plan", _epochs_sql(""))(epoch_plan)
+
+
+def epoch_resume(spark, sf):
+    """The steps of the second half of an epoch and the first half of the next, without the plan."""
+    d = _numbered(spark, sf)
+    n = d.count()
+    first = n // 8 // 4 // 2
+    rows = P.rows_of_steps(spark, n, batch=8, accum=4, first_step=first, last_step=3 * first, drop_last=True, seed=SEED)
+    return rows.join(d.withColumnRenamed("t", "idx"), "idx").select("doc_id", "epoch", "pos", "batch", "step")
+
+
+_FIRST = "(n.c // 8 // 4 // 2)"
+register("epoch_resume", f"""
+SELECT p.* FROM ({_epochs_sql('')}) p, (SELECT count(*) AS c FROM documents) n
+WHERE step >= {_FIRST} AND step < 3 * {_FIRST}
+""")(epoch_resume)
+
+
+# ---------------------------------------------------------------------------
+# The mix from an index of draw counts; a part of it; the cursors at a position.
+
+DRAW_BLOCK = 256
+
+
+def interleave_indexed_q(spark, sf):
+    data = sources(spark, sf).select("source", "idx", "doc_id")
+    return D.interleave_indexed(spark, data, WEIGHTS, ["idx"], SEED, block=DRAW_BLOCK).select("k", "source", "epoch", "doc_id")
+
+
+register("interleave_indexed", _interleave_sql("all_exhausted"))(interleave_indexed_q)
+
+
+def interleave_resume(spark, sf):
+    """The mix from a position on, as a job that stopped there goes on."""
+    data = sources(spark, sf).select("source", "idx", "doc_id")
+    at = data.count() // 2
+    return D.interleave_indexed(spark, data, WEIGHTS, ["idx"], SEED, start=at, block=DRAW_BLOCK).select("k", "source", "epoch", "doc_id")
+
+
+register("interleave_resume", f"""
+SELECT i.* FROM ({_interleave_sql("all_exhausted")}) i, (SELECT count(*) // 2 AS half FROM documents) WHERE k >= half
+""")(interleave_resume)
+
+
+def mix_cursors(spark, sf):
+    """Rows read of each source before the middle of the mix, and its next row and epoch."""
+    got = {r["source"]: int(r["n"]) for r in sources(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {s: got[s] for s in WEIGHTS if s in got}
+    index, total = D.draw_index(spark, sizes, WEIGHTS, SEED, block=DRAW_BLOCK)
+    seen = index.rank(total // 2)
+    return spark.createDataFrame([(s, c, c % sizes[s], c // sizes[s]) for s, c in seen.items()],
+                                 "source string, drawn long, next_row long, epoch long")
+
+
+register("mix_cursors", f"""
+WITH {interleave_ctes("all_exhausted")},
+m AS (SELECT K // 2 AS half FROM e), x AS (SELECT c.source, count(*) AS drawn FROM c, m WHERE c.k < m.half GROUP BY c.source)
+SELECT n.source, coalesce(drawn, 0) AS drawn, coalesce(drawn, 0) % n.n AS next_row, coalesce(drawn, 0) // n.n AS epoch
+FROM n LEFT JOIN x ON x.source = n.source WHERE n.source IN ({", ".join(f"'{s}'" for s in WEIGHTS)})
+""")(mix_cursors)
