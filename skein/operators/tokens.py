@@ -88,8 +88,12 @@ def build_vocab(df: DataFrame, text: str = "text", size: int = 8192,
     plus those close to or tied with the last one instead of ``size`` rows
     from every partition of the distinct-token table.
     """
-    toks = df.select(F.explode(split_tokens(text, pattern)).alias("token"))
-    counts = stored(toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    return vocab_of(token_counts(df, [], text, pattern), size)
+
+
+def vocab_of(counted: DataFrame, size: int) -> DataFrame:
+    """``build_vocab`` from ``token_counts``, which may be split by further groups."""
+    counts = stored(counted.groupBy("token").agg(F.sum("c").cast("bigint").alias("n")), "token-counts")
     cand = counts.filter(F.col("n") >= count_floor(counts, size))
     top = cand.select("token", "n").orderBy(F.desc("n"), F.asc("token")).limit(size)
     # ``size`` rows at most: a single ordered task is bounded by the parameter.

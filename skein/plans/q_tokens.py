@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.functions.arrays import mask_pad
 from skein.operators import tokens as T
 from skein.plans.registry import load, register
+from skein.session import stored
 
 VOCAB = 4096
 BLOCK = 512
@@ -208,8 +209,8 @@ def tokenizer_compare(spark, sf):
     docs = _docs(spark, sf)
     out = None
     for name, pattern in (("word", T.WORD_PATTERN), ("piece", T.PIECE_PATTERN)):
-        vocab = T.build_vocab(docs, "text", VOCAB, pattern)
-        c = T.unk_counts(T.token_counts(docs, ["lang"], "text", pattern), ["lang"], vocab)
+        per = stored(T.token_counts(docs, ["lang"], "text", pattern), "lang-tokens")      # each text is split once
+        c = T.unk_counts(per, ["lang"], T.vocab_of(per, VOCAB))
         part = c.select("lang", F.lit(name).alias("tokenizer"), "n_tokens", "n_unk")
         out = part if out is None else out.unionByName(part)
     chars = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
@@ -261,7 +262,8 @@ def label_mask(spark, sf):
     id) and the position mask, from one row fitted to the block."""
     from skein.functions.arrays import mask_by_position
     docs = _docs(spark, sf)
-    ids = docs.select("doc_id", F.concat(T.byte_ids("text"), F.array(F.lit(T.EOS_ID))).alias("ids"))
+    # no more bytes than the block holds are split; a longer text loses its end token to the cut
+    ids = docs.select("doc_id", F.concat(T.byte_ids("text", MASK_BLOCK), F.array(F.lit(T.EOS_ID))).alias("ids"))
     ref = T.fit(ids, "ids", MASK_BLOCK, mask="pad_id")
     return ref.select("doc_id", "n_tok",
                       F.size(F.filter("labels", lambda x: x == -100)).alias("masked_ref"),
@@ -336,3 +338,51 @@ WITH w0 AS MATERIALIZED (SELECT count(*) AS c, regexp_replace(word, '(.)', chr(1
 
 
 register("bpe_merges", _bpe_sql())(bpe_merges)
+
+
+# ---------------------------------------------------------------------------
+# Texts encoded with a learnt BPE, and read back from the ids. The oracle unrolls the merges.
+
+ENCODE_MERGES = 24
+
+
+def bpe_encode(spark, sf):
+    from skein.operators import bpe
+    docs = _docs(spark, sf)
+    merges, vocab = bpe.train_bpe(docs, ENCODE_MERGES)
+    ids = bpe.encode_bpe(docs, ["doc_id"], merges, vocab, "text", T.PIECE_PATTERN)
+    back = T.decode(ids, ["doc_id", "ids"], vocab)
+    return back.select("doc_id", F.size("ids").alias("n_tok"), _digest("ids").alias("ids_md5"),
+                       F.md5("decoded").alias("text_md5"))
+
+
+def _encode_sql() -> str:
+    steps = []
+    for i in range(ENCODE_MERGES):
+        steps.append(f"""
+p{i} AS MATERIALIZED (SELECT l, r, CAST(sum(c) AS BIGINT) AS n FROM (
+      SELECT c, unnest(y[:-2]) AS l, unnest(y[2:]) AS r
+      FROM (SELECT c, regexp_extract_all(s, '\x01([^\x02]*)\x02', 1) AS y FROM w{i}) WHERE len(y) > 1)
+    GROUP BY l, r ORDER BY n DESC, l, r LIMIT 1),
+w{i + 1} AS MATERIALIZED (SELECT word, c, replace(s, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || r || chr(2)) AS s
+    FROM w{i}, p{i})""")
+    made = " UNION ALL ".join(f"SELECT {i} AS k, l || r AS token FROM p{i}" for i in range(ENCODE_MERGES))
+    return f"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '{T.PIECE_PATTERN}', 0) AS ws FROM documents),
+w0 AS MATERIALIZED (SELECT word, count(*) AS c, regexp_replace(word, '(.)', chr(1) || '\\1' || chr(2), 'gs') AS s
+       FROM (SELECT unnest(ws) AS word FROM t) GROUP BY word),
+{','.join(steps)},
+ch AS (SELECT token, sum(c) AS n FROM (SELECT unnest(string_split(word, '')) AS token, c FROM w0) GROUP BY token),
+v AS (SELECT token, row_number() OVER (ORDER BY k, n DESC, token) + 1 AS id FROM (
+      SELECT token, -1 AS k, n FROM ch UNION ALL SELECT token, min(k), 0 FROM ({made}) GROUP BY token)),
+e AS (SELECT word, p, token FROM (SELECT word, unnest(y) AS token, generate_subscripts(y, 1) AS p
+      FROM (SELECT word, regexp_extract_all(s, '\x01([^\x02]*)\x02', 1) AS y FROM w{ENCODE_MERGES}))),
+i AS (SELECT word, list(coalesce(id, 1) ORDER BY p) AS ids FROM e LEFT JOIN v USING (token) GROUP BY word),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM t),
+o AS (SELECT doc_id, flatten(list(ids ORDER BY q)) AS ids FROM u JOIN i USING (word) GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(len(ids), 0) AS INTEGER) AS n_tok, md5(coalesce(array_to_string(ids, ','), '')) AS ids_md5,
+       md5(text) AS text_md5
+FROM t LEFT JOIN o USING (doc_id)"""
+
+
+register("bpe_encode", _encode_sql())(bpe_encode)
