@@ -179,15 +179,66 @@ def test_secret_findings_of_all_documents_are_learnt(spark):
     rows = [(i, "plainwords and moretext only lorem ipsumipsum x%dy12" % i) for i in range(3000)]
     rows += [(10_000 + i, f"some words here token = {hexa(40)} after it") for i in range(20)]
     docs = docs_of(spark, rows)
-    model = secrets.fit(docs, max_docs=30)
+    model = secrets.fit(docs)
     assert model is not None
-    one = secrets.fit(docs_of(spark, rows[:2000] + rows[-1:]), max_docs=1)       # a single finding is enough
-    assert one is not None and secrets.fit(docs_of(spark, rows[:2000]), max_docs=30) is None
+    one = secrets.fit(docs_of(spark, rows[:2000] + rows[-1:]))       # a single finding is enough
+    assert one is not None and secrets.fit(docs_of(spark, rows[:2000])) is None
     keys = docs_of(spark, rows + [(20_000, "one 20 key api_key=abcdefgh12345678")])
     found = [r["findings"] for r in secrets.scan(keys, model).filter("doc_id >= 10000").collect()]
     assert len(found) == 21 and all(found)
 
 
+def secret_corpus(seed=8):
+    """Findings, secrets that no rule finds, and numbers of the same length that are none."""
+    rnd = random.Random(seed)
+    pick = lambda cs, n: "".join(rnd.choice(cs) for _ in range(n))
+    digits, hexa, key = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = []
+    for i in range(600):
+        rows.append((i, rnd.choice([f"use token = {pick(hexa, 40)} here", f'api_key: "{pick(key, 24)}" set', f"password={pick(key, 14)} next"])))
+        rows.append((1000 + i, f"order {pick(digits, 16)} came on 2024-0{rnd.randrange(1, 10)}-1{rnd.randrange(10)}, /data/2024/0{rnd.randrange(1, 10)}/file"))
+        rows.append((2000 + i, f"call 555-{pick(digits, 3)}-{pick(digits, 4)} about {pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)} at noon"))
+    rows += [(5000 + i, f"bearer: {pick(hexa, 20)}Z{pick(hexa, 19)} here") for i in range(10)]
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_secret_spans_do_not_depend_on_the_layout_and_spare_numbers(spark):
+    rows = secret_corpus()
+    seen = set()
+    for parts in (1, 3, 13, 64):
+        docs = docs_of(spark, rows).repartition(parts)
+        out = secrets.scan(docs, secrets.fit(docs, max_windows=1200)).collect()
+        model = {(r["doc_id"], f["start"], f["end"]) for r in out for f in r["findings"] if f["kind"] == "model"}
+        seen.add(frozenset(model))
+    assert len(seen) == 1
+    hit = {k for k, _, _ in model}
+    assert sum(k >= 5000 for k in hit) >= 9                            # no rule finds these
+    assert sum(1000 <= k < 5000 for k in hit) <= 12                    # of 2,400 runs that are no secrets
+
+
+def test_secret_candidates_and_windows():
+    text = "pwd: hunter22xyz plainwords key=abcdefghijklmnopqrstuvwxyz x1 Mixedcase CamelCase ALLCAPS12 " + "Ab1" * 100 + " token: abc12345"
+    data, off = text_arrays(pa.array([text]))
+    found = secrets.base_findings(text.encode(), data, off)
+    s, e, cand, _ = secrets.other_runs(data, off, found)
+    got = {text[a:z] for a, z in zip(s[cand], e[cand])}
+    assert got == {"hunter22xyz", "key=abcdefghijklmnopqrstuvwxyz", "CamelCase", "ALLCAPS12", "Ab1" * 100}
+    assert not any("abc12345" in text[a:z] for a, z in zip(s, e))       # a finding is no other run
+    run, a, z = secrets.slide(np.array([0, 100]), np.array([10, 400]))
+    assert run.tolist().count(0) == 1 and a[1] == 100 and a[-1] == 400 - secrets.BODY and max(np.diff(a[1:])) <= secrets.BODY // 2
+    w = secrets.windows(data, off, [0], [5], [16])
+    assert bytes(w[0]).strip(b"\0") == b"pwd: hunter22xyz" + b"\0" * (secrets.BODY - 11) + b" plainwo"
+
+
+def test_platt_settles_on_separated_classes():
+    z = np.array([-40.0] * 50 + [30.0] * 50)
+    y = (z > 0).astype(int)
+    a, b = secrets.platt(z, y, np.ones(100))
+    q = 1 / (1 + np.exp(-(a * z + b)))
+    assert 0 < a < 10 and abs(b) < 50 and (q[y == 1] > .9).all() and (q[y == 0] < .1).all()
+
+
 def test_network_gradient():
     """Training lowers the loss of a separable toy set to near zero."""
     rng = np.random.default_rng(0)
