@@ -111,9 +111,16 @@ def posteriors(docs: DataFrame, model: dict, names: Sequence[str], key: str = "d
         run, f"`{key}` {kind}, tokens long, " + ", ".join(f"`p_{x}` double" for x in names))
 
 
-def replay(post: np.ndarray, history: Sequence[np.ndarray], max_rate: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, look-ahead point) after the projected steps with the residuals in ``history``."""
+def replay(post: np.ndarray, history: Sequence[np.ndarray], max_rate: float | None,
+           hold: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, look-ahead point) after the projected steps with the residuals in ``history``. Rows whose likeliest
+    domain is ``hold`` keep rate 1."""
     r = np.ones(len(post))
+    if hold is not None:
+        free = post.argmax(axis=1) != hold
+        ahead = r.copy()
+        r[free], ahead[free] = replay(post[free], history, max_rate)
+        return r, ahead
     ahead, t = r, 1.0
     for e in history:
         new = np.clip(ahead - post @ e, 0.0, max_rate)
@@ -128,34 +135,38 @@ def fit_rates(post: DataFrame, names: Sequence[str], weights: Sequence[float], t
               max_steps: int = 40) -> tuple[list, dict]:
     """Residual history of the projected gradient, and a report.
 
-    ``total``: target tokens. Default: all expected tokens; with ``keep``, as
-    many as let that domain stay as it is, times ``slack``; with ``max_rate``
-    alone, the most that can meet the weights, times ``slack``."""
+    ``total``: target tokens. Default: all expected tokens; with ``keep``, the rows whose likeliest domain that is
+    keep rate 1, and the total is as many tokens as give their expected tokens of it its weight, times ``slack``; with
+    ``max_rate`` alone, the most that can meet the weights, times ``slack``. No domain is asked for more tokens than
+    there are, nor for fewer than the rows that are kept hold. The steps end when the targets are met within ``tol`` of the total or, with ``keep``, when
+    three steps in a row have changed nothing more (``stationary``): the report tells the residual either way."""
     cols = [f"p_{x}" for x in names]
     w = np.array(weights, float)
     if len(w) != len(names) or (w < 0).any() or w.sum() <= 0:
         raise ValueError("one nonnegative target weight per domain, not all zero")
 
+    hold = list(names).index(keep) if keep is not None and w[list(names).index(keep)] > 0 else None
+
     def sums(history):
-        at = "ahead"
+        """Expected tokens of each domain at the look-ahead point, at the rates, and of the rows that are held."""
 
         def run(batches):
             import pyarrow as pa
             for b in batches:
                 p = np.stack([b.column(1 + k).to_numpy() for k in range(len(cols))], axis=1)
                 tok = b.column(0).to_numpy().astype(float)
-                r, ahead = replay(p, history, max_rate)
-                yield pa.RecordBatch.from_arrays([pa.array([at, "rate"])] + [
-                    pa.array([float((tok * ahead) @ p[:, k]), float((tok * r) @ p[:, k])]) for k in range(len(cols))],
-                    names=["at", *cols])
+                r, ahead = replay(p, history, max_rate, hold)
+                held = tok * (p.argmax(axis=1) == hold) if hold is not None else 0 * tok
+                yield pa.RecordBatch.from_arrays([pa.array(["ahead", "rate", "held"])] + [
+                    pa.array([float((tok * ahead) @ p[:, k]), float((tok * r) @ p[:, k]), float(held @ p[:, k])])
+                    for k in range(len(cols))], names=["at", *cols])
 
         out = post.select("tokens", *cols).mapInArrow(run, "at string, " + ", ".join(f"`{c}` double" for c in cols)) \
-            .groupBy("at").agg(*[F.sum(c).alias(c) for c in cols]).collect()      # two rows
+            .groupBy("at").agg(*[F.sum(c).alias(c) for c in cols]).collect()      # three rows
         got = {r["at"]: np.array([r[c] for c in cols]) for r in out}
-        zero = np.zeros(len(cols))
-        return got.get(at, zero), got.get("rate", zero)
+        return [got.get(x, np.zeros(len(cols))) for x in ("ahead", "rate", "held")]
 
-    base, _ = sums([])
+    base, _, held = sums([])
     live = base > 0
     w = np.where(live, w, 0.0)
     if not live.any() or w.sum() == 0:
@@ -163,22 +174,26 @@ def fit_rates(post: DataFrame, names: Sequence[str], weights: Sequence[float], t
     w = w / w.sum()
     if total is None:
         use = w > 0
-        at = list(names).index(keep) if keep is not None else -1
-        if keep is not None and use[at]:
-            total = float(base[at] / w[at]) * slack
+        if hold is not None and w[hold] > 0:
+            total = float(held[hold] / w[hold]) * slack
         elif max_rate is not None:
             total = float((base[use] / w[use]).min()) * max_rate * slack
         else:
             total = float(base.sum())
     goal = w * total
+    if hold is not None:
+        goal = np.maximum(np.minimum(goal, base), held)
     history: list[np.ndarray] = []
-    ahead, reached = base, base
+    ahead, reached, quiet = base, base, 0
     for _ in range(max_steps):
-        if np.abs(reached - goal)[live].max() <= tol * total:
+        if np.abs(reached - goal)[live].max() <= tol * total or hold is not None and quiet >= 3:
             break
         history.append(np.where(live, (ahead - goal) / np.maximum(base, 1e-12), 0.0))
-        ahead, reached = sums(history)
-    return history, {"base": base, "target": goal, "reached": reached, "steps": len(history)}
+        before = reached
+        ahead, reached, _ = sums(history)
+        quiet = quiet + 1 if np.abs(reached - before).max() <= 0.1 * tol * total else 0
+    return history, {"base": base, "target": goal, "reached": reached, "steps": len(history), "stationary": quiet >= 3,
+                     "residual": float(np.abs(reached - goal)[live].max() / max(total, 1e-12))}
 
 
 def with_rates(post: DataFrame, names: Sequence[str], history: Sequence[np.ndarray], max_rate: float | None = None,
@@ -212,21 +227,23 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], target: C
 
 
 def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float], target: Column | None = None,
-         keep: str | None = "good", slack: float = 1.02, key: str = "doc_id", text: str = "text", per_class: int = 4000,
+         keep: str | None = "good", slack: float = 1.0, key: str = "doc_id", text: str = "text", per_class: int = 4000,
          seed: int = 42) -> tuple[DataFrame, dict]:
     """(input rows kept, report): rates of at most 1, each row kept with its rate as probability.
 
     Posteriors are computed again while filtering, so texts are not shuffled.
-    Documents of the domain ``keep`` stay: the targets ask for a little more
-    of it than there is (``slack``), which holds their rates at 1, and the
-    others are thinned to their weights next to it."""
+    Documents whose likeliest domain is ``keep`` stay (rate 1), and the
+    others are thinned to their weights next to it; see ``fit_rates``."""
     names = list(weights)
     model = fit_domains(docs, labels, domain_of() if target is None else target, len(names), key, text, per_class)
     post = save(posteriors(docs, model, names, key, text), "posteriors")
     history, report = fit_rates(post, names, [weights[x] for x in names], max_rate=1.0, keep=keep, slack=slack)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
+    hold = names.index(keep) if keep is not None and weights[keep] > 0 else None
     draw = "_draw"
+    while draw in docs.columns:
+        draw += "_"
 
     def run(batches):
         import pyarrow as pa
@@ -236,7 +253,7 @@ def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float], target:
             post_ = np.zeros((b.num_rows, len(names)))
             for lo, hi, row, feat, val, shp, _ in featurize(b.column(at), look, hasher):
                 post_[lo:hi] = softmax(logits(md, row, feat, val, shp, hi - lo))
-            rate = replay(post_, history, 1.0)[0]
+            rate = replay(post_, history, 1.0, hold)[0]
             u = b.column(b.num_columns - 1).to_numpy()
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(
                 pa.array(u < rate))

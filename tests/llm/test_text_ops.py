@@ -453,7 +453,8 @@ def test_mixing_meets_targets(spark):
 def test_mixing_edges_and_thinning(spark):
     docs, labels = labelled(spark)
     weights = {"good": 0.9, "poor": 0.06, "toxic": 0.04}
-    kept, _ = mixing.thin(docs, labels, weights)
+    kept, told = mixing.thin(docs, labels, weights)
+    assert told["residual"] < 0.05 and (told["target"] <= told["base"] * (1 + 1e-9)).all()
     ids = {r["doc_id"] for r in kept.collect()}
     assert kept.columns == docs.columns
     assert all(i in ids for i in range(400) if i % 4 in (0, 3))          # the good domain stays

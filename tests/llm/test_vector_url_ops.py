@@ -245,6 +245,26 @@ def test_language_query_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
 
 
+def test_pipeline_stages_decide_row_by_row(spark):
+    import corpus_pipeline as P
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, a + " end", 1), (2, a, 1), (5, b, 1), (None, a, 1), (None, "other words of their own here", 1), (7, None, 1),
+            (8, "", 1), (8, "", 1), (9, b, 1)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 3, {"m": n}, 0.5) for k, t, n in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _rid map<string, int>, _draw double")
+    for parts in (1, 7):
+        out = P.near_duplicates(spark, docs.repartition(parts), "")
+        assert out.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(
+            [(2, a), (5, b), (None, "other words of their own here"), (7, None), (8, ""), (8, "")], key=repr)
+    assert P.near_duplicates(spark, docs.limit(0), "").count() == 0
+    sf = "/root/testdata/sf0.001"
+    for stage in (P.secret_scan, P.mix_sources):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.filter("doc_id = 7").first()["text"] is None
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     sf = "/root/testdata/sf0.001"
