@@ -45,6 +45,51 @@ def lookup_vectors(df: DataFrame, keys: Sequence[str], ids: str, vec: DataFrame,
     return ex.join(v, "_skein_id").withColumnRenamed("_skein_id", "id")
 
 
+def frequent(df: DataFrame, column: str, counters: int = 1024) -> DataFrame:
+    """(value, least): the values that may hold over 1 / ``counters`` of all rows, with a lower bound of their count.
+
+    Each task keeps a Misra-Gries summary of ``counters`` values, so what it emits and holds is bounded and every
+    value of such a share in the whole table is among them. NULLs are left out."""
+    kind = df.select(column).schema[0].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        value, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            new = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            value, place = np.unique(np.concatenate([value, new]), return_inverse=True)
+            count = np.bincount(place, np.concatenate([count, np.ones(len(new), np.int64)]), len(value)).astype(np.int64)
+            if len(value) > counters:                                   # all lose as much as the first one left out has
+                count -= np.partition(count, -counters - 1)[-counters - 1]
+                value, count = value[count > 0], count[count > 0]
+        yield pa.RecordBatch.from_pydict({"value": pa.array(value), "least": pa.array(count)})
+
+    return df.select(F.col(column).cast("bigint")).mapInArrow(run, "value bigint, least bigint") \
+        .groupBy("value").agg(F.sum("least").alias("least")).select(F.col("value").cast(kind).alias("value"), "least")
+
+
+def lookup_vectors_split(df: DataFrame, keys: Sequence[str], ids: str, vec: DataFrame, vkey: str = "id", varr: str = "vec",
+                         counters: int = 1024) -> DataFrame:
+    """J1 for skewed ids and a vector table of any size: the rows of ``lookup_vectors``.
+
+    Frequent ids (``frequent``; at most ``counters``, and fewer where their vectors would pass
+    ``BROADCAST_BYTES``) meet their vectors by a broadcast, without a shuffle; the others, none of which fills a task, by
+    a shuffle join."""
+    ex = df.select(*keys, F.posexplode(ids).alias("pos", "_skein_id"))
+    v = vec.select(F.col(vkey).alias("_skein_id"), F.col(varr).alias("vec"))
+    longest = v.agg(F.max(F.size("vec"))).first()[0] or 0
+    most = max(1, min(counters, BROADCAST_BYTES // (8 * longest + 16)))
+    hot = [r["value"] for r in frequent(ex, "_skein_id", counters).orderBy(F.desc("least"), "value").limit(most).collect()]
+    if not hot:
+        return ex.join(v, "_skein_id").withColumnRenamed("_skein_id", "id")
+    kind = v.schema["_skein_id"].dataType
+    few = df.sparkSession.createDataFrame([(h,) for h in hot], "_skein_id long").select(F.col("_skein_id").cast(kind))
+    near = ex.join(F.broadcast(v.join(F.broadcast(few), "_skein_id", "left_semi")), "_skein_id")
+    far = ex.join(F.broadcast(few), "_skein_id", "left_anti").join(v.join(F.broadcast(few), "_skein_id", "left_anti"), "_skein_id")
+    return near.unionByName(far).withColumnRenamed("_skein_id", "id")
+
+
 def _width(df: DataFrame, arr: str, width: int | None) -> int:
     """Number of dimensions: given, or the longest array (one pass)."""
     return width if width is not None else (df.agg(F.max(F.size(arr))).first()[0] or 0)

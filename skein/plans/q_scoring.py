@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators import halting as W
 from skein.operators import sampling as L
 from skein.operators import scoring as A
+from skein.operators import sharded as S
 from skein.operators import tokens as T
 from skein.plans.derive import PRED_SQL, RUN_METRICS_SQL, pred_rows, run_metrics, sources, steplog
 from skein.plans.q_halting import MAXS, ORDER, halting_sql
@@ -55,6 +56,24 @@ def score_stablemax(spark, sf):
 register("score_stablemax", f"WITH {_tok_sql(_STABLE_NLL)} {_SEQ_SELECT}")(score_stablemax)
 
 
+# The same losses from logits that are cut into vocabulary shards.
+SHARD = 24
+
+
+def score_softmax_sharded(spark, sf):
+    shards = S.shard_logits(pred_rows(spark, sf), SHARD)
+    return _seq_cols(A.score_sequences(S.score_shards(shards, ["seq_id", "pos"], SHARD, "softmax")))
+
+
+def score_stablemax_sharded(spark, sf):
+    shards = S.shard_logits(pred_rows(spark, sf), SHARD)
+    return _seq_cols(A.score_sequences(S.score_shards(shards, ["seq_id", "pos"], SHARD, "stablemax")))
+
+
+register("score_softmax_sharded", f"WITH {_tok_sql(_SOFTMAX_NLL)} {_SEQ_SELECT}")(score_softmax_sharded)
+register("score_stablemax_sharded", f"WITH {_tok_sql(_STABLE_NLL)} {_SEQ_SELECT}")(score_stablemax_sharded)
+
+
 def _rollup(spark, sf):
     seq = A.score_sequences(A.score_tokens(pred_rows(spark, sf), "softmax"))
     state = W.halt_state(W.halt_targets(W.halt_steps(steplog(spark, sf), ORDER, MAXS, True), MAXS))

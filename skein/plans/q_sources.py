@@ -17,7 +17,7 @@ from skein.operators import sampling as L
 from skein.operators.formatting import resolve_text
 from skein.plans.derive import RUN_METRICS_SQL, run_metrics, sources
 from skein.plans.q_sampling import LARGE_Q, MIX_SPECS
-from skein.plans.registry import load, register
+from skein.plans.registry import ORACLE, load, register
 from skein.sources import sinks
 from skein.sources.readers import read_mix, read_source, read_source_stream
 from skein.streaming import prepare as X
@@ -158,6 +158,23 @@ FROM b GROUP BY run_id, metric
 """)(metrics_log)
 
 
+def metrics_rerun(spark, sf):
+    """S11 with a job that runs again: the second write of an id replaces the first."""
+    path = X.scratch(spark, "metrics-rerun")
+    loss = run_metrics(spark, sf)
+    sinks.put_metrics(loss.filter("step % 3 = 0"), path, "loss")            # broken off, then run again
+    sinks.put_metrics(loss, path, "loss")
+    both = loss.withColumn("metric", F.lit("perplexity")).withColumn("value", F.exp("value"))
+    sinks.put_metrics(both.unionByName(both), path, "perplexity")
+    sinks.put_metrics(loss, path, "loss")
+    return spark.read.parquet(path).groupBy("run_id", "metric").agg(
+        F.count(F.lit(1)).alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"),
+        F.round(F.max("value"), 6).alias("top"))
+
+
+register("metrics_rerun", ORACLE["metrics_log"])(metrics_rerun)
+
+
 def map_rows_q(spark, sf):
     """A Python function of one row over whole texts."""
     def fn(row):

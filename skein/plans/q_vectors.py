@@ -8,7 +8,7 @@ from skein.functions.hashing import hash_uniform
 from skein.operators import tokens as T
 from skein.operators import vectors as J
 from skein.plans.derive import PRED_SQL, pred_rows, sql_hash_uniform
-from skein.plans.registry import load, register
+from skein.plans.registry import ORACLE, load, register
 
 SEED = 42
 
@@ -46,6 +46,21 @@ FROM p JOIN n ON p.item_id = n.item_id GROUP BY p.item_id, n.n_found
 """)(vector_lookup)
 
 
+def vector_lookup_split(spark, sf):
+    """J1 over the whole vector table: frequent ids by broadcast, the others by shuffle."""
+    bench = load(spark, sf, "benchmark").select("item_id", "text")
+    ids = T.tokenize_bytes(bench, ["item_id"], "text", None).select("item_id", "ids")
+    looked = J.lookup_vectors_split(ids, ["item_id"], "ids", _emb(spark, sf), counters=16)
+    pooled = J.mean_pool(looked, ["item_id"])
+    total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)
+    square = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
+    return pooled.select("item_id", "n_found", F.round(total, 6).alias("pooled_sum"),
+                         F.round(F.sqrt(square), 6).alias("pooled_l2"))
+
+
+register("vector_lookup_split", ORACLE["vector_lookup"])(vector_lookup_split)
+
+
 def _grads(spark, sf):
     pred = pred_rows(spark, sf).filter(F.col("label") != -100)
     return J.sum_vectors(pred.select(F.col("label").alias("id"), F.col("logits").alias("grad")))

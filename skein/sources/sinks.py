@@ -30,3 +30,14 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.select(F.col("run_id").cast("string"), F.col("step").cast("bigint"),
                    F.col("metric").cast("string"), F.col("value").cast("double")).toDF(*cols) \
         .write.mode("append").partitionBy("metric").parquet(path)
+
+
+def put_metrics(metrics: DataFrame, path: str, write_id: str) -> None:
+    """S11, repeatable: the rows of one write, in partitions (metric, write_id) of their own.
+
+    A job that runs again under the same ``write_id`` replaces what it wrote before, so nothing is counted twice; other
+    writes stay. Equal (run_id, step, metric) within a write are one row, the one of greatest value."""
+    rows = metrics.select(F.col("run_id").cast("string"), F.col("step").cast("bigint"), F.col("metric").cast("string"),
+                          F.col("value").cast("double")) \
+        .groupBy("run_id", "step", "metric").agg(F.max("value").alias("value")).withColumn("write_id", F.lit(write_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "write_id").parquet(path)
