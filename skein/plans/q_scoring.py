@@ -9,12 +9,14 @@ from skein.operators import halting as W
 from skein.operators import sampling as L
 from skein.operators import scoring as A
 from skein.operators import sharded as S
+from skein.operators import sketches as K
 from skein.operators import tokens as T
 from skein.plans.derive import PRED_SQL, RUN_METRICS_SQL, pred_rows, run_metrics, sources, steplog
 from skein.plans.q_halting import MAXS, ORDER, halting_sql
 from skein.plans.q_mixing import _weights_sql
 from skein.plans.q_tokens import BLOCK, VOCAB, _vocab_sql
 from skein.plans.registry import load, register
+from skein.session import stored
 
 _SOFTMAX_NLL = "(m + ln(list_sum(list_transform(logits, lambda x: exp(x - m)))) - logits[label + 1])"
 _STABLE_S = "list_transform(logits, lambda x: CASE WHEN x < 0 THEN 1.0 / (1.0 - x + 1e-30) ELSE x + 1.0 END)"
@@ -276,3 +278,45 @@ x AS (SELECT e.lang, -ln(c.n / tot.total) AS nll FROM e JOIN c ON e.token = c.to
 SELECT lang AS source, count(*) AS n_tokens, round(avg(nll), 6) AS loss, round(exp(avg(nll)), 6) AS perplexity
 FROM x GROUP BY lang
 """)(perplexity_by_source)
+
+
+# ---------------------------------------------------------------------------
+# A16/L9 from mergeable sketches, next to the exact counts and within the stated bound of them.
+
+def _word_rows(spark, sf):
+    docs = load(spark, sf, "documents").select("lang", "source", "doc_id", "text")
+    return docs.select("lang", "source", (F.col("doc_id") % 10 == 0).alias("is_eval"), F.explode(T.split_tokens("text")).alias("word"))
+
+
+def sketch_distinct(spark, sf):
+    """Distinct words of each language from stored sketches of its sources, with the exact number."""
+    words = _word_rows(spark, sf)
+    parts = stored(K.sketch_table(words, ["lang", "source"], "word"), "sketches")
+    got = K.estimates(K.merge_sketches(parts, ["lang"]))
+    exact = T.token_counts(load(spark, sf, "documents").select("lang", "text"), ["lang"]) \
+        .groupBy("lang").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("c").cast("bigint").alias("n_words"))
+    return got.join(exact, "lang").select("lang", "n_words", "n_distinct", (F.col("n_rows") == F.col("n_words")).alias("all_rows"),
+                                          (F.abs(F.col("estimate") - F.col("n_distinct")) <= F.col("margin")).alias("within"))
+
+
+register("sketch_distinct", f"""
+WITH e AS (SELECT lang, unnest(regexp_extract_all(text, '{T.WORD_PATTERN}', 0)) AS word FROM documents)
+SELECT lang, count(*) AS n_words, count(DISTINCT word) AS n_distinct, true AS all_rows, true AS within FROM e GROUP BY lang
+""")(sketch_distinct)
+
+
+def sketch_overlap(spark, sf):
+    """Words that the training and the eval part of a language share, from sketches of both, with the exact number."""
+    words = _word_rows(spark, sf)
+    parts = stored(K.sketch_table(words, ["lang", "is_eval"], "word"), "sketches")
+    got = K.overlaps(parts.filter("not is_eval"), parts.filter("is_eval"), ["lang"])
+    exact = words.groupBy("lang", "word").agg(F.min("is_eval").alias("a"), F.max("is_eval").alias("b")).filter("not a and b") \
+        .groupBy("lang").agg(F.count(F.lit(1)).alias("n_both"))
+    return got.join(exact, "lang").select("lang", "n_both", (F.abs(F.col("estimate") - F.col("n_both")) <= F.col("margin")).alias("within"))
+
+
+register("sketch_overlap", f"""
+WITH e AS (SELECT DISTINCT lang, doc_id % 10 = 0 AS is_eval, unnest(regexp_extract_all(text, '{T.WORD_PATTERN}', 0)) AS word FROM documents),
+b AS (SELECT lang, word FROM e GROUP BY lang, word HAVING count(*) = 2)
+SELECT lang, count(*) AS n_both, true AS within FROM b GROUP BY lang
+""")(sketch_overlap)
