@@ -19,6 +19,7 @@ from skein.plans.q_format import wrap_prompt_q
 from skein.plans.registry import ORACLE, load, register
 from skein.streaming import prepare as X
 from skein.streaming.halting import stream_halting as _stream_halting
+from skein.streaming.quota import stream_quota_state
 
 SEED = 42
 
@@ -96,6 +97,30 @@ def stream_quota_q(spark, sf):
 register("stream_quota", ORACLE["eval_quota"])(stream_quota_q)
 
 
+def stream_quota_state_q(spark, sf):
+    """X4 with the quota in the state store: documents in several files, one file a trigger."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    src, sink, ckpt = X.scratch(spark, "quota-in"), X.scratch(spark, "quota-out"), X.scratch(spark, "ckpt")
+    docs = load(spark, sf, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("idx"))
+    for lo, hi in ((None, 0.3), (0.3, 0.6), (0.6, None)):               # files in the order of idx, as they would arrive
+        cuts = docs.agg(*[F.percentile_approx("idx", x or 0.0).alias(c) for c, x in (("lo", lo), ("hi", hi))]).first()
+        part = docs.filter((F.lit(True) if lo is None else F.col("idx") > cuts["lo"])
+                           & (F.lit(True) if hi is None else F.col("idx") <= cuts["hi"]))
+        part.coalesce(1).write.mode("append").parquet(src)
+    sdf = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = stream_quota_state(sdf, "source", ["idx"], q_sampling.EVAL_SIZE // 4)
+    try:
+        out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt) \
+           .trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema(docs.schema).parquet(sink).select("source", "idx")
+
+
+register("stream_quota_state", ORACLE["eval_quota"])(stream_quota_state_q)
+
+
 def stream_halting_q(spark, sf):
     """The halting rule as per-sequence streaming state."""
     ev = _stream_of(spark, sf, "events")
