@@ -9,6 +9,7 @@ the oracles are the batch queries' SQL.
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.operators import infer as U
@@ -164,6 +165,27 @@ def tokenize_udf(spark, sf):
 register("tokenize_udf", ORACLE["tokenize_bytes"])(tokenize_udf)
 
 
+def stream_vocab_q(spark, sf):
+    """The vocabulary after the last of three triggers: active tokens, counts; ids are unique and gapless."""
+    from skein.streaming import vocabulary as V
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    src, path, ckpt = X.scratch(spark, "vocab-in"), X.scratch(spark, "vocab-state"), X.scratch(spark, "ckpt")
+    for third in range(3):                                 # each row in one of three writes
+        docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == third).write.mode("append").parquet(src)
+    files = -(-len(spark.read.parquet(src).inputFiles()) // 3)
+    V.stream_vocab(X.file_stream(spark, src, docs.schema, max_files_per_trigger=files), path, ckpt,
+                   size=q_tokens.VOCAB).awaitTermination()
+    vocab = V.latest_vocab(spark, path)
+    ids = vocab.agg(F.count_distinct("id").alias("k"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    gapless = ids["k"] == ids["n"] and (ids["top"] or T.FIRST_WORD_ID - 1) == ids["n"] + T.FIRST_WORD_ID - 1
+    return vocab.filter("active").select("token", "n", F.lit(gapless).alias("ids_gapless"))
+
+
+register("stream_vocab", f"""
+SELECT token, n, true AS ids_gapless FROM ({ORACLE['build_vocab']})
+""")(stream_vocab_q)
+
+
 def shards_roundtrip(spark, sf):
     """The interleaved plan written as 8 range shards of k, read back."""
     from skein.operators import mixing as M
@@ -180,6 +202,48 @@ def shards_roundtrip(spark, sf):
 register("shards_roundtrip", ORACLE["interleave_exhausted"])(shards_roundtrip)
 
 
+def _plan_shards(spark, sf):
+    from skein.operators import mixing as M
+    from skein.plans.q_mixing import WEIGHTS
+    from skein.plans.derive import sources
+    from skein.sources.shards import write_shard_set
+    data = sources(spark, sf).select("source", "idx", "doc_id")
+    plan = M.interleave(spark, data, WEIGHTS, ["idx"], SEED, "all_exhausted").select("k", "source", "epoch", "doc_id")
+    path = X.scratch(spark, "shard-set")
+    return path, write_shard_set(plan, path, 1, 8, "k")
+
+
+def shards_resume(spark, sf):
+    """The interleaved plan as a shard set, read from two thirds of its rows on."""
+    from skein.sources.shards import read_shard_set
+    path, m = _plan_shards(spark, sf)
+    n = m.agg(F.sum("n_rows")).first()[0] or 0
+    return read_shard_set(spark, path, start=2 * n // 3)
+
+
+register("shards_resume", f"""
+WITH p AS ({ORACLE['interleave_exhausted']})
+SELECT * FROM p WHERE k >= (SELECT 2 * count(*) // 3 FROM p)
+""")(shards_resume)
+
+
+def shards_manifest(spark, sf):
+    """What the manifest says of the set (rows, range, order of the shards) and how many shards differ from it."""
+    from skein.sources.shards import damaged_shards
+    path, m = _plan_shards(spark, sf)
+    bad = damaged_shards(spark, path).select("file", F.lit(True).alias("bad"))
+    before = F.max("last").over(Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1))   # one row a shard
+    return m.withColumn("before", before).join(bad, "file", "left").agg(
+        F.sum("n_rows").alias("n_rows"), F.min("first").alias("first_k"), F.max("last").alias("last_k"),
+        F.count("bad").alias("n_damaged"), F.count_if(F.col("before") >= F.col("first")).alias("n_overlaps"))
+
+
+register("shards_manifest", f"""
+WITH p AS ({ORACLE['interleave_exhausted']})
+SELECT count(*) AS n_rows, min(k) AS first_k, max(k) AS last_k, CAST(0 AS BIGINT) AS n_damaged, CAST(0 AS BIGINT) AS n_overlaps FROM p
+""")(shards_manifest)
+
+
 def stream_bytes(spark, sf):
     """X1 direct form: the byte tokenizer has no aggregation, so the stream
     is a plain projection written in append mode (exactly-once file sink)."""
