@@ -140,6 +140,31 @@ def stream_halting_q(spark, sf):
 register("stream_halting", ORACLE["halt_steps_train"])(stream_halting_q)
 
 
+def stream_halting_state_q(spark, sf):
+    """X5 with the counters in the state store: the events arrive in three parts by time, the stream starts anew for each."""
+    from skein.plans.derive import steplog
+    from skein.streaming.halting_state import stream_halting_state
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    steps = steplog(spark, sf).select("seq_id", F.col("ts_us").cast("long"), "event_id", F.col("q_halt").cast("double"),
+                                      F.col("q_continue").cast("double"))
+    src, sink, ckpt = X.scratch(spark, "steps-in"), X.scratch(spark, "steps-out"), X.scratch(spark, "ckpt")
+    cuts = steps.agg(F.percentile_approx("ts_us", [1 / 3, 2 / 3])).first()[0] or [0, 0]
+    part = F.when(F.col("ts_us") <= cuts[0], 0).when(F.col("ts_us") <= cuts[1], 1).otherwise(2)
+    try:
+        for third in range(3):
+            steps.filter(part == third).write.mode("append").parquet(src)
+            out = stream_halting_state(X.file_stream(spark, src, steps.schema), q_halting.MAXS, True)
+            out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt) \
+               .trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.parquet(sink).select("seq_id", "event_id", "rank", "step", "halted")
+
+
+register("stream_halting_state", ORACLE["halt_steps_train"])(stream_halting_state_q)
+
+
 def batch_infer_q(spark, sf):
     """U4: a user model over the wrapped prompt table (built once per worker)."""
     prompts = wrap_prompt_q(spark, sf)
