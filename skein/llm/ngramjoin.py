@@ -22,6 +22,13 @@ least ``percent`` / 100. The result is one row per text with its component.
    |x & y| <= min(|x & h|, |y & h|) + min(|x \\ h|, |y \\ h|) when both know
    their overlap with one hub h. The rest are verified exactly.
 
+6. Numbers of links, if asked for, are derived from a component's *center* h, the
+   hub of most of its sets. Each set is kept as its differences from h, and
+   |x & y| = |x & h| + |y & h| - |h| + |h\\x & h\\y| + |x\\h & y\\h|. The first three terms alone
+   settle most pairs: sets so close to h that any two of them must link (*inner*
+   ones) take each other's number of copies without any comparison; pairs with an outer set
+   are counted in blocks, by those bounds and, where they leave it open, by the differences.
+
 No filter drops a pair that links, so components are exact up to 64-bit hash
 collisions. Sets stay distributed; tables between steps are in the shared
 folder. Hot groups: copies collapse in step 1, near copies in step 4.
@@ -47,6 +54,9 @@ BUCKET_BYTES = 24 << 20           # text bytes per bucket at most, about
 CHUNK = 4 << 20
 MAX_ROWS = 1 << 15                # rows of a chunk fit 16 bits
 BLOCK = 128
+BLOCK_SETS = 256                  # sets of a component in a block, about
+SALT_SETS = 1024                  # sets of a component that meet one copy of its center, about
+TOKENS = 4096
 _ORDER = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                    0xE7037ED1A0B428DB], np.uint64)
 
@@ -339,10 +349,131 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("a", "b", "inter", "linked")
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set of tokens."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    lt, rt = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
+    both = np.intersect1d(lt, rt)
+    if not len(both):
+        return out
+
+    def cells(tok, sets):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, tok), len(both) - 1)
+        hit = both[at] == tok
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], row[hit][order]
+
+    (la, lr), (ra, rr) = cells(lt, left), cells(rt, right)
+    for lo in range(0, len(both), TOKENS):
+        dense = []
+        for at, row, m in ((la, lr, len(left)), (ra, rr, len(right))):
+            i, j = np.searchsorted(at, [lo, lo + TOKENS])
+            x = np.zeros((m, min(TOKENS, len(both) - lo)), np.float32)
+            x[row[i:j], at[i:j] - lo] = 1
+            dense.append(x)
+        out += (dense[0] @ dense[1].T).astype(np.int64)         # at most TOKENS: exact in 32 bits
+    return out
+
+
+def linked_pairs(nx, ix, dx, ax, ny, iy, dy, ay, u: int, percent: int) -> np.ndarray:
+    """Which sets of two blocks link, from sizes, overlaps with the center (``u`` tokens) and differences from it."""
+    need = need_pair(nx[:, None], ny[None, :], percent)
+    least = ix[:, None] + iy[None, :] - u
+    link = least >= need
+    size = [np.array([len(t) for t in x], np.int64) for x in (dx, dy, ax, ay)]
+    most = least + np.minimum(size[0][:, None], size[1][None, :]) + np.minimum(size[2][:, None], size[3][None, :])
+    unsettled = ~link & (most >= need)
+    rows, cols = np.flatnonzero(unsettled.any(axis=1)), np.flatnonzero(unsettled.any(axis=0))
+    if len(rows):
+        inter = least[np.ix_(rows, cols)] + _common([dx[i] for i in rows], [dy[j] for j in cols]) \
+            + _common([ax[i] for i in rows], [ay[j] for j in cols])
+        link[np.ix_(rows, cols)] |= inter >= need[np.ix_(rows, cols)]
+    return link
+
+
+def _block_links(percent: int):
+    """Per pair of blocks of one component: how many documents of the other block each set links with."""
+    def run(table):
+        import pyarrow as pa
+        table = table.combine_chunks()
+        side = table.column("side").to_numpy()
+        cols = {c: table.column(c).to_numpy() for c in ("sig", "n", "ix", "w")}
+        lists = {}
+        for c in ("d", "a"):
+            arr = table.column(c).combine_chunks()
+            off, flat = arr.offsets.to_numpy(), arr.values.to_numpy()
+            lists[c] = [flat[off[i]:off[i + 1]] for i in range(len(arr))]
+        u = int(table.column("u")[0].as_py())
+        one = bool(table.column("same")[0].as_py())
+        x = np.arange(len(side)) if one else np.flatnonzero(side == 0)
+        y = x if one else np.flatnonzero(side == 1)
+        link = linked_pairs(cols["n"][x], cols["ix"][x], [lists["d"][i] for i in x], [lists["a"][i] for i in x],
+                            cols["n"][y], cols["ix"][y], [lists["d"][i] for i in y], [lists["a"][i] for i in y], u, percent)
+        if one:
+            np.fill_diagonal(link, False)
+        got = [(cols["sig"][x], link @ cols["w"][y])]
+        if not one:
+            got.append((cols["sig"][y], cols["w"][x] @ link))
+        return pa.table({"sig": pa.array(np.concatenate([a for a, _ in got])),
+                         "k": pa.array(np.concatenate([b for _, b in got]).astype(np.int64))})
+    return run
+
+
+def _link_counts(whole: DataFrame, checked: DataFrame, sets: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(sig, links): documents of other sets that a set of a component (node, root) links with; ``copies`` has (sig, w)."""
+    votes = checked.filter("linked").groupBy("b").agg(F.count(F.lit(1)).alias("k"))
+    best = votes.join(whole, F.col("b") == F.col("node")).groupBy("root").agg(F.max_by("b", F.struct("k", "b")).alias("hub"))
+    centers = whole.groupBy("root").agg(F.count(F.lit(1)).alias("m")).join(best, "root", "left") \
+        .select("root", "m", F.coalesce("hub", "root").alias("center"))
+
+    def salts(m):
+        return F.greatest(F.lit(1), F.ceil(m / F.lit(SALT_SETS))).cast("int")
+
+    def salted(df):                                 # a row for each salt of a component
+        return df.withColumn("salt", F.explode(F.sequence(F.lit(0), salts(F.col("m")) - 1)))
+    heads = salted(centers.join(sets.select(F.col("sig").alias("center"), F.col("toks").alias("h")), "center")) \
+        .select("root", "salt", "h")
+    member = whole.join(centers.select("root", "m"), "root") \
+        .select(F.col("node").alias("sig"), "root", "m", F.pmod(F.xxhash64("node"), salts(F.col("m"))).cast("int").alias("salt"))
+    total = F.lit(100 + percent)
+    placed = member.join(sets, "sig").join(copies, "sig").join(heads, ["root", "salt"]).select(
+        "sig", "root", "m", "salt", F.col("n").cast("long").alias("n"), F.col("w").cast("long").alias("w"),
+        F.size("h").cast("long").alias("u"), F.array_except("h", "toks").alias("d"), F.array_except("toks", "h").alias("a")) \
+        .withColumn("ix", F.col("u") - F.size("d")) \
+        .withColumn("inner", 2 * (total * F.col("ix") - F.lit(percent) * F.col("n")) >= total * F.col("u"))
+    placed = save(placed, "differences")
+    blocks = F.ceil(F.count_if(F.col("inner")) / F.lit(BLOCK_SETS)).cast("int")
+    stats = placed.groupBy("root").agg(
+        F.max("m").alias("m"), F.sum("w").alias("w_all"), F.sum(F.when(F.col("inner"), F.col("w"))).alias("w_inner"),
+        F.ceil(F.count_if(~F.col("inner")) / F.lit(BLOCK_SETS)).cast("int").alias("outs"), blocks.alias("ins"))
+    known = placed.join(salted(stats).drop("m"), ["root", "salt"])
+    # Two sets of a component link; inner ones link with each other.
+    sure = known.select("sig", F.when(F.col("m") == 2, F.col("w_all") - F.col("w"))
+                        .when(F.col("inner"), F.col("w_inner") - F.col("w")).otherwise(F.lit(0)).alias("k"))
+    at = F.pmod(F.xxhash64("sig", F.lit(1)), F.when(F.col("inner"), F.col("ins")).otherwise(F.col("outs"))).cast("int")
+
+    def steps(n):
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    meets = F.when(F.col("inner"), F.transform(steps(F.col("outs")), lambda j: F.struct(
+        F.lit(1).alias("kind"), j.alias("i"), F.col("at").alias("j"), F.lit(1).alias("side")))).otherwise(F.concat(
+            F.transform(steps(F.col("outs")), lambda j: F.struct(
+                F.lit(0).alias("kind"), F.least("at", j).alias("i"), F.greatest("at", j).alias("j"),
+                (F.col("at") > j).cast("int").alias("side"))),
+            F.transform(steps(F.col("ins")), lambda j: F.struct(
+                F.lit(1).alias("kind"), F.col("at").alias("i"), j.alias("j"), F.lit(0).alias("side")))))
+    dealt = known.filter("m > 2").withColumn("at", at).withColumn("meet", F.explode(meets)).select(
+        "root", "meet.kind", "meet.i", "meet.j", "meet.side", "sig", "n", "ix", "w", "u", "d", "a",
+        ((F.col("meet.kind") == 0) & (F.col("meet.i") == F.col("meet.j"))).alias("same"))
+    counted = dealt.groupBy("root", "kind", "i", "j").applyInArrow(_block_links(percent), "sig long, k long")
+    return sure.unionByName(counted).groupBy("sig").agg(F.sum("k").cast("long").alias("links"))
+
+
 def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5,
-               percent: int = 75) -> DataFrame:
+               percent: int = 75, links: bool = False) -> DataFrame:
     """(key, n_shingles, component_id): one row per input row; component_id is the
-    smallest key reachable by links, the own key included."""
+    smallest key reachable by links, the own key included. With ``links`` also
+    n_links: the number of other rows that the row links with directly."""
     if not 50 < percent <= 100 or size < 1:
         raise ValueError("percent must be over 50 and at most 100, size at least 1")
     spark = docs.sparkSession
@@ -390,7 +521,14 @@ def join_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     of_root = member.groupBy("root").agg(F.min("least").alias("low"))
     low = member.join(of_root, "root").select("sig", "low")
     per_set = least.join(low, "sig", "left").select("sig", F.coalesce("low", "least").alias("component_id"))
+    more = []
+    if links:
+        copies = texts.filter("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
+        counts = _link_counts(whole, checked, sets, copies, percent)
+        per_set = per_set.join(copies, "sig").join(counts, "sig", "left") \
+            .select("sig", "component_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("k"))
+        more = [F.coalesce("k", F.lit(0)).alias("n_links")]
     per_set = per_set.withColumnRenamed("sig", "_s")
     return texts.join(per_set, (F.col("sig") == F.col("_s")) & (F.col("n") > 0), "left") \
         .select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
-                F.coalesce("component_id", "key").alias("component_id"))
+                F.coalesce("component_id", "key").alias("component_id"), *more)

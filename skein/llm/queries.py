@@ -190,11 +190,13 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.
       GROUP BY a.doc_id, b.doc_id),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+k AS (SELECT a, count(*) AS k FROM e GROUP BY a),
 r(node, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.low FROM r JOIN e ON r.node = e.a)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(low)::BIGINT AS component_id
-FROM r LEFT JOIN n ON n.doc_id = node JOIN documents d ON d.doc_id = node GROUP BY d.doc_id""")
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(low)::BIGINT AS component_id,
+       coalesce(any_value(k.k), 0)::BIGINT AS n_links
+FROM r LEFT JOIN n ON n.doc_id = node LEFT JOIN k ON k.a = node JOIN documents d ON d.doc_id = node GROUP BY d.doc_id""")
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.join_texts(table(spark, sf_dir, "documents"))
+    return ngramjoin.join_texts(table(spark, sf_dir, "documents"), links=True)
 
 
 @query("op7_embedding_neardup", """

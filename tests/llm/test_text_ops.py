@@ -84,6 +84,46 @@ def test_jaccard_join_edges(spark):
     assert ngramjoin.join_texts(docs_of(spark, EDGE).limit(0)).count() == 0
 
 
+def brute_links(sets, percent=75):
+    out = []
+    for i, x in enumerate(sets):
+        over = [len(x & y) for y in sets]
+        out.append(sum(j != i and k > 0 and 100 * k >= percent * (len(x) + len(y) - k)
+                       for j, (y, k) in enumerate(zip(sets, over, strict=True))))
+    return out
+
+
+@pytest.mark.parametrize("seed,block", [(1, 256), (2, 7), (3, 3)])
+def test_jaccard_link_counts_equal_brute_force(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(ngramjoin, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngramjoin, "SALT_SETS", 2 * block)
+    rows = list(enumerate(near_copies(seed, per=40))) + EDGE
+    got = [(r["doc_id"], r["n_links"]) for r in ngramjoin.join_texts(docs_of(spark, rows), links=True).collect()]
+    want = [(r[0], n) for r, n in zip(rows, brute_links([shingle_set(r[1]) for r in rows]), strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len({n for _, n in got}) > 10
+    none = ngramjoin.join_texts(docs_of(spark, rows[:0]), links=True)
+    assert none.count() == 0 and none.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+
+
+def test_linked_pairs_from_differences(monkeypatch):
+    """Overlaps derived from a center equal the plain ones, for any center."""
+    monkeypatch.setattr(ngramjoin, "TOKENS", 5)
+    rnd = random.Random(4)
+    for _ in range(20):
+        center = set(rnd.sample(range(60), 30))
+        sets = [(center - set(rnd.sample(sorted(center), rnd.randrange(9)))) | set(rnd.sample(range(60, 90), rnd.randrange(9)))
+                for _ in range(30)]
+        arr = [np.array(sorted(x), np.int64) for x in sets]
+        h = np.array(sorted(center), np.int64)
+        side = [np.array([len(x) for x in arr]), np.array([len(np.intersect1d(x, h)) for x in arr]),
+                [np.setdiff1d(h, x) for x in arr], [np.setdiff1d(x, h) for x in arr]]
+        x, y = [c[:12] for c in side], [c[12:] for c in side]
+        got = ngramjoin.linked_pairs(*x, *y, len(h), 75)
+        want = [[100 * len(a & b) >= 75 * len(a | b) for b in sets[12:]] for a in sets[:12]]
+        assert got.tolist() == want
+
+
 def test_list_pairs_blocks_lose_nothing():
     """The block-skipping list scan yields exactly the pairs that the bounds admit."""
     rnd = np.random.default_rng(5)
