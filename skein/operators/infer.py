@@ -115,3 +115,101 @@ def tail_echo_factory(n: int = 16) -> Callable[[], Callable[[list[str]], list[st
         return predict
 
     return factory
+
+
+def _slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``chars`` characters (one text at least)."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t) > chars:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
+def _json_tokenizer(shared):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_str(shared.value)
+    t.encode_special_tokens = True            # their names within a text are ordinary text
+    return t
+
+
+def json_tokenizer_factory(spark, path: str) -> Callable[[], Callable[[list[str]], list[list[int]]]]:
+    """The encoder of a tokenizer file (``tokenizers`` JSON, a few MB, read by the driver and broadcast)."""
+    with open(path, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+
+    def factory():
+        t = _json_tokenizer(shared)
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            return [e.ids for part in _slices(texts) for e in t.encode_batch(part, add_special_tokens=False)]
+        return encode
+
+    return factory
+
+
+def json_decoder_factory(spark, path: str) -> Callable[[], Callable[[list[list[int]]], list[str]]]:
+    """T3 for the same files: ids back to texts."""
+    with open(path, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+
+    def factory():
+        t = _json_tokenizer(shared)
+        return lambda ids: [t.decode(list(x), skip_special_tokens=False) for x in ids]
+
+    return factory
+
+
+def decode_with(df: DataFrame, factory: Callable[[], Callable[[list[list[int]]], list[str]]], ids: str,
+                out: str = "decoded", name: str | None = None) -> DataFrame:
+    """T3 with a user-supplied decoder, loaded once per worker; NULL ids give an empty text."""
+    name = name or f"object-{uuid.uuid4().hex}"
+
+    @F.pandas_udf(T.StringType())
+    def back(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decode = _cached(name, factory)
+        for s in it:
+            yield pd.Series(decode([[] if x is None else x for x in s]), dtype=object)
+
+    return df.withColumn(out, back(F.col(ids)))
+
+
+SYMBOLS = 27                                   # a to z, and one for everything else
+
+
+def bigram_costs(df: DataFrame, text: str = "text") -> list[int]:
+    """A character model: the cost in thousandths of a nat of each of the 27 x 27 symbol pairs, at 27 x first + second
+    (space 0, a to z 1 to 26), with one added to each count. Counts cover all texts; 729 rows reach the driver."""
+    chars = F.split(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
+                                     "[^a-z]", " "), "")
+    t = df.filter(F.char_length(text) > 1).select(chars.alias("s"))
+    n = F.size("s") - 1
+    pair = F.zip_with(F.slice("s", F.lit(1), n), F.slice("s", F.lit(2), n), lambda a, b: F.concat(a, b))
+    got = {r["p"]: r["n"] for r in t.select(F.explode(pair).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    import math
+    names = " abcdefghijklmnopqrstuvwxyz"
+    first = {a: sum(got.get(a + b, 0) for b in names) for a in names}
+    return [round(1000 * math.log((first[a] + SYMBOLS) / (got.get(a + b, 0) + 1))) for a in names for b in names]
+
+
+def bigram_scorer_factory(costs: list[int]) -> Callable[[], Callable[[list[str]], list[str]]]:
+    """U4: a model that returns a prompt's negative log-likelihood under ``bigram_costs``, as a decimal integer."""
+    def factory():
+        import numpy as np
+        cost = np.array(costs, np.int64)
+        code = np.zeros(256, np.int64)
+        code[97:123] = code[65:91] = np.arange(1, SYMBOLS)
+
+        def predict(prompts: list[str]) -> list[str]:
+            out = []
+            for p in prompts:
+                c = code[np.frombuffer(p.encode("ascii", "replace"), np.uint8)]
+                out.append(str(int(cost[c[:-1] * SYMBOLS + c[1:]].sum())))
+            return out
+        return predict
+
+    return factory

@@ -177,6 +177,43 @@ SELECT kind, id, right(wrapped, 16) || '|' || CAST(length(wrapped) AS VARCHAR) A
 """)(batch_infer_q)
 
 
+def batch_score(spark, sf):
+    """U4: every document's cost under a character model learnt from all of them (thousandths of a nat)."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    scored = U.batch_infer(docs, U.bigram_scorer_factory(U.bigram_costs(docs)), "text", ["doc_id"], "cost")
+    return scored.select("doc_id", F.col("cost").cast("long").alias("cost_milli"))
+
+
+register("batch_score", """
+WITH d AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                   'abcdefghijklmnopqrstuvwxyz'), '[^a-z]', ' ', 'g') AS t FROM documents),
+p AS (SELECT doc_id, substr(t, i, 2) AS p, count(*) AS n
+      FROM (SELECT doc_id, t, unnest(range(1, length(t))) AS i FROM d) GROUP BY ALL),
+c AS (SELECT p, sum(n) AS n FROM p GROUP BY p),
+f AS (SELECT p[1] AS a, sum(n) AS n FROM c GROUP BY p[1]),
+w AS (SELECT c.p, CAST(round(1000 * ln((f.n + 27) / (c.n + 1))) AS BIGINT) AS cost FROM c JOIN f ON f.a = c.p[1])
+SELECT d.doc_id, CAST(coalesce(sum(p.n * w.cost), 0) AS BIGINT) AS cost_milli
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN w USING (p) GROUP BY d.doc_id
+""")(batch_score)
+
+
+def tokenize_public(spark, sf):
+    """A public byte-level BPE tokenizer over whole texts; its ids give back every text."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = U.tokenize_with(docs, U.json_tokenizer_factory(spark, path), "text")
+    back = U.decode_with(ids, U.json_decoder_factory(spark, path), "ids")
+    return back.select("doc_id", F.octet_length("decoded").cast("long").alias("n_bytes"),
+                       (F.col("decoded") == F.col("text")).alias("exact"),
+                       ((F.size("ids") > 0) == (F.col("text") != "")).alias("has_ids"))
+
+
+register("tokenize_public", """
+SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, true AS exact, true AS has_ids FROM documents
+""")(tokenize_public)
+
+
 def tokenize_udf(spark, sf):
     """A user tokenizer in a pandas UDF, then fit/mask like the native path."""
     docs = load(spark, sf, "documents").select("doc_id", "text")
