@@ -1,7 +1,7 @@
 """Python-worker escape hatches.
 
 Everything else in skein is JVM expressions. These run user code over
-Arrow batches with ``mapInPandas`` / iterator pandas UDFs: the user object
+Arrow batches with ``mapInPandas`` / ``mapInArrow``: the user object
 (model, tokenizer) is built once per Python worker and reused for every
 batch, never per row.
 """
@@ -80,17 +80,44 @@ def batch_infer(df: DataFrame, factory: Callable[[], Callable[[list[str]], list[
 
 def tokenize_with(df: DataFrame, factory: Callable[[], Callable[[list[str]], list[list[int]]]], text: str,
                   out: str = "ids", name: str | None = None) -> DataFrame:
-    """Tokenize with a user-supplied tokenizer (iterator pandas UDF; the
-    tokenizer is loaded once per worker; ``name`` as in ``batch_infer``)."""
+    """Tokenize with a user-supplied tokenizer (loaded once per worker; ``name`` as in ``batch_infer``).
+
+    All columns stay; rows leave in slices of about 1 MB of text, so a worker holds the ids of one slice."""
     name = name or f"object-{uuid.uuid4().hex}"
+    at = df.columns.index(text)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def tok(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
+        import pyarrow as pa
         encode = _cached(name, factory)
-        for s in it:
-            yield pd.Series(encode(s.fillna("").tolist()))
+        for b in batches:
+            for lo, texts in _slices(b.column(at)):
+                yield _with_lists(b.slice(lo, len(texts)), encode(texts), pa.int32(), out)
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
-    return df.withColumn(out, tok(F.col(text)))
+
+def _with_lists(batch, lists, kind, out: str):
+    """A record batch with one more column of lists of numbers."""
+    import numpy as np
+    import pyarrow as pa
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int32), *[np.asarray(x, np.int32) for x in lists]])
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(cut), pa.array(flat, kind))],
+                                      names=[*batch.schema.names, out])
+
+
+def _slices(texts, chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of about ``chars`` characters (one text at least) of an Arrow column; null is empty."""
+    part, held, lo = [], 0, 0
+    for i, x in enumerate(texts):
+        t = x.as_py() or ""
+        if part and held + len(t) > chars:
+            yield lo, part
+            part, held, lo = [], 0, i
+        part.append(t)
+        held += len(t)
+    if part:
+        yield lo, part
 
 
 def byte_tokenizer_factory(offset: int = 2) -> Callable[[], Callable[[list[str]], list[list[int]]]]:
@@ -117,19 +144,6 @@ def tail_echo_factory(n: int = 16) -> Callable[[], Callable[[list[str]], list[st
     return factory
 
 
-def _slices(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about ``chars`` characters (one text at least)."""
-    part, held = [], 0
-    for t in texts:
-        if part and held + len(t) > chars:
-            yield part
-            part, held = [], 0
-        part.append(t)
-        held += len(t)
-    if part:
-        yield part
-
-
 def _json_tokenizer(shared):
     from tokenizers import Tokenizer
     t = Tokenizer.from_str(shared.value)
@@ -146,7 +160,7 @@ def json_tokenizer_factory(spark, path: str) -> Callable[[], Callable[[list[str]
         t = _json_tokenizer(shared)
 
         def encode(texts: list[str]) -> list[list[int]]:
-            return [e.ids for part in _slices(texts) for e in t.encode_batch(part, add_special_tokens=False)]
+            return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
         return encode
 
     return factory
@@ -168,14 +182,46 @@ def decode_with(df: DataFrame, factory: Callable[[], Callable[[list[list[int]]],
                 out: str = "decoded", name: str | None = None) -> DataFrame:
     """T3 with a user-supplied decoder, loaded once per worker; NULL ids give an empty text."""
     name = name or f"object-{uuid.uuid4().hex}"
+    at = df.columns.index(ids)
 
-    @F.pandas_udf(T.StringType())
-    def back(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
+        import pyarrow as pa
         decode = _cached(name, factory)
-        for s in it:
-            yield pd.Series(decode([[] if x is None else x for x in s]), dtype=object)
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                texts = decode([[] if x is None else x for x in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+
+
+ROWS = 64                                      # rows whose ids are Python numbers at a time
+
+
+def _ranked(shared, pattern: str):
+    import base64
+
+    import tiktoken
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def rank_tokenizer_factory(spark, path: str, pattern: str) -> tuple[Callable, Callable]:
+    """(encoder, decoder) factories of a file of byte-level BPE ranks (a few MB, read by the driver and
+    broadcast); ``pattern`` cuts texts into words. Special tokens' names within a text are ordinary text."""
+    with open(path, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+
+    def encoder():
+        t = _ranked(shared, pattern)
+        return lambda texts: [t.encode_ordinary(x) for x in texts]
+
+    def decoder():
+        t = _ranked(shared, pattern)
+        return lambda ids: [t.decode_bytes(x).decode("utf-8") for x in ids]
 
-    return df.withColumn(out, back(F.col(ids)))
+    return encoder, decoder
 
 
 SYMBOLS = 27                                   # a to z, and one for everything else

@@ -200,10 +200,9 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN w USING (p) GROUP BY d.doc_id
 def tokenize_public(spark, sf):
     """A public byte-level BPE tokenizer over whole texts; its ids give back every text."""
     import public_tokenizers
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, decoder = U.rank_tokenizer_factory(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = U.tokenize_with(docs, U.json_tokenizer_factory(spark, path), "text")
-    back = U.decode_with(ids, U.json_decoder_factory(spark, path), "ids")
+    back = U.decode_with(U.tokenize_with(docs, encoder, "text"), decoder, "ids")
     return back.select("doc_id", F.octet_length("decoded").cast("long").alias("n_bytes"),
                        (F.col("decoded") == F.col("text")).alias("exact"),
                        ((F.size("ids") > 0) == (F.col("text") != "")).alias("has_ids"))

@@ -3,6 +3,7 @@ import math
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,8 +45,20 @@ def test_public_tokenizer_equals_whole_text_encoding(spark):
     assert empty.count() == 0
 
 
+def test_ranks_give_the_ids_of_the_same_vocabulary(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    enc, dec = U.rank_tokenizer_factory(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for parts in (1, 8, 64):
+        out = U.decode_with(U.tokenize_with(_df(spark, parts), enc, "text"), dec, "ids")
+        assert out.columns == ["id", "text", "ids", "decoded"]
+        assert {r["id"]: (list(r["ids"]), r["decoded"]) for r in out.collect()} == \
+            {i: (t.encode(x or "", add_special_tokens=False).ids, x or "") for i, x in enumerate(TEXTS)}
+
+
 def test_slices_keep_order_and_bound():
-    texts = ["ab", "", "cdef", "g" * 9, "h"]
-    parts = list(U._slices(texts, 5))
-    assert [x for p in parts for x in p] == texts and all(len(p) == 1 or sum(map(len, p)) <= 5 for p in parts)
-    assert list(U._slices([])) == []
+    texts = ["ab", None, "cdef", "g" * 9, "h"]
+    parts = list(U._slices(pa.array(texts), 5))
+    assert [x for _, p in parts for x in p] == [x or "" for x in texts]
+    assert [lo for lo, _ in parts] == [0, 2, 3, 4] and all(len(p) == 1 or sum(map(len, p)) <= 5 for _, p in parts)
+    assert list(U._slices(pa.array([], pa.string()))) == []
