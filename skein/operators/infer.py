@@ -230,16 +230,38 @@ SYMBOLS = 27                                   # a to z, and one for everything
 def bigram_costs(df: DataFrame, text: str = "text") -> list[int]:
     """A character model: the cost in thousandths of a nat of each of the 27 x 27 symbol pairs, at 27 x first + second
     (space 0, a to z 1 to 26), with one added to each count. Counts cover all texts; 729 rows reach the driver."""
-    chars = F.split(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
-                                     "[^a-z]", " "), "")
-    t = df.filter(F.char_length(text) > 1).select(chars.alias("s"))
-    n = F.size("s") - 1
-    pair = F.zip_with(F.slice("s", F.lit(1), n), F.slice("s", F.lit(2), n), lambda a, b: F.concat(a, b))
-    got = {r["p"]: r["n"] for r in t.select(F.explode(pair).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        code = _symbol_codes()
+        for b in batches:
+            n = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+            for x in b.column(0):
+                c = _symbols(x.as_py() or "", code)
+                n += np.bincount(c[:-1] * SYMBOLS + c[1:], minlength=len(n))
+            p = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(n[p])], names=["p", "n"])
+
+    rows = df.select(F.col(text).cast("string")).mapInArrow(count, "p int, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
     import math
-    names = " abcdefghijklmnopqrstuvwxyz"
-    first = {a: sum(got.get(a + b, 0) for b in names) for a in names}
-    return [round(1000 * math.log((first[a] + SYMBOLS) / (got.get(a + b, 0) + 1))) for a in names for b in names]
+    got = [0] * (SYMBOLS * SYMBOLS)
+    for r in rows:
+        got[r["p"]] = r["n"]
+    first = [sum(got[a * SYMBOLS:(a + 1) * SYMBOLS]) for a in range(SYMBOLS)]
+    return [round(1000 * math.log((first[p // SYMBOLS] + SYMBOLS) / (n + 1))) for p, n in enumerate(got)]
+
+
+def _symbol_codes():
+    import numpy as np
+    code = np.zeros(256, np.int64)
+    code[97:123] = code[65:91] = np.arange(1, SYMBOLS)
+    return code
+
+
+def _symbols(text: str, code):
+    """The symbol of every character: a character beyond ASCII is one "other"."""
+    import numpy as np
+    return code[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
 
 
 def bigram_scorer_factory(costs: list[int]) -> Callable[[], Callable[[list[str]], list[str]]]:
@@ -247,13 +269,12 @@ def bigram_scorer_factory(costs: list[int]) -> Callable[[], Callable[[list[str]]
     def factory():
         import numpy as np
         cost = np.array(costs, np.int64)
-        code = np.zeros(256, np.int64)
-        code[97:123] = code[65:91] = np.arange(1, SYMBOLS)
+        code = _symbol_codes()
 
         def predict(prompts: list[str]) -> list[str]:
             out = []
             for p in prompts:
-                c = code[np.frombuffer(p.encode("ascii", "replace"), np.uint8)]
+                c = _symbols(p, code)
                 out.append(str(int(cost[c[:-1] * SYMBOLS + c[1:]].sum())))
             return out
         return predict
