@@ -107,12 +107,14 @@ def perplexity(loss: Column) -> Column:
 
 def improvement(metrics: DataFrame, run: str = "run_id", step: str = "step", value: str = "value") -> DataFrame:
     """First and last value per run and the relative improvements of the
-    loss and of its perplexity."""
+    loss and of its perplexity. A first loss of 0 gives an infinite improvement,
+    or NaN if nothing changed (double semantics)."""
     g = metrics.groupBy(run).agg(F.min_by(value, step).alias("loss_first"),
                                  F.max_by(value, step).alias("loss_last"),
                                  F.count(F.lit(1)).alias("n_evals"))
     a, b = F.col("loss_first"), F.col("loss_last")
-    return g.withColumn("loss_improvement", (a - b) / a) \
+    by_zero = (a - b) * F.pow(a, F.lit(-1.0))
+    return g.withColumn("loss_improvement", F.when(a == 0, by_zero).otherwise((a - b) / a)) \
             .withColumn("ppl_first", perplexity(a)).withColumn("ppl_last", perplexity(b)) \
             .withColumn("ppl_improvement", F.lit(1.0) - F.exp(b - a))
 

@@ -58,6 +58,13 @@ def test_perplexity_overflow_and_improvement(spark):
     assert imp["r"].ppl_improvement == pytest.approx(1 - math.exp(-1))
 
 
+def test_improvement_on_a_first_loss_of_zero(spark):
+    df = spark.createDataFrame([("up", 1, 0.0), ("up", 2, 1.0), ("down", 1, 0.0), ("down", 2, -1.0), ("flat", 1, 0.0),
+                                ("none", 1, None)], "run_id string, step long, value double")
+    imp = {r.run_id: r.loss_improvement for r in A.improvement(df).collect()}
+    assert imp["up"] == -math.inf and imp["down"] == math.inf and math.isnan(imp["flat"]) and imp["none"] is None
+
+
 def test_split_sizes_reports_empty_split(spark):
     df = spark.createDataFrame([("train",)] * 3, "split string")
     assert {r.split: r.n_rows for r in A.split_sizes(df).collect()} == {"train": 3, "validation": 0}
