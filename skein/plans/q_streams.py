@@ -27,7 +27,7 @@ SEED = 42
 
 def _stream_of(spark, sf, table):
     schema = load(spark, sf, table).schema
-    return X.file_stream(spark, sf, schema, glob=f"{table}.parquet")
+    return X.table_stream(spark, f"{sf.rstrip('/')}/{table}.parquet", schema)
 
 
 def stream_prepare_q(spark, sf):

@@ -45,6 +45,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """A table as a file source, be it one file or a folder of files."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return file_stream(spark, path, schema, fmt)
+    return file_stream(spark, os.path.dirname(path), schema, fmt, glob=os.path.basename(path))
+
+
 def stream_prepare(sdf: DataFrame, prepare: Callable[[DataFrame], DataFrame], sink: str, ckpt: str,
                    available_now: bool = True) -> StreamingQuery:
     """Run the batch pipeline ``prepare`` on every micro-batch and write

@@ -68,6 +68,21 @@ def test_stream_prepare_equals_batch(spark, tmpdir_path):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+@pytest.mark.parametrize("name", ["stream_bytes", "stream_prepare", "stream_quota", "stream_shuffle", "stream_take"])
+def test_streams_of_a_table_in_one_file_and_in_a_folder(spark, tmpdir_path, name):
+    from skein.plans.registry import all_queries
+    rows = [(i, ("en", "de")[i % 2], f"text {i} of {i % 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    folder, single = os.path.join(tmpdir_path, "folder"), os.path.join(tmpdir_path, "single")
+    docs.repartition(3).write.parquet(os.path.join(folder, "documents.parquet"))
+    docs.coalesce(1).write.parquet(os.path.join(tmpdir_path, "one"))
+    os.mkdir(single)
+    part = next(f for f in os.listdir(os.path.join(tmpdir_path, "one")) if f.endswith(".parquet"))
+    os.link(os.path.join(tmpdir_path, "one", part), os.path.join(single, "documents.parquet"))
+    a, b = (all_queries()[name](spark, d) for d in (folder, single))
+    assert a.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_read_source_stream_and_write_eval(spark, tmpdir_path):
     base = os.path.join(tmpdir_path, "src")
     df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id long, text string")
