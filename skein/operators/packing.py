@@ -16,9 +16,9 @@ group and the running sum is the bucketed prefix sum (no single-task window).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.ordering import global_index, prefix_sum
@@ -34,14 +34,18 @@ def assign_pack_groups(df: DataFrame, by: Sequence[str], rows_per_group: int | N
              .drop("_skein_pos")
 
 
-def pack_lists(df: DataFrame, lists: Sequence[str], by: Sequence[str], block_size: int,
+def pack_lists(df: DataFrame, lists: Sequence[str] | Mapping[str, Column], by: Sequence[str], block_size: int,
                rows_per_group: int | None = 1000) -> DataFrame:
     """K1/K2 on every list column in ``lists``, cut at the same places.
 
     The columns of a row have equal lengths (ids, mask, labels of the same
-    tokens); a NULL list counts as empty. Returns (pack_group, block, <lists>..., n_tok)."""
-    rows = assign_pack_groups(df.select(*by, *lists), by, rows_per_group)
-    rows = rows.withColumn("_skein_n", F.coalesce(F.size(lists[0]), F.lit(0)))
+    tokens); a NULL list counts as empty. ``lists`` may map names to expressions over ``df``: the shuffles then move
+    the columns of ``df`` (a text, say), and the lists are made where they are cut.
+    Returns (pack_group, block, <lists>..., n_tok)."""
+    made = dict(lists) if isinstance(lists, Mapping) else {}
+    lists = list(lists)
+    rows = assign_pack_groups(df if made else df.select(*by, *lists), by, rows_per_group)
+    rows = rows.withColumn("_skein_n", F.coalesce(F.size(made.get(lists[0], F.col(lists[0]))), F.lit(0)))
     rows = rows.withColumn("_skein_n", F.greatest("_skein_n", F.lit(0)))
     if rows_per_group is not None:
         rows = prefix_sum(rows, "_skein_n", by, "pack_group", name="_skein_off", inclusive=False,
@@ -51,7 +55,7 @@ def pack_lists(df: DataFrame, lists: Sequence[str], by: Sequence[str], block_siz
         total = rows.agg(F.sum("_skein_n").alias("t")).collect()[0]["t"] or 0
         rows = prefix_sum(rows, "_skein_n", by, None, name="_skein_off", inclusive=False)
         rows = rows.withColumn("_skein_total", F.lit(total).cast("bigint"))
-    rows = rows.filter(F.col("_skein_n") > 0)
+    rows = rows.filter(F.col("_skein_n") > 0).withColumns(made)
     first = F.floor(F.col("_skein_off") / block_size)
     last = F.floor((F.col("_skein_off") + F.col("_skein_n") - 1) / block_size)
     cut = rows.withColumn("block", F.explode(F.sequence(first, last))).withColumn("block", F.col("block").cast("bigint"))

@@ -87,9 +87,9 @@ COLUMN_BLOCK = 4096
 def pack_columns(spark, sf):
     """K1 on several list columns at once: byte ids and each token's place in its text."""
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    ids = T.tokenize_bytes(docs, ["doc_id"], "text", None)
-    rows = ids.select("doc_id", "ids", F.transform("ids", lambda x, i: i).alias("place"))
-    out = K.pack_lists(rows, ["ids", "place"], ["doc_id"], COLUMN_BLOCK, GROUP_ROWS)
+    ids = T.byte_ids("text")                               # made after the shuffles, which move the texts
+    lists = {"ids": ids, "place": F.transform(ids, lambda x, i: i)}
+    out = K.pack_lists(docs, lists, ["doc_id"], COLUMN_BLOCK, GROUP_ROWS)
     return out.select("pack_group", "block", "n_tok", F.md5(F.array_join("ids", ",")).alias("ids_md5"),
                       F.md5(F.array_join("place", ",")).alias("place_md5"))
 

@@ -1,8 +1,10 @@
 """K1/K2: block rules and token conservation."""
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from skein.operators.packing import pack_ids
+from skein.operators.packing import pack_ids, pack_lists
+from skein.operators.tokens import byte_ids
 
 
 def _pack(spark, lists, B, rows_per_group):
@@ -37,3 +39,25 @@ def test_pack_cases(spark):
        st.integers(1, 6), st.one_of(st.none(), st.integers(1, 5)))
 def test_pack_matches_reference(spark, lists, B, g):
     assert _pack(spark, lists, B, g) == _reference(lists, B, g)
+
+
+def test_lists_made_from_texts_are_not_shuffled(spark):
+    texts = ["abc", None, "", "défg" * 5, "x" * 11] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(4)
+    ids = byte_ids("text")
+    lists = {"ids": ids, "place": F.transform(ids, lambda x, i: i)}
+    for g in (4, 100, None):
+        out = pack_lists(df, lists, ["k"], 8, g)
+        plain = pack_lists(df.select("k", *[c.alias(n) for n, c in lists.items()]), ["ids", "place"], ["k"], 8, g)
+        assert out.columns == plain.columns and sorted(out.collect()) == sorted(plain.collect())
+        assert sorted((r.pack_group, r.block, r.ids) for r in out.collect()) == _reference(
+            [[b + 2 for b in (t or "").encode()] for t in texts], 8, g)
+
+
+def test_pack_columns_shuffles_texts(spark, tmp_path):
+    from skein.plans.registry import all_queries
+    spark.createDataFrame([(i, "some text") for i in range(300)], "doc_id long, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    plan = all_queries()["pack_columns"](spark, str(tmp_path))._jdf.queryExecution().executedPlan()
+    below = plan.toString().split("Window", 1)[1]          # the lists are made above the last window
+    assert "ids#" not in below and "place#" not in below
