@@ -108,11 +108,13 @@ FROM documents GROUP BY ALL
 
 
 def source_stream(spark, sf):
-    """S5 in its spec form: the files of one split as a stream of several micro-batches."""
+    """S5 in its spec form: the files of one split as a stream of several micro-batches. A file holds what one
+    task of the scan reads; only a table of fewer tasks is dealt to ``SHARDS`` files."""
     base = X.scratch(spark, "stream-source")
     docs = _docs(spark, sf)
-    docs.repartition(SHARDS, "doc_id").write.parquet(base)
-    sdf = read_source_stream(spark, {"name": "docs", "path": base}, docs.schema, max_files_per_trigger=1)
+    (docs if docs.rdd.getNumPartitions() >= SHARDS else docs.repartition(SHARDS, "doc_id")).write.parquet(base)
+    files = -(-len(spark.read.parquet(base).inputFiles()) // SHARDS)
+    sdf = read_source_stream(spark, {"name": "docs", "path": base}, docs.schema, max_files_per_trigger=files)
     sink, ckpt = X.scratch(spark, "stream-sink"), X.scratch(spark, "ckpt")
     sdf.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt) \
        .trigger(availableNow=True).start().awaitTermination()

@@ -83,6 +83,27 @@ def test_streams_of_a_table_in_one_file_and_in_a_folder(spark, tmpdir_path, name
     assert a.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_source_stream_files_grow_with_the_table(spark, tmpdir_path):
+    from skein.plans.registry import all_queries
+    from skein.session import checkpoint_dir
+    docs = spark.createDataFrame([(i, "en", "x" * (i % 9)) for i in range(90)], "doc_id long, lang string, text string")
+    root = checkpoint_dir(spark).removeprefix("file://")
+    name = "spark.sql.files.openCostInBytes"
+    before, folders = spark.conf.get(name), set(os.listdir(root))
+    try:
+        spark.conf.set(name, "128m")                       # a scan task for each file
+        for n, least in ((1, 4), (9, 9)):
+            sf = os.path.join(tmpdir_path, f"sf{n}")
+            docs.repartition(n).write.parquet(os.path.join(sf, "documents.parquet"))
+            got = all_queries()["source_stream"](spark, sf).collect()
+            assert [(r.source, r.split, r.n_rows, r.n_chars) for r in got] == [("docs", "train", 90, 360)]
+            new = [d for d in os.listdir(root) if d.startswith("stream-source") and d not in folders]
+            folders |= set(new)
+            assert len([f for f in os.listdir(os.path.join(root, new[0])) if f.endswith(".parquet")]) >= least
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_read_source_stream_and_write_eval(spark, tmpdir_path):
     base = os.path.join(tmpdir_path, "src")
     df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id long, text string")
