@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import checkpoint_dir
+from skein.session import bound_batches, checkpoint_dir  # noqa: F401
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -15,21 +15,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/skein-llm/{name}-{uuid.uuid4().hex}"
 
 
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Let an Arrow batch of texts hold ``BATCH_BYTES`` at most (a row at least),
-    which bounds the memory of Python workers. Lowers the session's limit,
-    never raises it."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "64m").strip().lower()
-    number, unit = now.rstrip("bkmg"), now[len(now.rstrip("bkmg")):]
-    factor = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}[unit]
-    if int(number) <= 0 or int(number) * factor > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts lineage:
     a lost executor costs no more than the tasks it was running."""

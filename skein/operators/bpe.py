@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.operators.tokens import FIRST_WORD_ID, PIECE_PATTERN, UNK_ID, WORD_PATTERN, split_tokens, token_counts
-from skein.session import checkpoint_dir, stored
+from skein.session import bound_batches, checkpoint_dir, stored
 
 OPEN, CLOSE = "\u0001", "\u0002"  # marks around a symbol (never produced by the tokenizer patterns)
 RANKED = 512                      # pairs looked at per round, at most
@@ -193,6 +193,7 @@ def encode_bpe(df: DataFrame, keys: Sequence[str], merges: DataFrame, vocab: Dat
     for r in merges.select("rank", "left", "right").orderBy("rank").collect():
         ranks.setdefault((r["left"], r["right"]), []).append(r["rank"])
     shared = df.sparkSession.sparkContext.broadcast((ranks, {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}))
+    bound_batches(df.sparkSession)
     base = df.select(*keys, split_tokens(text, pattern).alias("_words"))
     out = T.StructType([*base.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 

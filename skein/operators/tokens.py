@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions.arrays import attention_mask, fit_length, mask_pad
-from skein.session import stored
+from skein.session import bound_batches, stored
 
 # --- fixed values -----------------------------------------------------------
 # Token ids: end-of-text doubles as padding (pad := eos when the tokenizer has
@@ -143,6 +143,7 @@ def token_ids(df: DataFrame, keys: Sequence[str], vocab: DataFrame, text: str =
     table = local_vocab(vocab)
     if table is None:
         return collect_ids(token_ids_long(df, keys, vocab, text, pattern, max_len), keys)
+    bound_batches(df.sparkSession)
     toks = df.select(*keys, split_tokens(text, pattern).alias("_toks"))
     toks = toks.select(*keys, F.size("_toks").alias("n_raw"),
                        (F.slice("_toks", 1, max_len) if max_len else F.col("_toks")).alias("_toks"))
@@ -261,6 +262,7 @@ def decode(df: DataFrame, keys: Sequence[str], vocab: DataFrame, ids: str = "ids
     table = local_vocab(vocab)
     if table is None:
         return _decode_long(df, keys, vocab, ids, skip_special, sep)
+    bound_batches(df.sparkSession)
     base = df.select(*keys, F.coalesce(F.col(ids), F.array().cast("array<int>")).cast("array<int>").alias("_ids"))
     shared = df.sparkSession.sparkContext.broadcast(table)
     out = T.StructType([*base.schema.fields[:-1], T.StructField("decoded", T.StringType())])

@@ -118,3 +118,21 @@ def test_count_floor_leaves_the_top(spark):
         floor = T.count_floor(df, size)
         kept = sum(n >= floor for n in counts)
         assert kept >= min(size, 3000)
+
+
+def test_python_batches_of_tokens_are_bounded(spark):
+    from skein.operators import bpe
+    from skein.session import BATCH_BYTES
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(i, "a b c") for i in range(4)], "id long, text string")
+    vocab = T.build_vocab(df, "text", 8, T.PIECE_PATTERN)
+    merges = spark.createDataFrame([], "rank int, left string, right string")
+    steps = {"ids": lambda: T.token_ids(df, ["id"], vocab), "bpe": lambda: bpe.encode_bpe(df, ["id"], merges, vocab),
+             "decode": lambda: T.decode(spark.createDataFrame([(1, [2])], "id long, ids array<int>"), ["id"], vocab)}
+    before = spark.conf.get(name)
+    try:
+        for step, run in steps.items():
+            spark.conf.set(name, "64m")
+            assert run().count() and spark.conf.get(name) == f"{BATCH_BYTES}b", step
+    finally:
+        spark.conf.set(name, before)
