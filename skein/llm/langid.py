@@ -9,9 +9,9 @@ contained n-grams decides (ties: the smaller language name).
 
 A language contains an n-gram when at least ``min_docs`` of its training
 documents hold it and its rate there is at least ``share`` of its greatest
-rate in any language. Training takes about ``max_docs`` whole documents per
-language (a hash sample; the bound is a parameter), and keeps ``max_grams``
-n-grams per language and size.
+rate in any language. Training counts the n-grams of every document with a
+language, and keeps the ``max_grams`` most frequent that a language contains
+per size.
 
 n-grams are 3 and 4 bytes of the folded text (A-Z and the Latin-1 capitals to
 lower case, other ASCII non-letters to a space), within one word and its two
@@ -38,6 +38,7 @@ SIZES = (3, 4)
 HASHES = 3
 LOG2_SLOTS = 20
 MAX_LANGUAGES = 256
+HELD = 1 << 18             # counts that a task holds
 _MULT = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -90,12 +91,13 @@ def has_letter(texts, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 2000,
-        min_docs: int = 2, share: float = 0.25, max_grams: int = 30_000, log2_slots: int = LOG2_SLOTS) -> dict:
-    """Learn the filter. Returns a small dict: languages, slices, false-positive rates."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", min_docs: int = 2, share: float = 0.25,
+        max_grams: int = 30_000, log2_slots: int = LOG2_SLOTS) -> dict:
+    """Learn the filter from all documents with a text and a language. Returns a small dict: languages, slices,
+    false-positive rates."""
     bound_batches(docs.sparkSession)
-    known = docs.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"),
-                        F.col(lang).cast("string").alias("l")).filter("l is not null and t is not null")
+    known = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")) \
+        .filter("l is not null and t is not null")
     sizes = {r["l"]: r["n"] for r in known.groupBy("l").count().withColumnRenamed("count", "n")
              .orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -103,15 +105,26 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "log2": log2_slots, "slices": np.zeros((0, 1 << log2_slots), np.uint8), "fp": np.zeros(0)}
-    rate = F.lit(0.0)
-    for name in langs:
-        rate = F.when(F.col("l") == name, F.lit(min(1.0, max_docs / sizes[name]))).otherwise(rate)
-    u = (F.xxhash64(F.coalesce("k", F.lit(""))).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
-    sample = known.filter(u < rate)
     fold = _fold()
 
     def count(batches):
+        """Counts of a task, added up before they leave it as far as ``HELD`` of them go."""
         import pyarrow as pa
+        kept, held = {}, 0
+
+        def added(parts):
+            code, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return (code, *[np.bincount(inv, np.concatenate([p[i] for p in parts]), len(code)).astype(np.int64) for i in (1, 2)])
+
+        def drain():
+            for name, parts in kept.items():
+                code, n, d = added(parts)
+                for lo in range(0, len(code), HELD):
+                    part = slice(lo, lo + HELD)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(code[part])), pa.array(np.where(code[part] >> np.uint64(24) == 3, 3, 4).astype(np.int32)),
+                         pa.array(code[part].astype(np.int64)), pa.array(n[part]), pa.array(d[part])], names=["l", "size", "g", "n", "d"])
+
         for b in batches:
             data, off = text_arrays(b.column(1))
             ls = b.column(0).to_pylist()
@@ -129,13 +142,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                         m = l_of == j
                         cu, first = np.unique(c[m], return_index=True)
                         if len(cu):
-                            yield pa.RecordBatch.from_pydict({
-                                "l": pa.array([name] * len(cu)), "size": pa.array(np.full(len(cu), size, np.int32)),
-                                "g": pa.array(cu.astype(np.int64)),
-                                "n": pa.array(np.add.reduceat(n[m], first)),
-                                "d": pa.array(np.diff(np.append(first, m.sum())))})
-
-    per = sample.select("l", "t").mapInArrow(count, "l string, size int, g long, n long, d long") \
+                            kept.setdefault(name, []).append((cu, np.add.reduceat(n[m], first), np.diff(np.append(first, m.sum()))))
+                            held += len(cu)
+            if held > 2 * HELD:
+                kept = {name: [added(parts)] for name, parts in kept.items()}
+                held = sum(len(p[0][0]) for p in kept.values())
+                if held > HELD:
+                    yield from drain()
+                    kept, held = {}, 0
+        yield from drain()
+
+    per = known.select("l", "t").mapInArrow(count, "l string, size int, g long, n long, d long") \
         .groupBy("l", "size", "g").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     total = per.groupBy("l", "size").agg(F.sum("n").alias("total"))
     rated = per.join(F.broadcast(total), ["l", "size"])      # at most MAX_LANGUAGES x sizes rows

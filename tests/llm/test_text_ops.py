@@ -440,6 +440,16 @@ def test_language_filter_and_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_learns_from_every_document(spark, monkeypatch):
+    """An n-gram that two of 5,000 documents of a language hold is learnt, also where counts leave a task in parts."""
+    monkeypatch.setattr(langid, "HELD", 20)
+    rows = [(i, "banana sabana" if i % 2 else "xoxoty qyxoty", "ab"[i % 2]) for i in range(10_000)]
+    rows[4001] = rows[7003] = (4001, "wvwvw", "b")
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    got = langid.identify(spark.createDataFrame([(1, "wvwvw"), (2, "banana"), (3, "jjjj")], "doc_id long, text string"), model).collect()
+    assert [(r["lang_pred"], round(r["score"], 3)) for r in sorted(got, key=lambda r: r["doc_id"])] == [("b", 1.0), ("b", 1.0), ("a", 0.0)]
+
+
 def test_language_many_slices(spark):
     """More than eight languages use several slices."""
     rows = [(i, " ".join(chr(97 + i % 12) * 5 + chr(98 + i % 12) * 3 for _ in range(6)), f"l{i % 12:02d}") for i in range(120)]
